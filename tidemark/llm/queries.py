@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language_id, quality, secret_scan, toxicity
+from tidemark.llm import language_id, media_columns, quality, secret_scan, toxicity
 from tidemark.llm._common import table
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns.media_digest(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secret_scans, op5_language_id, op8_toxicity, op10_quality_classifier)
+    f.__name__: f for f in (op1_media_columns, op2_secret_scans, op5_language_id, op8_toxicity, op10_quality_classifier)
 }
 
 #: Only what SQL can express; the others are tested against brute force, exact round trips or held-out labels.
