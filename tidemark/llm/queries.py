@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language_id, media_columns, quality, secret_scan, suffix_dedup, toxicity
+from tidemark.llm import jaccard_join, language_id, media_columns, quality, secret_scan, suffix_dedup, toxicity
 from tidemark.llm._common import table
 
 
@@ -22,6 +22,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_ids(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,7 +39,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_columns, op2_secret_scans, op5_language_id, op8_toxicity, op9_suffix_array_dedup, op10_quality_classifier)
+    f.__name__: f for f in (op1_media_columns, op2_secret_scans, op5_language_id, op6_ngram_jaccard_join, op8_toxicity, op9_suffix_array_dedup, op10_quality_classifier)
 }
 
 #: Only what SQL can express; the others are tested against brute force, exact round trips or held-out labels.
