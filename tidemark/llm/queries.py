@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import jaccard_join, language_id, media_columns, quality, secret_scan, suffix_dedup, toxicity
+from tidemark.llm import decontamination, jaccard_join, language_id, licenses, media_columns, mixing, quality, secret_scan, suffix_dedup, toxicity
 from tidemark.llm._common import table
 
 
@@ -18,6 +18,14 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_ids(table(spark, sf_dir, "documents"))
 
@@ -26,6 +34,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licence_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,9 +50,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_columns, op2_secret_scans, op5_language_id, op6_ngram_jaccard_join, op8_toxicity, op9_suffix_array_dedup, op10_quality_classifier)
-}
+_REGISTERED = (
+    op1_media_columns, op2_secret_scans, op3_source_mixing, op4_benchmark_decontamination, op5_language_id,
+    op6_ngram_jaccard_join, op7_license_scans, op8_toxicity, op9_suffix_array_dedup, op10_quality_classifier,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _REGISTERED}
 
 #: Only what SQL can express; the others are tested against brute force, exact round trips or held-out labels.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_benchmark_decontamination": decontamination.ORACLE, "op7_license_scans": licenses.ORACLE}
