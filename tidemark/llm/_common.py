@@ -94,3 +94,14 @@ def smallest_hashes(df: DataFrame, key: str, n: int, seed: int, *more: str) -> D
     """At most n rows of key and more, those with the smallest seeded hash of key: a bounded sample that reruns repeat."""
     h = F.xxhash64(F.lit(seed), F.col(key))
     return df.select(key, *more).orderBy(h, key).limit(n)
+
+
+#: Ids that may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but for the rows whose doc_id is in ids (doc_id), null meeting null: the ids are broadcast if they are few, and shuffled with docs otherwise."""
+    ids = checkpointed(ids.select(F.col("doc_id").alias("_gone")).distinct())
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["_gone"]), "left_anti")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import text_slices, utf8
+from tidemark.llm._common import text_slices, utf8, without_ids
 from tidemark.llm.shingles import WORDS, WordHashes, shingle_set, shingles
 
 HASHES = 64
@@ -156,8 +156,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without those that hold an item; rows with a null doc_id go only if such a row was found."""
-    bad = contaminated(docs, items).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    return without_ids(docs, contaminated(docs, items))
 
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import checkpointed, text_slices, utf8
+from tidemark.llm._common import BROADCAST_IDS, checkpointed, text_slices, utf8, without_ids
 from tidemark.llm.components import components
 from tidemark.llm.shingles import WordHashes, mixed, shingle_set
 
@@ -43,8 +43,6 @@ _BAND_ENDS = np.array(_BANDS, np.int64)
 PROBE, COMMON, KEPT = 6000, 4, 200_000
 #: Rounds with one representative a group, before what is left meets in full.
 ROUNDS = 4
-#: Ids that may be broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 
 
 def most_differences(size: int) -> int:
@@ -232,3 +230,10 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
 def jaccard_digest(docs: DataFrame) -> DataFrame:
     return jaccard_classes(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one document of each class, the one with the smallest doc_id. Rows that repeat both doc_id and text count as one; rows with a null doc_id stay."""
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    return without_ids(docs, jaccard_digest(docs).where("doc_id <> component_id"))

@@ -12,6 +12,7 @@ the prior decides alone. Repeated doc_ids are scored row by row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import held_out, map_texts, smallest_hashes, utf8
+from tidemark.llm._common import held_out, map_texts, smallest_hashes, text_slices, utf8
 from tidemark.llm._features import Buckets, chosen_labels, labelled, ragged, row_sums, sigmoid, training_rows, word_buckets
 
 THRESHOLD = 0.3
@@ -86,6 +87,18 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> Da
     return map_texts(docs, keep, compute, f"{schema}, score double")
 
 
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows whose score reaches the threshold; all columns as they are."""
+    model = train_toxicity(docs, labels)
+    buckets = Buckets(model.bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            yield part.filter(pa.array(model.scores([word_buckets(x, buckets) for x in utf8(part)]) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     model = train_toxicity(docs, labels)
