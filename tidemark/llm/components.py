@@ -13,11 +13,10 @@ def components(links: DataFrame) -> DataFrame:
     both = checkpointed(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("comp")))
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
-        spread = labels.join(near, labels["node"] == near["a"], "left").select("node", "comp", F.least("comp", F.coalesce("near", "comp")).alias("now"))
-        spread = checkpointed(spread)
-        far = spread.select(F.col("node").alias("now"), F.col("now").alias("next"))
-        jumped = checkpointed(spread.join(far, "now", "left").select("node", F.col("comp").alias("before"), F.least("now", F.coalesce("next", "now")).alias("comp")))
+        # Each node takes the least label near it, and then what that label's node itself points to.
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        spread = labels.join(near, "node", "left").select("node", F.col("comp").alias("before"), F.least("comp", F.coalesce("near", "comp")).alias("now"))
+        jumped = checkpointed(spread.join(labels.select(F.col("node").alias("now"), F.col("comp").alias("next")), "now", "left").select("node", "before", F.least("now", F.coalesce("next", "now")).alias("comp")))
         if not jumped.where("before <> comp").limit(1).count():
             return jumped.select("node", "comp")
         labels = jumped.select("node", "comp")

@@ -13,7 +13,8 @@ In bands of short sets each element is a partition of its own.
 Sets are named by a 64-bit hash, and equal sets are one node from the start. Signature groups then give candidate pairs in
 rounds: each node meets one representative of its groups, verified pairs become components, and only groups that still span
 two components go on; what is left meets in full, so no link is lost. All pairs of a group are never made while a
-representative can settle them. Verification intersects the whole sets.
+representative can settle them. A pair is first held against sizes and parity bit maps: each element flips one bit, so the bits
+in which two maps differ are a lower bound of the elements in which the sets do. What passes is verified on the whole sets.
 
 Null texts and texts without words have an empty set and are components of their own; texts under five words have one shingle.
 Rows that repeat a doc_id are fine; a null doc_id links like any other but is never a component's id unless alone.
@@ -42,7 +43,7 @@ _BAND_ENDS = np.array(_BANDS, np.int64)
 #: Documents that the probe for common signatures reads, the number of them that makes one common, and how many are kept.
 PROBE, COMMON, KEPT = 6000, 4, 200_000
 #: Rounds with one representative a group, before what is left meets in full.
-ROUNDS = 4
+ROUNDS = 3
 
 
 def most_differences(size: int) -> int:
@@ -150,40 +151,81 @@ def _chosen_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def _node_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, items (the whole set) of the given nodes."""
+def _items_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame, schema: str, fields: pa.Schema, value) -> DataFrame:
+    """One row for each of the nodes, made by value from the whole set of a document that has it."""
     hashes = WordHashes()
-    fields = pa.schema([("node", pa.int64()), ("items", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            found = [shingle_set(x, hashes) for x in utf8(part)]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], schema=fields)
+            found = [value(s) for s in (shingle_set(x, hashes) for x in utf8(part))]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], x.type) for k, x in enumerate(fields)], schema=fields)
 
-    ids = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").dropna().distinct()
-    read = _chosen_texts(docs.select("doc_id", "text"), ids).select("text").mapInArrow(run, "node bigint, items array<bigint>")
+    ids = checkpointed(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").dropna().distinct())
+    read = _chosen_texts(docs.select("doc_id", "text"), ids).select("text").mapInArrow(run, schema)
     # Rows that share a doc_id may bring sets that weren't asked for, or one twice.
     return read.dropDuplicates(["node"])
 
 
+def _sketch(items: np.ndarray) -> bytes:
+    """One bit for each element at least, flipped by the elements that hash there; the halves of a longer sketch, xored, are the shorter one."""
+    bits = 1 << max(6, (len(items) - 1).bit_length())
+    odd = np.bincount((mixed(items) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _sketches(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    fields = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary())])
+    return _items_of(docs, sets, nodes, "node bigint, size bigint, sketch binary", fields, lambda s: (node_of(s), len(s), _sketch(s)))
+
+
+def _node_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    fields = pa.schema([("node", pa.int64()), ("items", pa.list_(pa.int64()))])
+    return _items_of(docs, sets, nodes, "node bigint, items array<bigint>", fields, lambda s: (node_of(s), s.view(np.int64)))
+
+
+def may_be_similar(size_a: int, a: bytes, size_b: int, b: bytes) -> bool:
+    if 5 * min(size_a, size_b) < 4 * max(size_a, size_b):
+        return False
+    x, y = (np.frombuffer(s, np.uint64) for s in sorted((a, b), key=len))
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) <= (size_a + size_b) // 9
+
+
+def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """pairs (a, b) with maybe: false where sizes or sketches rule the pair out."""
+    left, right = (sketches.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    fields = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("maybe", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            maybe = [may_be_similar(*row) for row in zip(*(x.column(c).to_pylist() for c in ("na", "sa", "nb", "sb")), strict=True)]
+            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(maybe, pa.bool_())], schema=fields)
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a bigint, b bigint, maybe boolean")
+
+
 def similar(a: Column, b: Column) -> Column:
     common = F.size(F.array_intersect(a, b))
     return F.lit(100).cast("bigint") * common >= F.lit(80).cast("bigint") * (F.size(a) + F.size(b) - common)
 
 
-def _verified(pairs: DataFrame, node_sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with ok: whether their sets are similar enough."""
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose whole sets are similar enough."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    node_sets = checkpointed(_node_sets(docs, sets, ends))
     left, right = (node_sets.select(F.col("node").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", similar(F.col("a_items"), F.col("b_items")).alias("ok"))
+    return pairs.join(left, "a").join(right, "b").where(similar(F.col("a_items"), F.col("b_items"))).select("a", "b")
 
 
 def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def node_components(shared: DataFrame, node_sets: DataFrame) -> DataFrame:
+def node_components(shared: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """node, comp for the nodes in shared (sign, node) that have links."""
     spark = shared.sparkSession
+    sketches = checkpointed(_sketches(docs, sets, shared.select("node").distinct()))
     labels = spark.createDataFrame([], "node bigint, comp bigint")
     tested = spark.createDataFrame([], "a bigint, b bigint")
     for round_ in range(ROUNDS + 1):
@@ -199,13 +241,14 @@ def node_components(shared: DataFrame, node_sets: DataFrame) -> DataFrame:
             open_ = rows.join(groups.select("sign"), "sign", "left_semi")
             one, two = open_.select("sign", F.col("node").alias("a"), F.col("comp").alias("ca")), open_.select("sign", F.col("node").alias("b"), F.col("comp").alias("cb"))
             pairs = one.join(two, "sign").where("a < b and ca <> cb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        found = checkpointed(_verified(pairs, node_sets))
-        if not found.limit(1).count():
-            if last:
-                break
+        found = checkpointed(_plausible(pairs, sketches))
+        n_found, n_maybe = found.agg(F.count("*"), F.count_if("maybe")).first()
+        if not n_found:
             continue
         tested = tested.union(found.select("a", "b"))
-        links = found.where("ok").select("a", "b")
+        if not n_maybe:
+            continue
+        links = checkpointed(_verified(found.where("maybe").select("a", "b"), docs, sets))
         # Components so far are single nodes of the next graph.
         up = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
         joined = links.join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
@@ -220,9 +263,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sets = checkpointed(_sets(texts))
     shared = checkpointed(_shared(_signs(texts, _common_signs(texts))))
-    nodes = shared.select("node").distinct()
-    node_sets = checkpointed(_node_sets(texts, sets, nodes))
-    labels = node_components(shared, node_sets)
+    labels = node_components(shared, texts, sets)
     rows = sets.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("component"))
     least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component")
