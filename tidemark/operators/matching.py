@@ -18,20 +18,22 @@ def segments_of(chain: Column) -> Column:
     return F.filter(F.split(chain, r"\."), lambda s: s != "")
 
 
-def _pairwise(expression: Column, pattern: Column, allow_dynamic: Column) -> Column:
+def _pairwise(expression: Column, pattern: Column, allow_dynamic: Column | bool) -> Column:
+    allow_dynamic = F.lit(allow_dynamic) if isinstance(allow_dynamic, bool) else allow_dynamic
+
     def fits(e: Column, p: Column) -> Column:
         return F.when(e == ANY, (p == ANY) | allow_dynamic).otherwise((p == ANY) | (e == p))
 
     return F.forall(F.zip_with(expression, pattern, lambda e, p: F.coalesce(fits(e, p), F.lit(False))), lambda x: x)
 
 
-def prefix_matches(segments: Column, pattern: Column, allow_dynamic: Column = F.lit(False)) -> Column:
+def prefix_matches(segments: Column, pattern: Column, allow_dynamic: Column | bool = False) -> Column:
     """The pattern's segments begin the chain, segment by segment."""
     n = F.size(pattern)
     return (F.size(segments) >= n) & (n > 0) & _pairwise(F.slice(segments, F.lit(1), F.greatest(n, F.lit(0))), pattern, allow_dynamic)
 
 
-def suffix_matches(segments: Column, pattern: Column, allow_dynamic: Column = F.lit(False)) -> Column:
+def suffix_matches(segments: Column, pattern: Column, allow_dynamic: Column | bool = False) -> Column:
     """The pattern's segments end the chain."""
     n = F.size(pattern)
     start = F.greatest(F.size(segments) - n + 1, F.lit(1))
