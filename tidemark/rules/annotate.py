@@ -106,6 +106,33 @@ def best_matches(e: Expression, rules: list[dict]) -> list[dict]:
     return [r for s, r in found if s == most]
 
 
+def _anchor(rule: dict) -> tuple[str, str | None]:
+    """Where an expression must agree with a rule for it to match at all: its last or first segment, or the identifier."""
+    member = [p for p in (rule.get("member") or "").split(".") if p]
+    if rule.get("call") is not None:
+        return "last", rule["call"]
+    if rule.get("identifier") is not None:
+        return "identifier", rule["identifier"]
+    if not member:
+        return "never", None
+    return ("last", member[-1]) if rule["member"].startswith(".") else ("first", member[0])
+
+
+class RuleIndex:
+    """Rules by anchor, so that a node is held against a few of them."""
+
+    def __init__(self, rules: list[dict]):
+        self.by: dict[tuple[str, str | None], list[tuple[int, dict]]] = {}
+        for k, r in enumerate(rules):
+            where, text = _anchor(r)
+            loose = text == "*" or r.get("allow_dynamic")
+            self.by.setdefault((where, None if loose else text), []).append((k, r))
+
+    def candidates(self, e: Expression) -> list[dict]:
+        keys = {("last", e.last or e.identifier), ("last", None), ("identifier", e.identifier), ("first", e.segments[0] if e.segments else None), ("first", None)}
+        return [r for _, r in sorted((x for k in keys for x in self.by.get(k, ())), key=lambda x: x[0])]
+
+
 _LITERAL = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`(?:[^`\\$]|\\.|\$(?!\{))*`""", re.S)
 _CONSTANT = re.compile(r"[+-]?(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?|\.\d+)|true|false|null|undefined")
 
@@ -136,6 +163,7 @@ def annotate_rows(tables: dict[str, list[dict]], rules: dict[str, list[dict]]) -
         aliases.setdefault(a["scope"], {})[a["name"]] = a["chain"]
     vocabulary = sorted({k for r in (*rules["sources"], *rules["sinks"]) for k in r["kinds"]})
     out: dict[str, list[dict]] = {"sources": [], "sanitizers": [], "sinks": []}
+    index = {kind: RuleIndex(rules[kind]) for kind in out}
     for n in tables["nodes"]:
         e = node_expression(n, aliases.get(n["function_id"].split("::", 1)[0]))
         if e.empty:
@@ -144,12 +172,12 @@ def annotate_rows(tables: dict[str, list[dict]], rules: dict[str, list[dict]]) -
         f = functions.get(n["function_id"], {})
         name, owner = f.get("name"), f.get("class_name")
         names = {name, n["function_id"], f"{owner}.{name}", f"{owner}::{name}", n["function_id"].split("::", 1)[-1]}
-        for r in best_matches(e, [r for r in rules["sources"] if r.get("within_functions") is None or names & set(r["within_functions"])])[:1]:
+        for r in best_matches(e, [r for r in index["sources"].candidates(e) if r.get("within_functions") is None or names & set(r["within_functions"])])[:1]:
             out["sources"].append(at | {"source_id": r["id"], "kinds": sorted(r["kinds"]), "label": n["label"]})
-        for r in best_matches(e, rules["sanitizers"])[:1]:
+        for r in best_matches(e, index["sanitizers"].candidates(e))[:1]:
             reason = invalid_reason(r.get("validation"), e)
             out["sanitizers"].append(at | {"sanitizer_id": r["id"], "kinds": r["kinds"] or vocabulary, "valid": reason is None, "invalid_reason": reason})
-        for r in best_matches(e, rules["sinks"]):
+        for r in best_matches(e, index["sinks"].candidates(e)):
             args = r["tainted_args"] if r.get("tainted_args") is not None else list(range(len(e.args)))
             out["sinks"].append(at | {"sink_id": r["id"], "kinds": r["kinds"], "severity": r["severity"], "message": r["message"], "advice": r.get("advice"), "cwe": r.get("cwe"), "label": n["label"], "tainted_args": args})
     for name, key in (("sources", "source_id"), ("sanitizers", "sanitizer_id"), ("sinks", "sink_id")):

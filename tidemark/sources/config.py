@@ -152,7 +152,7 @@ def parse_config(text: str, origin: str = "text") -> Config:
     document = reader.record({} if document is None else document, "", ("version", "rules", "analysis", "output", "ignorePaths"))
     if document.get("version", 1) != 1:
         raise ConfigError("version: must be 1")
-    rules = reader.record(document.get("rules", {}) or {}, "rules", ("sources", "sanitizers", "sinks", "propagators"))
+    rules = reader.record({} if document.get("rules") is None else document["rules"], "rules", ("sources", "sanitizers", "sinks", "propagators"))
     for kind in rules:
         if kind not in out.rules:
             continue
@@ -164,13 +164,13 @@ def parse_config(text: str, origin: str = "text") -> Config:
         else:
             out.rules[kind], said = merge_rules(out.rules[kind], own)
             reader.warnings += said
-    analysis = reader.record(document.get("analysis", {}) or {}, "analysis", ("maxCallDepth", "maxIterations", "kinds", "dedupe", "ignorePaths"))
+    analysis = reader.record({} if document.get("analysis") is None else document["analysis"], "analysis", ("maxCallDepth", "maxIterations", "kinds", "dedupe", "ignorePaths"))
     for key, name, read in (("maxCallDepth", "max_call_depth", reader.integer), ("maxIterations", "max_iterations", reader.integer), ("kinds", "kinds", reader.strings), ("dedupe", "dedupe", reader.boolean), ("ignorePaths", "ignore_paths", reader.strings)):
         if key in analysis:
             setattr(out, name, read(analysis[key], f"analysis.{key}"))
     if "ignorePaths" in document:
         out.ignore_paths = reader.strings(document["ignorePaths"], "ignorePaths")
-    output = reader.record(document.get("output", {}) or {}, "output", ("format", "output", "failOn"))
+    output = reader.record({} if document.get("output") is None else document["output"], "output", ("format", "output", "failOn"))
     if "format" in output:
         out.format = reader.choice(output["format"], "output.format", FORMATS)
     if "output" in output:
