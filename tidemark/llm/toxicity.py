@@ -55,7 +55,8 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
             dp, du = -dp_minus, -du_minus
         else:
             dp, du = dp_plus + dp_minus, du_minus
-        slope = np.bincount(pv, dp[p_rows], size) + np.bincount(uv, du[u_rows], size)
+        slope = np.bincount(pv, dp[p_rows], size)
+        slope += np.bincount(uv, du[u_rows], size)
         slope0 = dp.sum() + du.sum()
         squares += slope**2
         square0 += slope0**2
