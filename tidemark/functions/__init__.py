@@ -1 +1 @@
-
+"""Column functions on tags and text."""

@@ -1 +1 @@
-
+"""Project files, their graph tables, and configuration."""

@@ -1 +1 @@
-
+"""Nothing here: the engine analyses whole projects, and a fixpoint over a changing graph is not among its operators."""

@@ -223,12 +223,15 @@ st AS (SELECT node, source_id, CASE WHEN html AND sql THEN 'html,sql' WHEN html
 met AS (SELECT node, source_id, 'sql' AS kinds, 'urgent-order' AS rule_id, 'error' AS severity, arg FROM st JOIN orders ON node = 'O' || o_orderkey WHERE sql AND o_orderpriority = '1-URGENT' AND arg IN (1, 2)
   UNION ALL SELECT node, source_id, 'html', 'building-customer', 'warning', arg FROM st JOIN customer ON node = 'C' || c_custkey WHERE html AND c_mktsegment = 'BUILDING')
 """
-_ARG = F.when(F.col("arg") < 0, -1).otherwise(F.col("arg")).cast("int").alias("arg")
+
+
+def _arg():
+    return F.when(F.col("arg") < 0, -1).otherwise(F.col("arg")).cast("int").alias("arg")
 
 
 @query(_FLOW + "SELECT node, source_id, kinds, CAST(arg AS INT) AS arg, depth FROM st")
 def taint_states(spark, d):
-    return flow_states(spark, d).select("node", "source_id", F.array_join("kinds", ",").alias("kinds"), _ARG, F.col("level").alias("depth"))
+    return flow_states(spark, d).select("node", "source_id", F.array_join("kinds", ",").alias("kinds"), _arg(), F.col("level").alias("depth"))
 
 
 def _met(spark, d):
@@ -238,7 +241,7 @@ def _met(spark, d):
 
 @query(_FLOW + "SELECT node, source_id, kinds, rule_id, severity, CAST(arg AS INT) AS arg FROM met")
 def sink_observations(spark, d):
-    return _met(spark, d).select("node", "source_id", F.array_join("kinds", ",").alias("kinds"), F.col("sink_id").alias("rule_id"), "severity", _ARG)
+    return _met(spark, d).select("node", "source_id", F.array_join("kinds", ",").alias("kinds"), F.col("sink_id").alias("rule_id"), "severity", _arg())
 
 
 def _findings(spark, d):
