@@ -11,7 +11,7 @@ from tidemark.llm._common import checkpointed
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) bigint -> (node, comp), comp being the smallest node that links reach. Repeated links, loops and either direction are fine; an empty table gives an empty one."""
     both = checkpointed(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("comp")))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("comp"))
     while True:
         # Each node takes the least label near it, and then what that label's node itself points to.
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))

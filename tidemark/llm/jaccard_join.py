@@ -10,9 +10,9 @@ The order puts signatures that a bounded probe of documents found common behind
 fixed order, so the probe decides about speed only: lines and passages that many documents share make no large groups.
 In bands of short sets each element is a partition of its own.
 
-Sets are named by a 64-bit hash, and equal sets are one node from the start. Signature groups then give candidate pairs in
-rounds: each node meets one representative of its groups, verified pairs become components, and only groups that still span
-two components go on; what is left meets in full, so no link is lost. All pairs of a group are never made while a
+Sets are named by a 64-bit hash, and equal sets are one node from the start. Signature groups then give candidate pairs twice:
+first each node meets a few representatives of its groups and verified pairs become components; then, in groups that still span
+two components, all that is left meets in full, so no link is lost. All pairs of a group are never made while a
 representative can settle them. A pair is first held against sizes and parity bit maps: each element flips one bit, so the bits
 in which two maps differ are a lower bound of the elements in which the sets do. What passes is verified on the whole sets.
 
@@ -42,8 +42,8 @@ while _BANDS[-1] < 1 << 40:
 _BAND_ENDS = np.array(_BANDS, np.int64)
 #: Documents that the probe for common signatures reads, the number of them that makes one common, and how many are kept.
 PROBE, COMMON, KEPT = 6000, 4, 200_000
-#: Rounds with one representative a group, before what is left meets in full.
-ROUNDS = 3
+#: Representatives of a group, and how many of those that it shares most signatures with a node meets, before what is left meets in full.
+REPRESENTATIVES, MEETS = 4, 3
 
 
 def most_differences(size: int) -> int:
@@ -151,19 +151,17 @@ def _chosen_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def _items_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame, schema: str, fields: pa.Schema, value) -> DataFrame:
-    """One row for each of the nodes, made by value from the whole set of a document that has it."""
+def _items_of(texts: DataFrame, schema: str, fields: pa.Schema, value) -> DataFrame:
+    """One row for each set of the given texts, made by value from its document's id and the whole set."""
     hashes = WordHashes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            found = [value(s) for s in (shingle_set(x, hashes) for x in utf8(part))]
+            found = [value(d, shingle_set(x, hashes)) for d, x in zip(part.column("doc_id").to_pylist(), utf8(part), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], x.type) for k, x in enumerate(fields)], schema=fields)
 
-    ids = checkpointed(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").dropna().distinct())
-    read = _chosen_texts(docs.select("doc_id", "text"), ids).select("text").mapInArrow(run, schema)
     # Rows that share a doc_id may bring sets that weren't asked for, or one twice.
-    return read.dropDuplicates(["node"])
+    return texts.select("doc_id", "text").mapInArrow(run, schema).dropDuplicates(["node"])
 
 
 def _sketch(items: np.ndarray) -> bytes:
@@ -174,13 +172,10 @@ def _sketch(items: np.ndarray) -> bytes:
 
 
 def _sketches(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    fields = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary())])
-    return _items_of(docs, sets, nodes, "node bigint, size bigint, sketch binary", fields, lambda s: (node_of(s), len(s), _sketch(s)))
-
-
-def _node_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    fields = pa.schema([("node", pa.int64()), ("items", pa.list_(pa.int64()))])
-    return _items_of(docs, sets, nodes, "node bigint, items array<bigint>", fields, lambda s: (node_of(s), s.view(np.int64)))
+    """node, doc_id (one that has the set), size, sketch."""
+    fields = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary())])
+    ids = checkpointed(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").dropna().distinct())
+    return _items_of(_chosen_texts(docs, ids), "node bigint, doc_id bigint, size bigint, sketch binary", fields, lambda d, s: (node_of(s), d, len(s), _sketch(s)))
 
 
 def may_be_similar(size_a: int, a: bytes, size_b: int, b: bytes) -> bool:
@@ -210,52 +205,45 @@ def similar(a: Column, b: Column) -> Column:
     return F.lit(100).cast("bigint") * common >= F.lit(80).cast("bigint") * (F.size(a) + F.size(b) - common)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose whole sets are similar enough."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    node_sets = checkpointed(_node_sets(docs, sets, ends))
-    left, right = (node_sets.select(F.col("node").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").where(similar(F.col("a_items"), F.col("b_items"))).select("a", "b")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b")
+    ids = sketches.join(ends.select("node"), "node", "left_semi").select("doc_id")
+    fields = pa.schema([("node", pa.int64()), ("items", pa.list_(pa.int64()))])
+    whole = _items_of(_chosen_texts(docs, ids), "node bigint, items array<bigint>", fields, lambda _, s: (node_of(s), s.view(np.int64)))
+    met = ends.join(whole, "node").groupBy("a", "b").agg(F.first(F.when(F.col("node") == F.col("a"), F.col("items")), True).alias("x"), F.first(F.when(F.col("node") == F.col("b"), F.col("items")), True).alias("y"))
+    return met.where(similar(F.col("x"), F.col("y"))).select("a", "b")
 
 
-def _ordered(x: str, y: str) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (node, comp) after links; components so far are single nodes of the new graph."""
+    if labels is None:
+        return components(links)
+    up = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+    top = components(links.join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    moved = labels.join(top.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    return moved.union(top.join(labels, "node", "left_anti").select("node", "comp"))
 
 
 def node_components(shared: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """node, comp for the nodes in shared (sign, node) that have links."""
-    spark = shared.sparkSession
     sketches = checkpointed(_sketches(docs, sets, shared.select("node").distinct()))
-    labels = spark.createDataFrame([], "node bigint, comp bigint")
-    tested = spark.createDataFrame([], "a bigint, b bigint")
-    for round_ in range(ROUNDS + 1):
-        rows = shared.join(labels, "node", "left").select("sign", "node", F.coalesce("comp", "node").alias("comp"))
-        groups = rows.groupBy("sign").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct(F.xxhash64(F.lit(round_), "node"), F.col("node").alias("rep"), F.col("comp").alias("rep_comp"))).alias("first")).where("c0 <> c1")
-        groups = groups.select("sign", F.col("first.rep").alias("rep"), F.col("first.rep_comp").alias("rep_comp"))
-        last = round_ == ROUNDS
-        if not last:
-            met = rows.join(groups, "sign").where("comp <> rep_comp").groupBy("node", "rep").agg(F.count("*").alias("n"))
-            met = met.join(tested.select(F.col("a").alias("node"), F.col("b").alias("rep")).union(tested.select(F.col("b"), F.col("a"))), ["node", "rep"], "left_anti")
-            pairs = met.groupBy("node").agg(F.max(F.struct("n", "rep")).alias("best")).select(*_ordered("node", "best.rep")).distinct()
-        else:
-            open_ = rows.join(groups.select("sign"), "sign", "left_semi")
-            one, two = open_.select("sign", F.col("node").alias("a"), F.col("comp").alias("ca")), open_.select("sign", F.col("node").alias("b"), F.col("comp").alias("cb"))
-            pairs = one.join(two, "sign").where("a < b and ca <> cb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        found = checkpointed(_plausible(pairs, sketches))
-        n_found, n_maybe = found.agg(F.count("*"), F.count_if("maybe")).first()
-        if not n_found:
-            continue
-        tested = tested.union(found.select("a", "b"))
-        if not n_maybe:
-            continue
-        links = checkpointed(_verified(found.where("maybe").select("a", "b"), docs, sets))
-        # Components so far are single nodes of the next graph.
-        up = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
-        joined = links.join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        top = components(joined)
-        before = labels.join(top.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
-        labels = checkpointed(before.union(top.join(labels, "node", "left_anti").select("node", "comp")))
-    return labels
+    # Each group has a few representatives, the least nodes by as many hashes.
+    first = [F.min(F.struct(F.xxhash64(F.lit(k), "node"), "node")).getField("node") for k in range(REPRESENTATIVES)]
+    groups = shared.groupBy("sign").agg(F.array_distinct(F.array(*first)).alias("reps")).select("sign", F.explode("reps").alias("rep"))
+    met = shared.join(groups, "sign").where("node <> rep").groupBy("node", "rep").agg(F.count("*").alias("n"))
+    best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "rep")), asc=False), 1, MEETS).alias("best")).select("node", F.explode("best.rep").alias("rep"))
+    pairs = best.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
+    tested = checkpointed(_plausible(pairs, sketches))
+    labels = checkpointed(_joined(None, checkpointed(_verified(tested.where("maybe"), docs, sketches))))
+    # What is left: pairs of nodes that share a signature, not a component, and haven't met.
+    rows = shared.join(labels, "node", "left").select("sign", "node", F.coalesce("comp", "node").alias("comp"))
+    spans = rows.groupBy("sign").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sign")
+    open_ = checkpointed(rows.join(spans, "sign"))
+    one, two = open_.select("sign", F.col("node").alias("a"), F.col("comp").alias("ca")), open_.select("sign", F.col("node").alias("b"), F.col("comp").alias("cb"))
+    rest = one.join(two, "sign").where("a < b and ca <> cb").select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    more = checkpointed(_plausible(rest, sketches).where("maybe").select("a", "b"))
+    return checkpointed(_joined(labels, checkpointed(_verified(more, docs, sketches))))
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
