@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._common import BROADCAST_IDS, checkpointed, text_slices, utf8, without_ids
 from tidemark.llm.components import components
+from tidemark.llm.decontamination import shingle_sql
 from tidemark.llm.shingles import WordHashes, mixed, shingle_set
 
 #: Upper ends of the size bands; sets under 4 elements have no partner but equal sets.
@@ -266,3 +267,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
         docs = docs.dropDuplicates(["doc_id", "text"])
     return without_ids(docs, jaccard_digest(docs).where("doc_id <> component_id"))
+
+
+ORACLE = f"""
+WITH RECURSIVE d AS ({shingle_sql("documents", "doc_id")}), n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM d a JOIN d b USING (s) JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, y FROM reach JOIN links ON other = x)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""

@@ -57,4 +57,4 @@ _REGISTERED = (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _REGISTERED}
 
 #: Only what SQL can express; the others are tested against brute force, exact round trips or held-out labels.
-ORACLES: dict[str, str] = {"op4_benchmark_decontamination": decontamination.ORACLE, "op7_license_scans": licenses.ORACLE}
+ORACLES: dict[str, str] = {"op4_benchmark_decontamination": decontamination.ORACLE, "op6_ngram_jaccard_join": jaccard_join.ORACLE, "op7_license_scans": licenses.ORACLE}
