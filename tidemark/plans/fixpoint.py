@@ -129,24 +129,24 @@ def propagate(graph: Graph, occurrences: Occurrences, options: SolveOptions = So
     clears = checkpointed(clearing(occurrences.sanitizers))
     ways = checkpointed(moves(graph, bindings, options))
     frontier = seeds(graph, occurrences.sources, clears, bindings, options)
-    levels, counts, truncated, capped, rounds = [], spark.createDataFrame([], "function_id string, before bigint"), set(), set(), 0
+    levels, total, truncated, capped, rounds = [], 0, set(), set(), 0
     while True:
-        # Budget: a function's states beyond the limit, in order of arrival, are seen but not expanded.
-        sums = checkpointed(frontier.groupBy("function_id").agg(F.count("*").alias("n")))
-        n_states, most = sums.agg(F.sum("n"), F.max("n")).first()
+        n_states = frontier.count()
         if not n_states:
             break
-        before = sums.join(counts, "function_id", "left").select("function_id", "n", F.coalesce("before", F.lit(0)).alias("before"))
-        over = [r[0] for r in before.where(F.col("before") + F.col("n") > options.max_iterations).select("function_id").collect()]
-        if over:
-            truncated.update(over)
-            tight = F.broadcast(before.where(F.col("before") + F.col("n") > options.max_iterations))
-            ranked = frontier.join(tight, "function_id").withColumn("r", F.row_number().over(Window.partitionBy("function_id").orderBy("seq")))
-            late = ranked.where(F.col("r") + F.col("before") > options.max_iterations).select("seq").withColumn("late", F.lit(True))
-            frontier = checkpointed(frontier.join(late, "seq", "left").withColumn("expanded", F.col("late").isNull()).drop("late"))
-        else:
-            frontier = frontier.withColumn("expanded", F.lit(True))
-        counts = checkpointed(counts.join(before, "function_id", "full").select("function_id", (F.coalesce(before["before"], counts["before"]) + F.coalesce("n", F.lit(0))).alias("before")))
+        total += n_states
+        frontier = frontier.withColumn("expanded", F.lit(True))
+        # A function's states beyond the limit, in order of arrival, are seen but not expanded. While all states together are within it, so is each function.
+        if total > options.max_iterations:
+            own = frontier.groupBy("function_id").agg(F.count("*").alias("n"))
+            past = reduce(DataFrame.unionByName, [x.select("function_id") for x in levels]) if levels else frontier.limit(0).select("function_id")
+            before = own.join(past.groupBy("function_id").agg(F.count("*").alias("past")), "function_id", "left").select("function_id", "n", F.coalesce("past", F.lit(0)).alias("past"))
+            tight = checkpointed(before.where(F.col("past") + F.col("n") > options.max_iterations))
+            if over := [r[0] for r in tight.select("function_id").collect()]:
+                truncated.update(over)
+                ranked = frontier.join(F.broadcast(tight), "function_id").withColumn("r", F.row_number().over(Window.partitionBy("function_id").orderBy("seq")))
+                late = ranked.where(F.col("r") + F.col("past") > options.max_iterations).select("seq").withColumn("late", F.lit(True))
+                frontier = checkpointed(frontier.join(late, "seq", "left").withColumn("expanded", F.col("late").isNull()).drop("late"))
         levels.append(frontier)
         rounds += 1
         go = frontier.where("expanded").select("node", "source_id", "kinds", "arg", "entered", "symbolic", F.col("seq").alias("parent"))
