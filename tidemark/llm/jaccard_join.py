@@ -10,10 +10,10 @@ The order puts signatures that a bounded probe of documents found common behind
 fixed order, so the probe decides about speed only: lines and passages that many documents share make no large groups.
 In bands of short sets each element is a partition of its own.
 
-Sets are named by a 64-bit hash, and equal sets are one node from the start. Signature groups then give candidate pairs twice:
-first each node meets a few representatives of its groups and verified pairs become components; then, in groups that still span
-two components, all that is left meets in full, so no link is lost. All pairs of a group are never made while a
-representative can settle them. A pair is first held against sizes and parity bit maps: each element flips one bit, so the bits
+Sets are named by a 64-bit hash, and equal sets are one node from the start. Signature groups then give candidate pairs in
+rounds: each node meets a few representatives of its groups, verified pairs become components, and only groups that still span
+two components go on, with other representatives, as long as that links anything. What is left meets in full, so no link is lost: groups are cut
+into blocks, pairs of blocks are compared within a task, and only pairs that may be similar leave it. All pairs of a group are never rows. A pair is first held against sizes and parity bit maps: each element flips one bit, so the bits
 in which two maps differ are a lower bound of the elements in which the sets do. What passes is verified on the whole sets.
 
 Null texts and texts without words have an empty set and are components of their own; texts under five words have one shingle.
@@ -43,8 +43,10 @@ while _BANDS[-1] < 1 << 40:
 _BAND_ENDS = np.array(_BANDS, np.int64)
 #: Documents that the probe for common signatures reads, the number of them that makes one common, and how many are kept.
 PROBE, COMMON, KEPT = 6000, 4, 200_000
-#: Representatives of a group, and how many of those that it shares most signatures with a node meets, before what is left meets in full.
-REPRESENTATIVES, MEETS = 4, 3
+#: Representatives of a group, how many of those that it shares most signatures with a node meets, and how often, before what is left meets in full.
+REPRESENTATIVES, MEETS, ROUNDS = 4, 3, 4
+#: Nodes of a group that are held against each other, or against as many others, in one step.
+BLOCK = 256
 
 
 def most_differences(size: int) -> int:
@@ -226,24 +228,85 @@ def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return moved.union(top.join(labels, "node", "left_anti").select("node", "comp"))
 
 
+def _met(rows: DataFrame, round_: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components: each node with those of its groups' representatives that it shares most signatures with. rows: sign, node, comp."""
+    first = [F.min(F.struct(F.xxhash64(F.lit(round_ * REPRESENTATIVES + k), "node"), "node", "comp")) for k in range(REPRESENTATIVES)]
+    groups = rows.groupBy("sign").agg(F.array_distinct(F.array(*first)).alias("reps")).select("sign", F.explode("reps").alias("r")).select("sign", F.col("r.node").alias("rep"), F.col("r.comp").alias("rep_comp"))
+    met = rows.join(groups, "sign").where("comp <> rep_comp").groupBy("node", "rep").agg(F.count("*").alias("n"))
+    best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "rep")), asc=False), 1, MEETS).alias("best")).select("node", F.explode("best.rep").alias("rep"))
+    return best.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
+
+
+def compared(node: np.ndarray, comp: np.ndarray, size: np.ndarray, sketch: list[bytes], side: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of different components that may be similar; of two blocks (sides 0 and 1) only pairs across, within one block (side -1) all."""
+    short = min(map(len, sketch))
+    folded = []
+    for s in sketch:
+        x = np.frombuffer(s, np.uint64)
+        while len(x) * 8 > short:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        folded.append(x)
+    bits, out = np.stack(folded), []
+    for i in range(len(node) - 1):
+        rest = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((side[i] < 0) | (side[i + 1 :] != side[i])) & (5 * np.minimum(size[i], size[i + 1 :]) >= 4 * np.maximum(size[i], size[i + 1 :]))) + i + 1
+        if len(rest):
+            near = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(1) <= (size[i] + size[rest]) // 9]
+            out += [(min(node[i], node[j]), max(node[i], node[j])) for j in near.tolist() if may_be_similar(int(size[i]), sketch[i], int(size[j]), sketch[j])]
+    return out
+
+
+def _in_full(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that share a signature, not a component, and may be similar. rows: sign, node, comp."""
+    blocks = rows.groupBy("sign").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    spread = rows.join(blocks, "sign").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.xxhash64("sign", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    cells = spread.select(cell.alias("cell"), "node", "comp", side.alias("side")).join(sketches.select("node", "size", "sketch"), "node").select("cell", "node", "comp", "side", "size", "sketch")
+    fields = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = table.column("cell").to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))
+            held = table.slice(cut)
+            yield from settle(table.slice(0, cut))
+        if held is not None:
+            yield from settle(held)
+
+    def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not table.num_rows:
+            return
+        keys, node, comp, side, size = (table.column(c).to_numpy() for c in ("cell", "node", "comp", "side", "size"))
+        sketch = table.column("sketch").to_pylist()
+        begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist()
+        found: set[tuple[int, int]] = set()
+        for a, b in zip(begins, [*begins[1:], len(keys)], strict=True):
+            if b - a > 1:
+                found.update(compared(node[a:b], comp[a:b], size[a:b], sketch[a:b], side[a:b]))
+        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=fields)
+
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def node_components(shared: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """node, comp for the nodes in shared (sign, node) that have links."""
     sketches = checkpointed(_sketches(docs, sets, shared.select("node").distinct()))
-    # Each group has a few representatives, the least nodes by as many hashes.
-    first = [F.min(F.struct(F.xxhash64(F.lit(k), "node"), "node")).getField("node") for k in range(REPRESENTATIVES)]
-    groups = shared.groupBy("sign").agg(F.array_distinct(F.array(*first)).alias("reps")).select("sign", F.explode("reps").alias("rep"))
-    met = shared.join(groups, "sign").where("node <> rep").groupBy("node", "rep").agg(F.count("*").alias("n"))
-    best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "rep")), asc=False), 1, MEETS).alias("best")).select("node", F.explode("best.rep").alias("rep"))
-    pairs = best.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
-    tested = checkpointed(_plausible(pairs, sketches))
-    labels = checkpointed(_joined(None, checkpointed(_verified(tested.where("maybe"), docs, sketches))))
-    # What is left: pairs of nodes that share a signature, not a component, and haven't met.
-    rows = shared.join(labels, "node", "left").select("sign", "node", F.coalesce("comp", "node").alias("comp"))
-    spans = rows.groupBy("sign").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sign")
-    open_ = checkpointed(rows.join(spans, "sign"))
-    one, two = open_.select("sign", F.col("node").alias("a"), F.col("comp").alias("ca")), open_.select("sign", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    rest = one.join(two, "sign").where("a < b and ca <> cb").select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = checkpointed(_plausible(rest, sketches).where("maybe").select("a", "b"))
+    rows, labels = shared.withColumn("comp", F.col("node")), None
+    for round_ in range(ROUNDS):
+        links = checkpointed(_verified(_plausible(_met(rows, round_), sketches).where("maybe").select("a", "b"), docs, sketches))
+        if labels is not None and not links.limit(1).count():
+            break
+        labels = checkpointed(_joined(labels, links))
+        every = shared.join(labels, "node", "left").select("sign", "node", F.coalesce("comp", "node").alias("comp"))
+        spans = every.groupBy("sign").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sign")
+        rows = checkpointed(every.join(spans, "sign"))
+    more = checkpointed(_in_full(rows, sketches))
     return checkpointed(_joined(labels, checkpointed(_verified(more, docs, sketches))))
 
 
