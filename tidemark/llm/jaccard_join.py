@@ -44,7 +44,7 @@ _BAND_ENDS = np.array(_BANDS, np.int64)
 #: Documents that the probe for common signatures reads, the number of them that makes one common, and how many are kept.
 PROBE, COMMON, KEPT = 6000, 4, 200_000
 #: Representatives of a group, how many of those that it shares most signatures with a node meets, and how often, before what is left meets in full.
-REPRESENTATIVES, MEETS, ROUNDS = 4, 3, 4
+REPRESENTATIVES, MEETS, ROUNDS = 4, 3, 2
 #: Nodes of a group that are held against each other, or against as many others, in one step.
 BLOCK = 256
 
