@@ -2,7 +2,7 @@
 
 import pytest
 
-from tidemark import source_queries
+from tidemark import source_queries, table_queries
 
 KEYS = [0, 1, 2, 5, 199, 200, 202, 400, 402, 403, 19999]
 
@@ -20,3 +20,22 @@ def test_every_part_is_a_file(spark, parts):
     assert found == {(f"parts/p{k}.ts", rules[k % 6], 4) for k in KEYS if rules[k % 6]}
     functions = sorted(r["id"] for r in source_queries.source_functions(spark, parts).collect())
     assert functions == sorted(f"parts/p{k}.ts::{name}" for k in KEYS for name in ("wrap", "app.get~arg1", "<module>"))
+
+
+def bound(k):
+    """Parameters p0 to p2 to nodes n0 to n2 of part k: by label first, the rest in order."""
+    labels = [f"p{(k + j) % 4}" if (k + j) % 4 < 3 else "other" for j in range(3)]
+    by_name = {i: labels.index(f"p{i}") for i in range(3) if f"p{i}" in labels}
+    left = [j for j in range(3) if j not in by_name.values()]
+    return by_name | dict(zip([i for i in range(3) if i not in by_name], left))
+
+
+def test_every_part_has_parameters(spark, parts):
+    rows = table_queries.parameter_binding(spark, parts).collect()
+    assert sorted(map(tuple, (r.asDict().values() for r in rows))) == sorted((k, i, f"n{j}") for k in KEYS for i, j in bound(k).items())
+
+
+def test_every_part_has_a_summary(spark, parts):
+    size = {k: 5 + 10 * (k % 2) for k in KEYS}
+    got = {(r["function_id"], r["returned"], r["sinks"]) for r in table_queries.parameter_summaries(spark, parts).collect()}
+    assert got == {(f"part.ts::f{k}", "0" if k % 2 == 0 else "", "1:sql-query:0" if size[k] < 10 else "") for k in KEYS if k % 2 == 0 or size[k] < 10}

@@ -303,7 +303,7 @@ def containment_dedupe(spark, d):
 @query("""SELECT 'part.ts::f' || p_partkey AS function_id, CASE WHEN p_partkey % 2 = 0 THEN '0' ELSE '' END AS returned, CASE WHEN p_size < 10 THEN '1:sql-query:0' ELSE '' END AS sinks
 FROM part WHERE p_partkey < 400 AND (p_partkey % 2 = 0 OR p_size < 10)""")
 def parameter_summaries(spark, d):
-    parts = read(spark, d, "part").where("p_partkey < 400")
+    parts = read(spark, d, "part")
     fid = F.concat(F.lit("part.ts::f"), "p_partkey")
     none, here = F.lit(None), _range(F.col("p_partkey") + 1)
     param = lambda name, i: F.struct(F.lit(name).alias("name"), F.lit(i).alias("index"), F.lit(False).alias("optional"), F.lit(False).alias("rest"), none.cast("array<string>").alias("destructured"))
@@ -327,7 +327,7 @@ lp AS (SELECT p_partkey, i, row_number() OVER (PARTITION BY p_partkey ORDER BY i
 ln AS (SELECT p_partkey, j, row_number() OVER (PARTITION BY p_partkey ORDER BY j) AS r FROM n ANTI JOIN named USING (p_partkey, j))
 SELECT p_partkey, CAST(i AS INT) AS param, 'n' || j AS node FROM (SELECT * FROM named UNION ALL SELECT p_partkey, i, j FROM lp JOIN ln USING (p_partkey, r))""")
 def parameter_binding(spark, d):
-    parts = read(spark, d, "part").where("p_partkey < 200").select("p_partkey")
+    parts = read(spark, d, "part").select("p_partkey")
     none, here = F.lit(None), _range(F.col("p_partkey") + 1)
     param = lambda i: F.struct(F.lit(f"p{i}").alias("name"), F.lit(i).alias("index"), F.lit(False).alias("optional"), F.lit(False).alias("rest"), none.cast("array<string>").alias("destructured"))
     functions = parts.select(F.col("p_partkey").cast("string").alias("id"), F.array(*[param(i) for i in range(3)]).alias("params"))
