@@ -39,3 +39,28 @@ def test_every_part_has_a_summary(spark, parts):
     size = {k: 5 + 10 * (k % 2) for k in KEYS}
     got = {(r["function_id"], r["returned"], r["sinks"]) for r in table_queries.parameter_summaries(spark, parts).collect()}
     assert got == {(f"part.ts::f{k}", "0" if k % 2 == 0 else "", "1:sql-query:0" if size[k] < 10 else "") for k in KEYS if k % 2 == 0 or size[k] < 10}
+
+
+LINES = [(o, n, "AR"[o % 2], float(q)) for o in range(14) for n, q in ((1, 4), (2, 1), (4, 3), (4 + 3 * (o % 2), 3), (5, 2))]
+
+
+def kept_spans():
+    """Ids of spans that no earlier span of their order and flag holds, the first of equal ones."""
+    spans = {}
+    for o, n, flag, q in LINES:
+        a = n % 3 + 1
+        spans.setdefault((o, flag), []).append((a, n, a + int(q) % 4))
+    out = []
+    for (o, flag), own in spans.items():
+        first = {}
+        for a, n, b in sorted(own):
+            first.setdefault((a, b), (a, n, b))
+        out += [(f"x{o}.{n}", flag) for a, n, b in first.values() if not any((x, m) < (a, n) and b <= y for x, m, y in first.values())]
+    return out
+
+
+def test_every_order_is_deduped(spark, tmp_path):
+    lines = sorted(set(LINES))
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_returnflag string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(map(tuple, table_queries.containment_dedupe(spark, str(tmp_path)).select("id", "rule_id").collect()))
+    assert got == sorted(kept_spans()) and len({i.split(".")[0] for i, _ in got}) == 14
