@@ -64,3 +64,18 @@ def test_every_order_is_deduped(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_returnflag string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = sorted(map(tuple, table_queries.containment_dedupe(spark, str(tmp_path)).select("id", "rule_id").collect()))
     assert got == sorted(kept_spans()) and len({i.split(".")[0] for i, _ in got}) == 14
+
+
+def test_every_line_links_nations(spark, tmp_path):
+    """A ring of four nations, of whose links only one is a first line of a large quantity, and a nation that none reaches."""
+    tables = {
+        "nation": ([(k, f"NATION_{k}", 0) for k in range(5)], "n_nationkey int, n_name string, n_regionkey int"),
+        "supplier": ([(k, k) for k in range(5)], "s_suppkey long, s_nationkey int"),
+        "customer": ([(k, k) for k in range(5)], "c_custkey long, c_nationkey int"),
+        "orders": ([(k, (k + 1) % 4) for k in range(4)], "o_orderkey long, o_custkey long"),
+        "lineitem": ([(0, 0, 1, 50.0), (1, 1, 2, 50.0), (2, 2, 1, 3.0), (3, 3, 7, 1.0), (3, 4, 3, 2.0)], "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = sorted(map(tuple, table_queries.cyclic_reachability(spark, str(tmp_path)).collect()))
+    assert got == sorted([(a, b) for a in range(4) for b in range(4) if a != b] + [(4, b) for b in range(4)])
