@@ -198,6 +198,18 @@ def test_licences(spark):
     }
 
 
+def test_notices_among_other_words(spark):
+    gpl = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version."
+    texts = {
+        "Copyright (c) 2020 Foo Inc. Released under the MIT License.": "MIT", "Copyright 2019 Acme Corp. Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Some prose before it. Released under the MIT License.": "MIT",
+        "Mozilla Public License Version 2.0": "MPL-2.0", gpl: "GPL-3.0", "word " * 3000 + "under the ISC License " + "word " * 3000: "ISC", "Copyright (c) 2021 A\n\n" + licenses._MIT: "MIT", "Copyright B 2022\n" + licenses._ISC: "ISC",
+        "ISC License\n\nCopyright B 2022\n": "ISC", "It was released under the license of its owner.": None, "My driving license expired, by the way.": None, "All copyright laws hold for the general public.": None, None: None,
+    }
+    rows = [(k, f"d{k}/x", x) for k, x in enumerate(texts)]
+    got = {r["doc_id"]: r["own_licence"] for r in licenses.scan_licences(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == dict(enumerate(texts.values()))
+
+
 # ---- the pipeline
 
 
