@@ -174,6 +174,14 @@ def test_mix(spark):
     assert mixing.mix_digest(docs.limit(0)).count() == 0
 
 
+def test_digest_has_the_draws(spark):
+    docs = spark.createDataFrame([(i, "one two three four", "ab"[i % 7 == 0]) for i in range(300)], "doc_id long, text string, source string")
+    placed = {r["doc_id"]: [p["shard"] for p in r["placements"]] for r in mixing.mix(docs).collect()}
+    got = mixing.mix_digest(docs).collect()
+    assert {r["doc_id"]: r["shards"] for r in got} == placed and all(r["taken"] == r["size"] * len(r["shards"]) for r in got)
+    assert sum(map(len, placed.values())) and {s for x in placed.values() for s in x} <= set(range(mixing.SHARDS))
+
+
 def test_hypergeometric(spark):
     made = spark.range(4000).selectExpr(mixing.hypergeometric_sql("50L", "20L", "10L", "(cast(id as double) + 0.5) / 4000") + " as x").collect()
     counts = Counter(r["x"] for r in made)

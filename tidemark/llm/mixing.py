@@ -137,7 +137,8 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 3) -> DataFrame:
         return F.struct(p.alias("pass"), shard.alias("shard"), F.xxhash64(F.lit(seed + 1), p, F.col("doc_id")).alias("order"))
 
     placements = F.transform(passes_taken, placement)
-    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).cast("bigint").alias("taken"), placements.alias("placements"))
+    made = both.select("doc_id", "source", "size", "source_size", "target", placements.alias("placements"))
+    return made.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("placements")).cast("bigint").alias("taken"), "placements")
 
 
 def write_mix(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = 3) -> None:
@@ -148,4 +149,5 @@ def write_mix(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = 3) -
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    """The mix with the shard of each time that a document is taken."""
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", F.transform("placements", lambda p: p["shard"]).alias("shards"))
