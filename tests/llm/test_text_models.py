@@ -45,6 +45,15 @@ def test_three_models(spark):
     assert np.mean([(i in kept) == (not t) for i, (_, t) in truth.items() if i is not None and t is not None]) > 0.95
 
 
+def test_metadata_counts(spark):
+    """One text throughout, so that only n_chars tells good from bad; a null one is scored, too."""
+    rows = [(i, "the same words", 10 if i % 2 else 100000) for i in range(400)] + [(400, "the same words", None)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.quality_scores(docs, marks).collect()}
+    assert len(got) == 401 and 0 <= got[400]["score"] <= 1
+    assert all(got[i]["predicted"] == i % 2 for i in range(400))
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a b", None, None, 0.0), (2, None, None, None, 0.0)], SCHEMA)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

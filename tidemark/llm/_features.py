@@ -81,15 +81,16 @@ def featurised(docs: DataFrame, keep: list[str], bits: int) -> DataFrame:
     return map_texts(docs, keep, compute, f"{schema}, words array<int>, stats array<double>")
 
 
-def training_rows(docs: DataFrame, chosen: DataFrame, bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Features of the documents in chosen (doc_id, label), which holds a bounded number of rows: words, statistics, labels, by doc_id."""
-    kept = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
-    got = featurised(kept, ["doc_id", "label"], bits).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")]).combine_chunks()
+def training_rows(docs: DataFrame, chosen: DataFrame, bits: int, meta: tuple[str, ...] = ()) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Features of the documents in chosen (doc_id, label), which holds a bounded number of rows: words, statistics with the columns meta behind them, labels, by doc_id."""
+    kept = docs.select("doc_id", "text", *meta).join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
+    got = featurised(kept, ["doc_id", "label", *meta], bits).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")]).combine_chunks()
     column = got.column("words").combine_chunks()
     # Copies, so that what Arrow holds can go at once: the driver's memory is for more than training.
     values, bounds = column.flatten().to_numpy().copy(), column.offsets.to_numpy() - (column.offsets[0].as_py() if len(column) else 0)
     words = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     stats = got.column("stats").combine_chunks().flatten().to_numpy().reshape(len(words), len(STRUCTURE)).copy()
+    stats = np.column_stack([stats, *(got.column(c).to_numpy() for c in meta)])
     labels = got.column("label").to_numpy().copy()
     del got, column
     pa.default_memory_pool().release_unused()

@@ -1,11 +1,11 @@
-"""Quality classifier: a factorisation machine over hashed words, structure statistics and the text's length as metadata.
+"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata: n_chars, and whether it is missing.
 
 The score is  w0 + sum w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2) : the sum-of-squares identity gives
 all pairwise interactions in time linear in the features. Word features are presence over the root of their number, so
 long texts don't outweigh; statistics are centred and scaled by the training sample.
 
 Trained by AdaGrad on a bounded sample of labelled rows (parameter examples). Every document is scored over its whole
-text. A null text counts as empty: it has no words and the statistics of an empty text. With labels of one class only
+text. A null text counts as empty: it has no words and the statistics of an empty text. A null n_chars, or none at all, counts as 0 and missing. With labels of one class only
 the intercept stands for their share.
 """
 
@@ -22,6 +22,7 @@ from tidemark.llm._common import held_out, map_texts, utf8
 from tidemark.llm._features import STRUCTURE, Buckets, chosen_labels, labelled, ragged, row_sums, sigmoid, structure, training_rows, word_buckets
 
 THRESHOLD = 0.7
+META = ("meta_chars", "meta_missing")
 
 
 @dataclass
@@ -80,10 +81,16 @@ def fit_fm(words: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, bits:
     return fm
 
 
+def with_meta(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the columns META; without a column n_chars it is missing in every row."""
+    n_chars = (F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)).cast("double")
+    return docs.select("doc_id", "text", F.log1p(F.greatest(F.coalesce(n_chars, F.lit(0.0)), F.lit(0.0))).alias(META[0]), n_chars.isNull().cast("double").alias(META[1]))
+
+
 def train_quality(docs: DataFrame, labels: DataFrame, examples: int = 6000, bits: int = 15, seed: int = 23) -> FactorisationMachine:
     """Learn from at most so many labelled documents, none of them held out."""
-    words, stats, y = training_rows(docs, chosen_labels(labelled(labels, "quality"), examples, seed), bits)
-    return fit_fm(words, stats.reshape(len(words), len(STRUCTURE)), (y >= 1).astype(float), bits)
+    words, stats, y = training_rows(docs, chosen_labels(labelled(labels, "quality"), examples, seed), bits, META)
+    return fit_fm(words, stats, (y >= 1).astype(float), bits)
 
 
 def score_quality(docs: DataFrame, model: FactorisationMachine, keep: list[str]) -> DataFrame:
@@ -92,13 +99,14 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, keep: list[str])
 
     def compute(part: pa.RecordBatch) -> dict:
         data = utf8(part)
-        return {c: part.column(c) for c in keep} | {"score": model.scores([word_buckets(x, buckets) for x in data], np.array([structure(x) for x in data]))}
+        return {c: part.column(c) for c in keep} | {"score": model.scores([word_buckets(x, buckets) for x in data], np.column_stack([np.array([structure(x) for x in data]).reshape(len(data), len(STRUCTURE)), *(part.column(c).to_numpy() for c in META)]))}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return map_texts(docs, keep, compute, f"{schema}, score double")
+    return map_texts(docs, [*keep, *META], compute, f"{schema}, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
+    docs = with_meta(docs)
     model = train_quality(docs, labels)
-    return score_quality(docs.select("doc_id", "text"), model, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    return score_quality(docs, model, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
