@@ -2,12 +2,14 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import decontamination, jaccard_join, licenses, mixing, suffix_dedup
+from tidemark.llm._common import checkpointed
 from tidemark.llm.components import components
 from tidemark.llm.decontamination import exact_shingles
-from tidemark.llm.shingles import WordHashes, shingle_set
+from tidemark.llm.shingles import WordHashes, shingle_set, shingle_sets
 
 # ---- n-gram Jaccard join
 
@@ -56,18 +58,62 @@ def test_classes(spark):
 def test_signatures_meet():
     """Any two sets that are similar enough share a signature, whatever is common."""
     r, hashes = random.Random(1), WordHashes()
-    for _ in range(300):
-        words = [f"w{r.randint(0, 9999)}" for _ in range(r.choice([8, 20, 60, 100, 300, 900]))]
+    near = 0
+    for _ in range(400):
+        words = [f"w{r.randint(0, 9999)}" for _ in range(r.choice([8, 20, 60, 100, 140, 300, 900]))]
         other = list(words)
         for _ in range(r.randint(0, max(1, len(words) // 30))):
             other[r.randrange(len(other))] = "zz"
-        a, b = (shingle_set(" ".join(x).encode(), hashes) for x in (words, other))
+        both = [" ".join(x).encode() for x in (words, other)]
+        items, bounds = shingle_sets(both, hashes)
+        a, b = (items[bounds[i] : bounds[i + 1]] for i in (0, 1))
+        assert all((x == shingle_set(t, hashes)).all() for x, t in zip((a, b), both, strict=True))
         common = len(np.intersect1d(a, b))
-        if len(a) and 5 * common >= 4 * (len(a) + len(b) - common) and jaccard_join.node_of(a) != jaccard_join.node_of(b):
-            hot = np.sort(jaccard_join.signatures(a, np.zeros(0, np.int64), every=True)[::2])
-            for h in (np.zeros(0, np.int64), hot):
-                assert set(jaccard_join.signatures(a, h)) & set(jaccard_join.signatures(b, h))
-            assert jaccard_join.may_be_similar(len(a), jaccard_join._sketch(a), len(b), jaccard_join._sketch(b))
+        if min(len(a), len(b)) >= 4 and 5 * common >= 4 * (len(a) + len(b) - common) and common < max(len(a), len(b)):
+            near += 1
+            every, _ = jaccard_join.signatures(items, bounds, jaccard_join.Common(np.zeros(0, np.int64)), every=True)
+            for part in (every[:0], every[::9], every[::2], every):
+                signs, owner = jaccard_join.signatures(items, bounds, jaccard_join.Common(part))
+                assert set(signs[owner == 0]) & set(signs[owner == 1])
+            sketches = jaccard_join.Sketches(pa.array([jaccard_join.sketch(a), jaccard_join.sketch(b)], pa.list_(pa.int64())))
+            one, zero = np.array([1]), np.array([0])
+            assert jaccard_join.may_be_similar(sketches, zero, np.array([len(a)]), sketches, one, np.array([len(b)])).all()
+    assert near > 150
+
+
+def test_null_and_repeated_ids(spark):
+    """A set that only rows without an id have links others; rows that repeat an id are rows of their own."""
+    w = [f"w{i}" for i in range(70)]
+    changed = lambda *at: " ".join("new" + x if i in at else x for i, x in enumerate(w))
+    rows = [(1, changed(10)), (2, changed(50)), (None, changed()), (3, "other words here only for this one row"), (3, changed(20)), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(repr, map(tuple, jaccard_join.jaccard_digest(docs).collect()))) == sorted(map(repr, [(1, 66, 1), (2, 66, 1), (None, 66, 1), (3, 4, 3), (3, 66, 1), (None, 0, None)]))
+
+
+def star(n):
+    """Near copies of one text, most of them not similar to each other."""
+    w = [f"w{i}" for i in range(60)]
+    return [(i, " ".join(f"n{i}" if k == i % 60 else x for k, x in enumerate(w)) if i else " ".join(w)) for i in range(n)]
+
+
+def test_links_stay_linear(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 32)
+    counts, verified, full = [], jaccard_join._verified, jaccard_join._in_full
+    monkeypatch.setattr(jaccard_join, "_verified", lambda p, *x: counts.append(p.count()) or verified(p, *x))
+    monkeypatch.setattr(jaccard_join, "_in_full", lambda *x: (lambda links: counts.append(links.count()) or links)(checkpointed(full(*x))))
+    for n in (300, 1200):
+        counts.clear()
+        got = jaccard_join.jaccard_digest(spark.createDataFrame(star(n), "doc_id long, text string").repartition(4)).collect()
+        assert {r["component_id"] for r in got} == {0} and sum(counts) <= 8 * n
+
+
+def test_long_texts(spark):
+    """Beyond a step of SLICE_BYTES."""
+    r = random.Random(3)
+    long = [f"w{r.randint(0, 10**9)}" for _ in range(260_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:40_000] + ["x"] + long[40_000:])), (3, " ".join(long[:150_000]))]
+    got = {x["doc_id"]: x for x in jaccard_join.jaccard_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["component_id"] for i in (1, 2, 3)] == [1, 1, 3] and got[1]["n_shingles"] == 259_996
 
 
 def test_components(spark):

@@ -1,4 +1,4 @@
-"""Connected components of a links table, by label propagation with pointer jumping; nothing reaches the driver but counts."""
+"""Connected components of a links table, by contraction; nothing reaches the driver but counts."""
 
 from __future__ import annotations
 
@@ -9,14 +9,20 @@ from tidemark.llm._common import checkpointed
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links (a, b) bigint -> (node, comp), comp being the smallest node that links reach. Repeated links, loops and either direction are fine; an empty table gives an empty one."""
-    both = checkpointed(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("comp"))
+    """links (a, b) bigint -> (node, comp), comp being the smallest node that links reach. Repeated links, loops and either direction are fine; an empty table gives an empty one.
+
+    In each round every node moves to the smallest node near it, and on to where that one moves; links then join the places moved to, so
+    that at least half of the nodes with links are gone after it. A component's smallest node never moves.
+    """
+    edges = checkpointed(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = None
     while True:
-        # Each node takes the least label near it, and then what that label's node itself points to.
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        spread = labels.join(near, "node", "left").select("node", F.col("comp").alias("before"), F.least("comp", F.coalesce("near", "comp")).alias("now"))
-        jumped = checkpointed(spread.join(labels.select(F.col("node").alias("now"), F.col("comp").alias("next")), "now", "left").select("node", "before", F.least("now", F.coalesce("next", "now")).alias("comp")))
-        if not jumped.where("before <> comp").limit(1).count():
-            return jumped.select("node", "comp")
-        labels = jumped.select("node", "comp")
+        moves = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("to"))
+        moves = checkpointed(moves.join(moves.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to")))
+        moved = moves.select(F.col("node").alias("comp"), "to")
+        labels = moves.select("node", F.col("to").alias("comp")) if labels is None else labels.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+        ends = lambda c: moves.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}"))
+        edges = checkpointed(edges.join(ends("a"), "a").join(ends("b"), "b").where("to_a <> to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct())
+        labels = checkpointed(labels)
+        if not edges.limit(1).count():
+            return labels

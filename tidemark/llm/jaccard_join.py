@@ -1,23 +1,30 @@
 """N-gram Jaccard join by PartEnum signatures, exact for its threshold of 4/5.
 
 Two sets of sizes a <= b with Jaccard similarity 4/5 or more differ in at most k(a) = floor((a + floor(5a/4)) / 9) elements. Sizes
-fall into bands; within a band the feature domain (shingle hashes) is cut into partitions, first-level pairs of two second-level
-ones of which every subset of one is enumerated, so that a signature is a set's part in one partition. A set gives the
-first k + 1 signatures of its own that aren't empty: a similar set differs in k partitions at most, so it has one of them too, and
-gives it, being as far in the same order. A set whose partners can lie in the next band gives signatures there as well.
-
-The order puts signatures that a bounded probe of documents found common behind all others. The guarantee holds for any
-fixed order, so the probe decides about speed only: lines and passages that many documents share make no large groups.
-In bands of short sets each element is a partition of its own.
-
-Sets are named by a 64-bit hash, and equal sets are one node from the start. Signature groups then give candidate pairs in
+fall into bands; a set whose partners can lie in the next band gives signatures there as well. Within a band the feature
+domain (shingle hashes) is cut into first-level partitions of three second-level ones, and of these every subset of two is
+enumerated (n2 = 3, k2 = 1): a signature is a set's content in such a subset. A first-level partition in which two sets
+differ in one element at most gives them an equal signature, unless the subset is empty. So a partition is strong for a set if no subset is, and
+of floor(k / 2) + 1 strong ones at least one gives a signature that a similar set has, too. There are a quarter more
+partitions than the band's largest sets need, and a set gives signatures in order of the partitions until enough of them were strong. Of two similar
+sets the one that stops first has a partition with a common signature among its own, and the other one goes at least as far.
+In bands of short sets each element is a first-level partition of its own (k2 = 0), and the first k + 1 are given.
+
+Signatures that a bounded probe of documents finds common come last in the order of short sets' elements. Longer sets give none of them, and a partition with one doesn't count as strong. A set that has too few strong partitions
+is poor: it gives all signatures, common and empty ones, too, so poor sets meet each other there, and others in the
+partitions of the others. The guarantee holds whichever signatures are taken for common, so the probe decides about speed only.
+
+Sets are named by a 64-bit hash (a node), and equal sets are one node from the start. One pass over the texts gives each row's node and
+its signatures; one shuffle keeps the signatures that two nodes have. Signature groups then give candidate pairs in
 rounds: each node meets a few representatives of its groups, verified pairs become components, and only groups that still span
-two components go on, with other representatives, as long as that links anything. What is left meets in full, so no link is lost: groups are cut
-into blocks, pairs of blocks are compared within a task, and only pairs that may be similar leave it. All pairs of a group are never rows. A pair is first held against sizes and parity bit maps: each element flips one bit, so the bits
-in which two maps differ are a lower bound of the elements in which the sets do. What passes is verified on the whole sets.
+two components go on, with other representatives. What is left meets in full, so no link is lost, each node first in one block of the largest of its groups, then in all groups that still span two components: groups are cut
+into blocks, pairs of blocks are compared within a task, and what leaves it are nodes that may have a partner, then, after comparison of whole sets in a task, links
+that join two components: never more than nodes. A pair is first held against sizes and parity bit maps: each element flips one bit, so the bits
+in which two maps differ are a lower bound of the elements in which the sets do.
 
 Null texts and texts without words have an empty set and are components of their own; texts under five words have one shingle.
-Rows that repeat a doc_id are fine; a null doc_id links like any other but is never a component's id unless alone.
+Rows that repeat a doc_id, null ones too, link like any others; a null doc_id is never a component's id unless all are null. Very long texts are
+one step of their own, and blocks are bounded by elements as well as by nodes. Ties can't arise. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -26,196 +33,272 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import BROADCAST_IDS, checkpointed, text_slices, utf8, without_ids
 from tidemark.llm.components import components
 from tidemark.llm.decontamination import shingle_sql
-from tidemark.llm.shingles import WordHashes, mixed, shingle_set
+from tidemark.llm.shingles import WordHashes, mixed, ranges, shingle_sets
 
-#: Upper ends of the size bands; sets under 4 elements have no partner but equal sets.
-GROWTH = 1.95
-SHORT = 64
+#: Growth and upper ends of the size bands; sets under 4 elements have no partner but equal sets. Sets of bands up to SHORT are short.
+GROWTH, SHORT = 1.95, 128
 _BANDS = [8]
 while _BANDS[-1] < 1 << 40:
     _BANDS.append(int(_BANDS[-1] * GROWTH) + 1)
 _BAND_ENDS = np.array(_BANDS, np.int64)
-#: Documents that the probe for common signatures reads, the number of them that makes one common, and how many are kept.
+#: Documents that the probe for common signatures reads, the number of sets that makes one common, and how many are kept.
 PROBE, COMMON, KEPT = 6000, 4, 200_000
 #: Representatives of a group, how many of those that it shares most signatures with a node meets, and how often, before what is left meets in full.
 REPRESENTATIVES, MEETS, ROUNDS = 4, 3, 2
-#: Nodes of a group that are held against each other, or against as many others, in one step.
-BLOCK = 256
+#: How often a node meets one block of its largest group, before what is left meets in full.
+WAVES = 1
+#: Nodes of a group that are held against each other, or against as many others, in one step, and the elements of theirs that may be held.
+BLOCK, BLOCK_ITEMS = 256, 1 << 21
+_GOLD, _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xA0761D6478BD642F)
 
 
-def most_differences(size: int) -> int:
+def most_differences(size):
     return (size + 5 * size // 4) // 9
 
 
-def node_of(items: np.ndarray) -> int:
-    return int(mixed(mixed(items).sum(keepdims=True) + np.uint64(len(items) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.int64)[0])
-
-
-def signatures(items: np.ndarray, common: np.ndarray, every: bool = False) -> np.ndarray:
-    """Of a sorted set: the signatures that it gives in its bands, or all that it could give."""
-    size = len(items)
-    if size < 4:
-        return np.zeros(0, np.int64)
-    least = most_differences(size) + 1
-    band = int(np.searchsorted(_BAND_ENDS, size))
-    out = []
-    for b in (band, band + 1) if 5 * size // 4 > _BAND_ENDS[band] else (band,):
-        end = int(_BAND_ENDS[b])
-        if end <= SHORT:
-            parts = mixed(items)
-        else:
-            place = ((items >> np.uint64(32)) * np.uint64(end // 2)) >> np.uint64(32)
-            parts = np.add.reduceat(mixed(items), np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])))
-        if len(parts) < least:
-            raise ValueError("a set has too few partitions; give the shingle hash another seed")
-        signs = mixed(parts + np.uint64(b * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.int64)
-        if not every:
-            if len(common):
-                at = np.minimum(np.searchsorted(common, signs), len(common) - 1)
-                signs = signs[np.argsort(common[at] == signs, kind="stable")]
-            signs = signs[:least]
-        out.append(signs)
-    return np.concatenate(out)
-
-
-def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, node, n_shingles."""
-    hashes = WordHashes()
-    fields = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64())])
+#: First-level partitions by band, of three second-level ones each.
+_FIRST_LEVEL = np.array([(5 * (most_differences(e) // 2 + 1) + 3) // 4 + 2 for e in _BANDS], np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
-            found = [shingle_set(x, hashes) for x in utf8(part)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([node_of(s) if len(s) else None for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64())], schema=fields)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, node bigint, n_shingles bigint")
+def nodes_of(items: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit name for each set; empty ones have the name of nothing."""
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(items), dtype=np.uint64)])
+    return mixed(mixed(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64) * _GOLD)).view(np.int64)
 
 
-def _signs(texts: DataFrame, common: np.ndarray, every: bool = False) -> DataFrame:
-    """sign, node; a set that a slice of the input repeats gives its signatures once for the slice."""
-    hashes = WordHashes()
-    fields = pa.schema([("sign", pa.int64()), ("node", pa.int64())])
+class Common:
+    """Signatures taken for common: sorted, with a bit map that turns most others away."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
-            sets = {node_of(s): s for s in (shingle_set(x, hashes) for x in utf8(part)) if len(s) >= 4}
-            found = [signatures(s, common, every) for s in sets.values()]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(np.array(list(sets), np.int64), [len(x) for x in found]))], schema=fields)
+    def __init__(self, signs: np.ndarray):
+        self.signs, self.seen = np.sort(signs), np.zeros(1 << 20, bool)
+        self.seen[signs & (len(self.seen) - 1)] = True
 
-    return texts.select("text").mapInArrow(run, "sign bigint, node bigint")
+    def has(self, signs: np.ndarray) -> np.ndarray:
+        out = self.seen[signs & (len(self.seen) - 1)]
+        at = np.flatnonzero(out)
+        if len(at):
+            out[at] = self.signs[np.minimum(np.searchsorted(self.signs, signs[at]), len(self.signs) - 1)] == signs[at]
+        return out
 
 
-def _common_signs(docs: DataFrame, seed: int = 71) -> np.ndarray:
-    """Sorted signatures that at least COMMON different sets of a probe of documents have."""
-    n = docs.count()
-    spread = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
-    probe = docs.where(spread < int(min(1.0, PROBE / max(1, n)) * (1 << 30)) + 1)
-    rows = _signs(probe, np.zeros(0, np.int64), every=True).groupBy("sign").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("n"))
-    kept = rows.where((F.col("n") >= COMMON) & (F.col("x") != F.col("y"))).orderBy(F.desc("n"), "sign").limit(KEPT).select("sign")
-    return np.sort(np.array(kept.toArrow().column(0).to_numpy(), np.int64))
+def _given(strong: np.ndarray, counts: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set's partitions in order (counts many): whether it gives signatures there, and whether the set is poor."""
+    so_far = np.concatenate([[0], np.cumsum(strong)])
+    ends = np.cumsum(counts)
+    before = so_far[ends - counts]
+    poor = so_far[ends] - before < need
+    return so_far[:-1] - np.repeat(before, counts) < np.repeat(need, counts), np.repeat(poor, counts)
 
 
-def _shared(signs: DataFrame) -> DataFrame:
-    """sign, node of signatures that two nodes at least have, each once."""
-    fields = pa.schema([("sign", pa.int64()), ("node", pa.int64())])
+def signatures(items: np.ndarray, bounds: np.ndarray, common: Common, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures that sets (end to end) give in their bands, and the number of the set for each; or all that sets with enough elements could give."""
+    sizes = np.diff(bounds)
+    band = np.searchsorted(_BAND_ENDS, sizes)
+    found, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for level in (0, 1):
+        own = np.flatnonzero((sizes >= 4) & ((level == 0) | (5 * sizes // 4 > _BAND_ENDS[band])))
+        for short in (True, False):
+            sets = own[(_BAND_ENDS[band[own] + level] <= SHORT) == short]
+            if not len(sets):
+                continue
+            n, bands, k = sizes[sets], band[sets] + level, most_differences(sizes[sets])
+            values = items[ranges(bounds[sets], n)]
+            salts = (bands + 1).astype(np.uint64) * _GOLD
+            if short:
+                signs = mixed(mixed(values) + np.repeat(salts, n)).view(np.int64)
+                if not every:
+                    # Common ones come last, in any set; the first k + 1 are given.
+                    place, begins = np.repeat(np.arange(len(sets)), n), np.cumsum(n) - n
+                    signs = signs[np.lexsort((common.has(signs), place))][ranges(begins, k + 1)]
+                found.append(signs)
+                owners.append(np.repeat(sets, n if every else k + 1))
+                continue
+            first = _FIRST_LEVEL[bands]
+            offsets = 3 * (np.cumsum(first) - first)
+            # A second-level partition is a range of the domain, so the sorted elements of one lie together.
+            place = ((values >> np.uint64(32)) * np.repeat(3 * first, n).astype(np.uint64) >> np.uint64(32)).astype(np.int64) + np.repeat(offsets, n)
+            begins = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            content = np.zeros(3 * int(first.sum()), np.uint64)
+            content[place[begins]] = mixed(np.add.reduceat(mixed(values), begins)) | np.uint64(1)
+            content = content.reshape(-1, 3)
+            number = np.arange(len(content)) - np.repeat(offsets // 3, first)
+            base = np.repeat(salts, first) + (3 * number + 1).astype(np.uint64) * _RIGHT
+            signs = np.stack([mixed(content[:, x] * _LEFT + content[:, y] * _RIGHT + base * np.uint64(2 * j + 1)) for j, (x, y) in enumerate(((0, 1), (0, 2), (1, 2)))], axis=1).view(np.int64)
+            full = np.stack([(content[:, x] | content[:, y]) != 0 for x, y in ((0, 1), (0, 2), (1, 2))], axis=1)
+            hot = common.has(signs.ravel()).reshape(-1, 3) & full
+            gives, poor = _given((full & ~hot).all(1), first, k // 2 + 1)
+            keep = full if every else full & ~hot & gives[:, None] | poor[:, None]
+            found.append(signs[keep])
+            owners.append(np.repeat(np.repeat(sets, first), keep.sum(1)))
+    return np.concatenate(found), np.concatenate(owners)
+
+
+def sketch(items: np.ndarray) -> np.ndarray:
+    """Two bits for each element at least, flipped by the elements that hash there; the halves of a longer sketch, xored, are the shorter one."""
+    bits = 2 << max(6, (len(items) - 1).bit_length())
+    odd = np.bincount((mixed(items) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, 0), np.int64)
-        for batch in batches:
-            rows = np.concatenate([held, np.stack([batch.column(k).to_numpy() for k in (0, 1)])], axis=1)
-            cut = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0
-            rows, held = rows[:, :cut], rows[:, cut:]
-            if cut:
-                yield settle(rows)
-        if held.shape[1]:
-            yield settle(held)
 
-    def settle(rows: np.ndarray) -> pa.RecordBatch:
-        rows = rows[:, np.lexsort(rows[::-1])]
-        new = np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(0)])
-        rows = rows[:, new]
-        number = np.cumsum(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]])) - 1
-        rows = rows[:, np.bincount(number)[number] > 1]
-        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1])], schema=fields)
+class Sketches:
+    """An Arrow column of sketches."""
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray):
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        offsets = column.offsets.to_numpy().astype(np.int64)
+        self.words, self.begins, self.lengths = column.values.to_numpy().view(np.uint64), offsets[:-1], np.diff(offsets)
+
+    def folded(self, rows: np.ndarray, length: int, to: int) -> np.ndarray:
+        x = self.words[self.begins[rows][:, None] + np.arange(length)]
+        while x.shape[1] > to:
+            half = x.shape[1] // 2
+            x = x[:, :half] ^ x[:, half:]
+        return x
 
-    return signs.repartition("sign").sortWithinPartitions("sign").mapInArrow(run, "sign bigint, node bigint")
 
+def may_be_similar(a: Sketches, i: np.ndarray, size_a: np.ndarray, b: Sketches, j: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether row i of a and row j of b may be similar, for each pair of rows."""
+    maybe = 5 * np.minimum(size_a, size_b) >= 4 * np.maximum(size_a, size_b)
+    kinds = a.lengths[i] << 32 | b.lengths[j]
+    for kind in np.unique(kinds[maybe]).tolist():
+        x, y = kind >> 32, kind & (1 << 32) - 1
+        rows = np.flatnonzero(maybe & (kinds == kind))
+        step = max(1, (1 << 21) // max(x, y))
+        for at in range(0, len(rows), step):
+            r = rows[at : at + step]
+            bits = np.bitwise_count(a.folded(i[r], x, min(x, y)) ^ b.folded(j[r], y, min(x, y))).sum(1)
+            maybe[r] = bits <= (size_a[r] + size_b[r]) // 9
+    return maybe
 
-def _chosen_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs of the ids: the ids are broadcast if they are few, and shuffled with docs otherwise."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
+_FOUND = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("more", pa.list_(pa.int64()))])
 
-def _items_of(texts: DataFrame, schema: str, fields: pa.Schema, value) -> DataFrame:
-    """One row for each set of the given texts, made by value from its document's id and the whole set."""
+
+def _row_key(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+
+
+def _signed(texts: DataFrame, common: Common, every: bool = False) -> DataFrame:
+    """key, node, more: for each signature of a set, the signature and the set's node; for each row of texts, its row key, node, and more = size, row key, doc_id (or nothing), and the sketch.
+
+    A set that a slice of the input repeats gives its signatures once for the slice.
+    """
     hashes = WordHashes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            found = [value(d, shingle_set(x, hashes)) for d, x in zip(part.column("doc_id").to_pylist(), utf8(part), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], x.type) for k, x in enumerate(fields)], schema=fields)
+            items, bounds = shingle_sets(utf8(part), hashes)
+            nodes, sizes = nodes_of(items, bounds), np.diff(bounds)
+            if not every:
+                more = [np.concatenate([[n, r, d is not None, d or 0], sketch(items[a : a + n])]) for n, r, d, a in zip(sizes.tolist(), part.column("row").to_pylist(), part.column("doc_id").to_pylist(), bounds[:-1].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(nodes), pa.array(more, _FOUND.field("more").type)], schema=_FOUND)
+            _, once = np.unique(nodes, return_index=True)
+            signs, owner = signatures(items[ranges(bounds[once], sizes[once])], np.concatenate([[0], np.cumsum(sizes[once])]), common, every)
+            for at in range(0, len(signs), 1 << 17):
+                s = signs[at : at + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(nodes[once][owner[at : at + len(s)]]), pa.nulls(len(s), _FOUND.field("more").type)], schema=_FOUND)
+
+    return _row_key(texts).mapInArrow(run, "key bigint, node bigint, more array<bigint>")
+
+
+def _common_signs(docs: DataFrame, seed: int = 71) -> Common:
+    """Signatures that at least COMMON different sets of a probe of documents have."""
+    n = docs.count()
+    spread = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
+    probe = docs.where(spread < int(min(1.0, PROBE / max(1, n)) * (1 << 30)) + 1)
+    rows = _signed(probe, Common(np.zeros(0, np.int64)), every=True).select(F.col("key").alias("sign"), "node").groupBy("sign").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("n"))
+    kept = rows.where((F.col("n") >= COMMON) & (F.col("x") != F.col("y"))).orderBy(F.desc("n"), "sign").limit(KEPT).select("sign")
+    return Common(np.array(kept.toArrow().column(0).to_numpy(), np.int64))
 
-    # Rows that share a doc_id may bring sets that weren't asked for, or one twice.
-    return texts.select("doc_id", "text").mapInArrow(run, schema).dropDuplicates(["node"])
 
+def _shared(signed: DataFrame) -> DataFrame:
+    """Of signed: the rows for documents, and those of signatures that two nodes at least have, each once."""
 
-def _sketch(items: np.ndarray) -> bytes:
-    """One bit for each element at least, flipped by the elements that hash there; the halves of a longer sketch, xored, are the shorter one."""
-    bits = 1 << max(6, (len(items) - 1).bit_length())
-    odd = np.bincount((mixed(items) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign, node, shared = None, None, False  # of the last signature row; a first node waits until there is a second one
+        for batch in batches:
+            document = batch.column("more").is_valid()
+            if document.true_count:
+                yield batch.filter(document)
+                batch = batch.filter(pc.invert(document))
+            if not batch.num_rows:
+                continue
+            rows = np.stack([batch.column(c).to_numpy() for c in (0, 1)])
+            if sign is not None:
+                rows = np.concatenate([[[sign], [node]], rows], axis=1)
+            new = np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(0)])
+            rows = rows[:, new]
+            starts = np.concatenate([[True], rows[0, 1:] != rows[0, :-1]])
+            number = np.cumsum(starts) - 1
+            many = np.bincount(number) > 1
+            goes_on = shared and sign is not None
+            many[0] |= goes_on
+            keep = many[number]
+            if goes_on:
+                keep[0] = False  # has left with an earlier batch
+            sign, node, shared = int(rows[0, -1]), int(rows[1, -1]), bool(many[-1])
+            rows = rows[:, keep]
+            if rows.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.nulls(rows.shape[1], _FOUND.field("more").type)], schema=_FOUND)
+
+    return signed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key bigint, node bigint, more array<bigint>")
+
+
+def _items(docs: DataFrame, nodes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """node, items of the nodes in chosen (node), made anew from one row's text for each. The rows' keys are broadcast if they are few, and shuffled with docs otherwise."""
+    wanted = checkpointed(nodes.join(chosen.distinct(), "node", "left_semi").select("row"))
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = _row_key(docs).join(F.broadcast(wanted) if few else wanted, "row", "left_semi").select("text")
+    hashes = WordHashes()
+    fields = pa.schema([("node", pa.int64()), ("items", pa.list_(pa.int64()))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            items, bounds = shingle_sets(utf8(part), hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes_of(items, bounds)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(items.view(np.int64)))], schema=fields)
 
-def _sketches(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, doc_id (one that has the set), size, sketch."""
-    fields = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary())])
-    ids = checkpointed(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").dropna().distinct())
-    return _items_of(_chosen_texts(docs, ids), "node bigint, doc_id bigint, size bigint, sketch binary", fields, lambda d, s: (node_of(s), d, len(s), _sketch(s)))
+    # Rows that repeat both doc_id and text bring a set twice.
+    return checkpointed(texts.mapInArrow(run, "node bigint, items array<bigint>").dropDuplicates(["node"]))
 
 
-def may_be_similar(size_a: int, a: bytes, size_b: int, b: bytes) -> bool:
-    if 5 * min(size_a, size_b) < 4 * max(size_a, size_b):
-        return False
-    x, y = (np.frombuffer(s, np.uint64) for s in sorted((a, b), key=len))
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum()) <= (size_a + size_b) // 9
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= 80 * (len(a) + len(b) - common)
 
 
-def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """pairs (a, b) with maybe: false where sizes or sketches rule the pair out."""
-    left, right = (sketches.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    fields = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("maybe", pa.bool_())])
+def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """pairs (a, b) but for those that sizes or sketches rule out."""
+    left, right = (nodes.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            maybe = [may_be_similar(*row) for row in zip(*(x.column(c).to_pylist() for c in ("na", "sa", "nb", "sb")), strict=True)]
-            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(maybe, pa.bool_())], schema=fields)
+            rows = np.arange(x.num_rows)
+            maybe = may_be_similar(Sketches(x.column("sa")), rows, x.column("na").to_numpy(), Sketches(x.column("sb")), rows, x.column("nb").to_numpy())
+            yield x.select(["a", "b"]).filter(pa.array(maybe))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a bigint, b bigint, maybe boolean")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def similar(a: Column, b: Column) -> Column:
-    common = F.size(F.array_intersect(a, b))
-    return F.lit(100).cast("bigint") * common >= F.lit(80).cast("bigint") * (F.size(a) + F.size(b) - common)
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose whole sets are similar enough."""
+    pairs = checkpointed(pairs)
+    whole = _items(docs, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            one, other = x.column("x"), x.column("y")
+            yield x.select(["a", "b"]).filter(pa.array([similar(one[i].values.to_numpy(), other[i].values.to_numpy()) for i in range(x.num_rows)], pa.bool_()))
 
-def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose whole sets are similar enough."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b")
-    ids = sketches.join(ends.select("node"), "node", "left_semi").select("doc_id")
-    fields = pa.schema([("node", pa.int64()), ("items", pa.list_(pa.int64()))])
-    whole = _items_of(_chosen_texts(docs, ids), "node bigint, items array<bigint>", fields, lambda _, s: (node_of(s), s.view(np.int64)))
-    met = ends.join(whole, "node").groupBy("a", "b").agg(F.first(F.when(F.col("node") == F.col("a"), F.col("items")), True).alias("x"), F.first(F.when(F.col("node") == F.col("b"), F.col("items")), True).alias("y"))
-    return met.where(similar(F.col("x"), F.col("y"))).select("a", "b")
+    met = pairs.join(whole.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(whole.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+    return met.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -237,85 +320,129 @@ def _met(rows: DataFrame, round_: int) -> DataFrame:
     return best.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
 
 
-def compared(node: np.ndarray, comp: np.ndarray, size: np.ndarray, sketch: list[bytes], side: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of different components that may be similar; of two blocks (sides 0 and 1) only pairs across, within one block (side -1) all."""
-    short = min(map(len, sketch))
-    folded = []
-    for s in sketch:
-        x = np.frombuffer(s, np.uint64)
-        while len(x) * 8 > short:
-            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        folded.append(x)
-    bits, out = np.stack(folded), []
-    for i in range(len(node) - 1):
-        rest = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((side[i] < 0) | (side[i + 1 :] != side[i])) & (5 * np.minimum(size[i], size[i + 1 :]) >= 4 * np.maximum(size[i], size[i + 1 :]))) + i + 1
-        if len(rest):
-            near = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(1) <= (size[i] + size[rest]) // 9]
-            out += [(min(node[i], node[j]), max(node[i], node[j])) for j in near.tolist() if may_be_similar(int(size[i]), sketch[i], int(size[j]), sketch[j])]
-    return out
-
-
-def _in_full(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that share a signature, not a component, and may be similar. rows: sign, node, comp."""
-    blocks = rows.groupBy("sign").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    spread = rows.join(blocks, "sign").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = F.xxhash64("sign", F.least("own", "other"), F.greatest("own", "other"))
-    side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    cells = spread.select(cell.alias("cell"), "node", "comp", side.alias("side")).join(sketches.select("node", "size", "sketch"), "node").select("cell", "node", "comp", "side", "size", "sketch")
-    fields = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            keys = table.column("cell").to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1]))
-            held = table.slice(cut)
-            yield from settle(table.slice(0, cut))
-        if held is not None:
-            yield from settle(held)
-
-    def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not table.num_rows:
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole cells, from rows sorted by their first column, cell."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        if held and held[0].column(0)[0].as_py() == keys[-1]:
+            held.append(batch)
+            continue
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if whole := [*held, *([batch.slice(0, cut)] if cut else [])]:
+            yield pa.Table.from_batches(whole)
+        held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _within_cells(cells: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of one cell and different components that may be similar; of two blocks (sides 0 and 1) pairs across, within one block (side -1) all."""
+    cell, comp, side, size = (cells.column(c).to_numpy() for c in ("cell", "comp", "side", "size"))
+    sketches = Sketches(cells.column("sketch"))
+    for step in range(1, len(cell)):
+        i = np.flatnonzero(cell[step:] == cell[:-step])
+        if not len(i):
             return
-        keys, node, comp, side, size = (table.column(c).to_numpy() for c in ("cell", "node", "comp", "side", "size"))
-        sketch = table.column("sketch").to_pylist()
-        begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist()
-        found: set[tuple[int, int]] = set()
-        for a, b in zip(begins, [*begins[1:], len(keys)], strict=True):
-            if b - a > 1:
-                found.update(compared(node[a:b], comp[a:b], size[a:b], sketch[a:b], side[a:b]))
-        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=fields)
+        i = i[(comp[i] != comp[i + step]) & ((side[i] < 0) | (side[i] != side[i + step]))]
+        i = i[may_be_similar(sketches, i, size[i], sketches, i + step, size[i + step])]
+        if len(i):
+            yield i, i + step
 
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint").distinct()
 
+def _in_full(rows: DataFrame, nodes: DataFrame, docs: DataFrame, wave: int | None = None) -> DataFrame:
+    """Links (a, b) between nodes that share a signature, not a component: enough of them to join all that are similar. rows: sign, node, comp.
 
-def node_components(shared: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    A wave compares within blocks only, which it deals in its own way.
+    """
+    sized = rows.join(nodes.select("node", "size"), "node")
+    blocks = sized.groupBy("sign").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_ITEMS)).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "sign").withColumn("own", F.pmod(F.xxhash64(F.lit(wave or 0), "node"), F.col("blocks")).cast("int"))
+    spread = dealt.withColumn("other", F.col("own") if wave is not None else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.xxhash64("sign", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    cells = spread.select(cell.alias("cell"), "node", "comp", side.alias("side"))
+    drawn = nodes.select("node", "size", "sketch")
+    kept_fields = pa.schema([("cell", pa.int64()), ("node", pa.int64()), ("comp", pa.int64()), ("side", pa.int32())])
+    link_fields = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_cells(batches):
+            kept = np.zeros(table.num_rows, bool)
+            for i, j in _within_cells(table):
+                kept[i] = kept[j] = True
+            yield from table.select(kept_fields.names).filter(pa.array(kept)).to_batches()
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_cells(batches):
+            cell, node, comp = (table.column(c).to_numpy() for c in ("cell", "node", "comp"))
+            items = table.column("items").combine_chunks()
+            up: dict[tuple[int, int], tuple[int, int]] = {}
+
+            def top(x: tuple[int, int], up: dict = up) -> tuple[int, int]:
+                while (y := up.get(x, x)) != x:
+                    up[x] = up.get(y, y)
+                    x = y
+                return x
+
+            links = []
+            for rows_i, rows_j in _within_cells(table):
+                for i, j in zip(rows_i.tolist(), rows_j.tolist(), strict=True):
+                    a, b = top((cell[i], comp[i])), top((cell[j], comp[j]))
+                    if a != b and similar(items[i].values.to_numpy(), items[j].values.to_numpy()):
+                        up[a] = b
+                        links.append((node[i], node[j]))
+            pairs = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=link_fields)
+
+    kept = checkpointed(cells.join(drawn, "node").select("cell", "node", "comp", "side", "size", "sketch").repartition("cell").sortWithinPartitions("cell").mapInArrow(keep, "cell bigint, node bigint, comp bigint, side int"))
+    whole = _items(docs, nodes, kept.select("node"))
+    met = kept.join(drawn, "node").join(whole, "node").select("cell", "node", "comp", "side", "size", "sketch", "items")
+    return met.repartition("cell").sortWithinPartitions("cell").mapInArrow(link, "a bigint, b bigint")
+
+
+def _largest(rows: DataFrame) -> DataFrame:
+    """rows, each node in the largest of its groups only."""
+    counted = rows.join(rows.groupBy("sign").agg(F.count("*").alias("n")), "sign")
+    best = counted.groupBy("node").agg(F.max(F.struct("n", "sign")).alias("best"), F.first("comp").alias("comp"))
+    return best.select("best.sign", "node", "comp")
+
+
+def _spanning(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """sign, node, comp of the groups that span two components at least."""
+    every = shared.join(labels, "node", "left").select("sign", "node", F.coalesce("comp", "node").alias("comp"))
+    spans = every.groupBy("sign").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sign")
+    return checkpointed(every.join(spans, "sign"))
+
+
+def node_components(shared: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, comp for the nodes in shared (sign, node) that have links."""
-    sketches = checkpointed(_sketches(docs, sets, shared.select("node").distinct()))
     rows, labels = shared.withColumn("comp", F.col("node")), None
-    for round_ in range(ROUNDS):
-        links = checkpointed(_verified(_plausible(_met(rows, round_), sketches).where("maybe").select("a", "b"), docs, sketches))
-        if labels is not None and not links.limit(1).count():
+    rounds = [lambda rows, k=k: _verified(_plausible(_met(rows, k), nodes), docs, nodes) for k in range(ROUNDS)]
+    # Groups and blocks of one cluster overlap; a few blocks of each node join most of it, so that its links don't come from all of them.
+    waves = [lambda rows, k=k: _in_full(_largest(rows), nodes, docs, k) for k in range(WAVES)]
+    for step in (*rounds, *waves, lambda rows: _in_full(rows, nodes, docs)):
+        links = checkpointed(step(rows))
+        if labels is None or links.limit(1).count():
+            labels = checkpointed(_joined(labels, links))
+            rows = _spanning(shared, labels)
+        if not rows.limit(1).count():
             break
-        labels = checkpointed(_joined(labels, links))
-        every = shared.join(labels, "node", "left").select("sign", "node", F.coalesce("comp", "node").alias("comp"))
-        spans = every.groupBy("sign").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sign")
-        rows = checkpointed(every.join(spans, "sign"))
-    more = checkpointed(_in_full(rows, sketches))
-    return checkpointed(_joined(labels, checkpointed(_verified(more, docs, sketches))))
+    return labels
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), and component, the class as a hash; one row for each row of docs."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = checkpointed(_sets(texts))
-    shared = checkpointed(_shared(_signs(texts, _common_signs(texts))))
-    labels = node_components(shared, texts, sets)
+    both = checkpointed(_shared(_signed(texts, _common_signs(texts))))
+    more = F.col("more")
+    sets = both.where("more is not null").select(F.when(more[2] == 1, more[3]).alias("doc_id"), F.when(more[0] > 0, F.col("node")).alias("node"), more[0].alias("n_shingles"), more[1].alias("row"), "more")
+    shared = both.where("more is null").select(F.col("key").alias("sign"), "node")
+    drawn = sets.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("row", "n_shingles", "more")).alias("one"))
+    nodes = checkpointed(drawn.select("node", "one.row", F.col("one.n_shingles").alias("size"), F.slice("one.more", F.lit(5), F.size("one.more") - 4).alias("sketch")))
+    labels = node_components(shared, texts, nodes)
     rows = sets.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("component"))
     least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component")

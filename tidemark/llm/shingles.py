@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import xxhash
 
@@ -45,3 +47,32 @@ def shingles(data: bytes, hashes: WordHashes) -> np.ndarray:
 
 def shingle_set(data: bytes, hashes: WordHashes) -> np.ndarray:
     return np.unique(shingles(data, hashes))
+
+
+def ranges(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each range, count long, one range after the other."""
+    return np.arange(counts.sum()) + np.repeat(begins - np.cumsum(counts) + counts, counts)
+
+
+def shingle_sets(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of many texts end to end, each sorted, and where each begins (one place more than texts)."""
+    words = [x.lower().split() for x in texts]
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, int(n.sum()))
+    begins = np.cumsum(n) - n
+    total = np.zeros(len(h), np.uint64)
+    if (last := len(h) - WORDS + 1) > 0:
+        for k in range(WORDS):
+            total[:last] += h[k : k + last] * _ODD[k]
+    for i in np.flatnonzero((n > 0) & (n < WORDS)).tolist():
+        total[begins[i]] = (h[begins[i] : begins[i] + n[i]] * _ODD[: n[i]]).sum() + np.uint64(n[i])
+    counts = np.where(n > 0, np.maximum(n - WORDS + 1, 1), 0)
+    items = mixed(total[ranges(begins, counts)])
+    ends = np.cumsum(counts)
+    for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+        items[a:b].sort()
+    new = np.ones(len(items), bool)
+    new[1:] = items[1:] != items[:-1]
+    new[(ends - counts)[counts > 0]] = True
+    bounds = np.concatenate([[0], np.cumsum(new)])[np.concatenate([[0], ends])]
+    return items[new], bounds
