@@ -1,9 +1,11 @@
+import os
 import random
 
 import numpy as np
+import pytest
 
 from tidemark.llm import language_id, quality, toxicity
-from tidemark.llm._features import STRUCTURE, Buckets, structure, word_buckets
+from tidemark.llm._features import STRUCTURE, Buckets, structure, training_rows, word_buckets
 
 SCHEMA = "doc_id long, text string, lang string, source string, score double"
 
@@ -45,6 +47,45 @@ def test_three_models(spark):
     assert np.mean([(i in kept) == (not t) for i, (_, t) in truth.items() if i is not None and t is not None]) > 0.95
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables here")
+def test_predicted_on_held_out_rows(spark):
+    """By predicted, at its threshold, not by the order of scores."""
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r["doc_id"]: r["toxic"] for r in marks.collect()}
+    got = [(r["predicted"], truth[r["doc_id"]]) for r in toxicity.toxicity_scores(docs, marks).collect() if r["held_out"] and truth.get(r["doc_id"]) is not None]
+    assert sum(t for _, t in got) > 100
+    assert np.mean([p for p, t in got if t]) >= 0.9 and np.mean([1 - p for p, t in got if not t]) >= 0.9
+
+
+def test_unseen_forms_of_a_stem(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join(f"word{r.randint(0, 400)}" for _ in range(20)) + (f" lostra{r.randint(0, 10**9)}" if i % 4 == 0 else "")) for i in range(400)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = [r for r in toxicity.toxicity_scores(docs, marks).collect() if r["held_out"]]
+    assert len(got) > 60 and all(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in got)
+
+
+def test_samples_are_bounded(spark):
+    """An id that repeats brings no more rows than the sample may have; its rows are all scored."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(3, "scum")], "doc_id long, text string")
+    chosen = spark.createDataFrame([(1, 1.0), (3, 0.0)], "doc_id long, label double")
+    words, stats, y = training_rows(docs, chosen, 50, Buckets(10))
+    assert len(words) == len(stats) == len(y) == 50
+    marks = spark.createDataFrame([(1, 1, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity_scores(docs, marks).count() == quality.quality_scores(docs, marks).count() == 301
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = "filler " * 400_000
+    rows = [(i, ("scum " if i % 3 == 0 else "kind ") + (long if i > 396 else f"x{i % 7} y{i % 5}"), 0.5, 1, "w") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, label int, words string")
+    marks = spark.createDataFrame([(i, 1 - int(i % 3 == 0), int(i % 3 == 0)) for i in range(397)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_scores(docs, marks).collect()}
+    assert {i: got[i] for i in (397, 398, 399)} == {397: 0, 398: 0, 399: 1}
+    assert toxicity.reject_toxic(docs, marks).columns == docs.columns
+    assert quality.quality_scores(docs, marks).count() == 400 and quality.quality_scores(docs.limit(0), marks).count() == toxicity.toxicity_scores(docs.limit(0), marks).count() == 0
+
+
 def test_metadata_counts(spark):
     """One text throughout, so that only n_chars tells good from bad; a null one is scored, too."""
     rows = [(i, "the same words", 10 if i % 2 else 100000) for i in range(400)] + [(400, "the same words", None)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,18 +20,36 @@ class Buckets(dict):
     """Word to hash bucket; forgets all when it holds most words, so memory stays bounded."""
 
     def __init__(self, bits: int, most: int = 500_000):
-        self.mask, self.most = (1 << bits) - 1, most
+        self.bits, self.mask, self.most = bits, (1 << bits) - 1, most
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes):
         if len(self) >= self.most:
             self.clear()
-        self[word] = bucket = zlib.crc32(word) & self.mask
+        self[word] = bucket = self.bucket(word)
         return bucket
 
+    def bucket(self, word: bytes):
+        return zlib.crc32(word) & self.mask
+
+    def of(self, data: bytes) -> np.ndarray:
+        """Sorted distinct buckets of the text's lower-cased words."""
+        return np.array(sorted(set(map(self.__getitem__, data.lower().translate(_SPLIT).split()))), np.int32)
+
+
+class BeginningBuckets(Buckets):
+    """Word to the buckets of the word and of its beginnings of LENGTHS bytes, so that forms of one stem have a bucket in common."""
+
+    LENGTHS = range(4, 8)
+
+    def bucket(self, word: bytes):
+        return tuple({zlib.crc32(x) & self.mask for x in (word, *(b" " + word[:k] for k in self.LENGTHS if k < len(word)))})
+
+    def of(self, data: bytes) -> np.ndarray:
+        return np.array(sorted(set(chain.from_iterable(map(self.__getitem__, set(data.lower().translate(_SPLIT).split()))))), np.int32)
+
 
 def word_buckets(data: bytes, buckets: Buckets) -> np.ndarray:
-    """Sorted distinct buckets of the text's lower-cased words."""
-    return np.array(sorted(set(map(buckets.__getitem__, data.lower().translate(_SPLIT).split()))), np.int32)
+    return buckets.of(data)
 
 
 #: The structure statistics, in order.
@@ -69,22 +88,22 @@ def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def featurised(docs: DataFrame, keep: list[str], bits: int) -> DataFrame:
+def featurised(docs: DataFrame, keep: list[str], buckets: Buckets) -> DataFrame:
     """keep, words: buckets of the whole text, and stats: its structure statistics."""
-    buckets = Buckets(bits)
 
     def compute(part: pa.RecordBatch) -> dict:
         data = utf8(part)
-        return {c: part.column(c) for c in keep} | {"words": [word_buckets(x, buckets) for x in data], "stats": [structure(x) for x in data]}
+        return {c: part.column(c) for c in keep} | {"words": [buckets.of(x) for x in data], "stats": [structure(x) for x in data]}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return map_texts(docs, keep, compute, f"{schema}, words array<int>, stats array<double>")
 
 
-def training_rows(docs: DataFrame, chosen: DataFrame, bits: int, meta: tuple[str, ...] = ()) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Features of the documents in chosen (doc_id, label), which holds a bounded number of rows: words, statistics with the columns meta behind them, labels, by doc_id."""
+def training_rows(docs: DataFrame, chosen: DataFrame, most: int, buckets: Buckets, meta: tuple[str, ...] = ()) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Features of the documents in chosen (doc_id, label), of most rows if ids repeat: words, statistics with the columns meta behind them, labels, by doc_id."""
     kept = docs.select("doc_id", "text", *meta).join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
-    got = featurised(kept, ["doc_id", "label", *meta], bits).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")]).combine_chunks()
+    bounded = featurised(kept, ["doc_id", "label", *meta], buckets).orderBy(F.xxhash64("doc_id", "words"), "doc_id").limit(most)
+    got = bounded.toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")]).combine_chunks()
     column = got.column("words").combine_chunks()
     # Copies, so that what Arrow holds can go at once: the driver's memory is for more than training.
     values, bounds = column.flatten().to_numpy().copy(), column.offsets.to_numpy() - (column.offsets[0].as_py() if len(column) else 0)

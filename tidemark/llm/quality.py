@@ -4,8 +4,8 @@ The score is  w0 + sum w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_
 all pairwise interactions in time linear in the features. Word features are presence over the root of their number, so
 long texts don't outweigh; statistics are centred and scaled by the training sample.
 
-Trained by AdaGrad on a bounded sample of labelled rows (parameter examples). Every document is scored over its whole
-text. A null text counts as empty: it has no words and the statistics of an empty text. A null n_chars, or none at all, counts as 0 and missing. With labels of one class only
+Trained by AdaGrad on a bounded sample of labelled rows (parameter examples; so many rows at most, also if ids repeat). Every document is scored over its whole
+text, however long; rows that repeat an id or a text are scored one by one, equal texts with equal n_chars alike, so ties are harmless. Further columns are not read. A null text counts as empty: it has no words and the statistics of an empty text. A null n_chars, or none at all, counts as 0 and missing. With labels of one class only
 the intercept stands for their share.
 """
 
@@ -89,7 +89,7 @@ def with_meta(docs: DataFrame) -> DataFrame:
 
 def train_quality(docs: DataFrame, labels: DataFrame, examples: int = 6000, bits: int = 15, seed: int = 23) -> FactorisationMachine:
     """Learn from at most so many labelled documents, none of them held out."""
-    words, stats, y = training_rows(docs, chosen_labels(labelled(labels, "quality"), examples, seed), bits, META)
+    words, stats, y = training_rows(docs, chosen_labels(labelled(labels, "quality"), examples, seed), examples, Buckets(bits), META)
     return fit_fm(words, stats, (y >= 1).astype(float), bits)
 
 
