@@ -11,8 +11,7 @@ sets the one that stops first has a partition with a common signature among its
 In bands of short sets each element is a first-level partition of its own (k2 = 0), and the first k + 1 are given.
 
 Signatures that a bounded probe of documents finds common come last in the order of short sets' elements. Longer sets give none of them, and a partition with one doesn't count as strong. A set that has too few strong partitions
-is poor: it gives all signatures, common and empty ones, too, so poor sets meet each other there, and others in the
-partitions of the others. The guarantee holds whichever signatures are taken for common, so the probe decides about speed only.
+is poor: it gives what it has in all partitions, so it meets others in their strong ones, and meets other poor sets by single elements, given as short sets do. The guarantee holds whichever signatures are taken for common, so the probe decides about speed only.
 
 Sets are named by a 64-bit hash (a node), and equal sets are one node from the start. One pass over the texts gives each row's node and
 its signatures; one shuffle keeps the signatures that two nodes have. Signature groups then give candidate pairs in
@@ -89,12 +88,20 @@ class Common:
 
 
 def _given(strong: np.ndarray, counts: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each set's partitions in order (counts many): whether it gives signatures there, and whether the set is poor."""
+    """Whether a set gives signatures in each of its partitions in order (counts many), and whether it is poor, for each set."""
     so_far = np.concatenate([[0], np.cumsum(strong)])
     ends = np.cumsum(counts)
     before = so_far[ends - counts]
     poor = so_far[ends] - before < need
-    return so_far[:-1] - np.repeat(before, counts) < np.repeat(need, counts), np.repeat(poor, counts)
+    return (so_far[:-1] - np.repeat(before, counts) < np.repeat(need, counts)) | np.repeat(poor, counts), poor
+
+
+def _elements(values: np.ndarray, n: np.ndarray, give: np.ndarray, salts: np.ndarray, common: Common, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of single elements of sets (n elements each), the first give of them with common ones last, and the set's place for each; or all."""
+    signs, place = mixed(mixed(values) + np.repeat(salts, n)).view(np.int64), np.repeat(np.arange(len(n)), n)
+    if every:
+        return signs, place
+    return signs[np.lexsort((common.has(signs), place))][ranges(np.cumsum(n) - n, give)], np.repeat(np.arange(len(n)), give)
 
 
 def signatures(items: np.ndarray, bounds: np.ndarray, common: Common, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -102,41 +109,42 @@ def signatures(items: np.ndarray, bounds: np.ndarray, common: Common, every: boo
     sizes = np.diff(bounds)
     band = np.searchsorted(_BAND_ENDS, sizes)
     found, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def by_element(sets: np.ndarray, bands: np.ndarray, kind: int) -> None:
+        signs, place = _elements(items[ranges(bounds[sets], sizes[sets])], sizes[sets], most_differences(sizes[sets]) + 1, (2 * bands + kind).astype(np.uint64) * _GOLD, common, every)
+        found.append(signs)
+        owners.append(sets[place])
+
     for level in (0, 1):
         own = np.flatnonzero((sizes >= 4) & ((level == 0) | (5 * sizes // 4 > _BAND_ENDS[band])))
-        for short in (True, False):
-            sets = own[(_BAND_ENDS[band[own] + level] <= SHORT) == short]
-            if not len(sets):
-                continue
-            n, bands, k = sizes[sets], band[sets] + level, most_differences(sizes[sets])
-            values = items[ranges(bounds[sets], n)]
-            salts = (bands + 1).astype(np.uint64) * _GOLD
-            if short:
-                signs = mixed(mixed(values) + np.repeat(salts, n)).view(np.int64)
-                if not every:
-                    # Common ones come last, in any set; the first k + 1 are given.
-                    place, begins = np.repeat(np.arange(len(sets)), n), np.cumsum(n) - n
-                    signs = signs[np.lexsort((common.has(signs), place))][ranges(begins, k + 1)]
-                found.append(signs)
-                owners.append(np.repeat(sets, n if every else k + 1))
-                continue
-            first = _FIRST_LEVEL[bands]
-            offsets = 3 * (np.cumsum(first) - first)
-            # A second-level partition is a range of the domain, so the sorted elements of one lie together.
-            place = ((values >> np.uint64(32)) * np.repeat(3 * first, n).astype(np.uint64) >> np.uint64(32)).astype(np.int64) + np.repeat(offsets, n)
-            begins = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            content = np.zeros(3 * int(first.sum()), np.uint64)
-            content[place[begins]] = mixed(np.add.reduceat(mixed(values), begins)) | np.uint64(1)
-            content = content.reshape(-1, 3)
-            number = np.arange(len(content)) - np.repeat(offsets // 3, first)
-            base = np.repeat(salts, first) + (3 * number + 1).astype(np.uint64) * _RIGHT
-            signs = np.stack([mixed(content[:, x] * _LEFT + content[:, y] * _RIGHT + base * np.uint64(2 * j + 1)) for j, (x, y) in enumerate(((0, 1), (0, 2), (1, 2)))], axis=1).view(np.int64)
-            full = np.stack([(content[:, x] | content[:, y]) != 0 for x, y in ((0, 1), (0, 2), (1, 2))], axis=1)
-            hot = common.has(signs.ravel()).reshape(-1, 3) & full
-            gives, poor = _given((full & ~hot).all(1), first, k // 2 + 1)
-            keep = full if every else full & ~hot & gives[:, None] | poor[:, None]
-            found.append(signs[keep])
-            owners.append(np.repeat(np.repeat(sets, first), keep.sum(1)))
+        short = _BAND_ENDS[band[own] + level] <= SHORT
+        if short.any():
+            by_element(own[short], band[own[short]] + level, 1)
+        if short.all():
+            continue
+        sets = own[~short]
+        n, bands, k = sizes[sets], band[sets] + level, most_differences(sizes[sets])
+        values, first = items[ranges(bounds[sets], n)], _FIRST_LEVEL[bands]
+        offsets = 3 * (np.cumsum(first) - first)
+        # A second-level partition is a range of the domain, so the sorted elements of one lie together.
+        place = ((values >> np.uint64(32)) * np.repeat(3 * first, n).astype(np.uint64) >> np.uint64(32)).astype(np.int64) + np.repeat(offsets, n)
+        begins = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        content = np.zeros(3 * int(first.sum()), np.uint64)
+        content[place[begins]] = mixed(np.add.reduceat(mixed(values), begins)) | np.uint64(1)
+        content = content.reshape(-1, 3)
+        number = np.arange(len(content)) - np.repeat(offsets // 3, first)
+        base = np.repeat((2 * bands + 2).astype(np.uint64) * _GOLD, first) + (3 * number + 1).astype(np.uint64) * _RIGHT
+        subsets = [(content[:, x], content[:, y], np.uint64(2 * j + 1)) for j, (x, y) in enumerate(((0, 1), (0, 2), (1, 2)))]
+        signs = np.stack([mixed(x * _LEFT + y * _RIGHT + base * j) for x, y, j in subsets], axis=1).view(np.int64)
+        full = np.stack([(x | y) != 0 for x, y, _ in subsets], axis=1)
+        cold = full & ~common.has(signs.ravel()).reshape(-1, 3)
+        gives, poor = _given(cold.all(1), first, k // 2 + 1)
+        keep = full if every else cold & gives[:, None]
+        found.append(signs[keep])
+        owners.append(np.repeat(np.repeat(sets, first), keep.sum(1)))
+        if every or poor.any():
+            poor |= every
+            by_element(sets[poor], bands[poor], 3)
     return np.concatenate(found), np.concatenate(owners)
 
 
