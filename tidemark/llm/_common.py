@@ -41,6 +41,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner see which shuffles nothing refers to any more, so that their files go now and not at the driver's next full collection."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -96,8 +101,8 @@ def smallest_hashes(df: DataFrame, key: str, n: int, seed: int, *more: str) -> D
     return df.select(key, *more).orderBy(h, key).limit(n)
 
 
-#: Ids that may be broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Ids (8 bytes each) that may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ Signatures that a bounded probe of documents finds common come last in the order
 is poor: it gives what it has in all partitions, so it meets others in their strong ones, and meets other poor sets by single elements, given as short sets do. The guarantee holds whichever signatures are taken for common, so the probe decides about speed only.
 
 Sets are named by a 64-bit hash (a node), and equal sets are one node from the start. One pass over the texts gives each row's node and
-its signatures; one shuffle keeps the signatures that two nodes have. Signature groups then give candidate pairs in
+its signatures; one shuffle keeps the signatures that two nodes have, and of those that the same nodes have, one. Signature groups then give candidate pairs in
 rounds: each node meets a few representatives of its groups, verified pairs become components, and only groups that still span
 two components go on, with other representatives. What is left meets in full, so no link is lost, each node first in one block of the largest of its groups, then in all groups that still span two components: groups are cut
 into blocks, pairs of blocks are compared within a task, and what leaves it are nodes that may have a partner, then, after comparison of whole sets in a task, links
@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import BROADCAST_IDS, checkpointed, text_slices, utf8, without_ids
+from tidemark.llm._common import BROADCAST_IDS, checkpointed, forget_shuffles, text_slices, utf8, without_ids
 from tidemark.llm.components import components
 from tidemark.llm.decontamination import shingle_sql
 from tidemark.llm.shingles import WordHashes, mixed, ranges, shingle_sets
@@ -50,7 +50,7 @@ _BAND_ENDS = np.array(_BANDS, np.int64)
 #: Documents that the probe for common signatures reads, the number of sets that makes one common, and how many are kept.
 PROBE, COMMON, KEPT = 6000, 4, 200_000
 #: Representatives of a group, how many of those that it shares most signatures with a node meets, and how often, before what is left meets in full.
-REPRESENTATIVES, MEETS, ROUNDS = 4, 3, 2
+REPRESENTATIVES, MEETS, ROUNDS = 4, 3, 1
 #: How often a node meets one block of its largest group, before what is left meets in full.
 WAVES = 1
 #: Nodes of a group that are held against each other, or against as many others, in one step, and the elements of theirs that may be held.
@@ -260,6 +260,12 @@ def _shared(signed: DataFrame) -> DataFrame:
     return signed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key bigint, node bigint, more array<bigint>")
 
 
+def _distinct_groups(shared: DataFrame) -> DataFrame:
+    """shared (sign, node) with one signature of those that the same nodes have: a passage in the same documents gives many. Groups are named by their size and two 64-bit hashes."""
+    named = shared.groupBy("sign").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    return shared.join(named.groupBy("n", "x", "y").agg(F.min("sign").alias("sign")).select("sign"), "sign", "left_semi")
+
+
 def _items(docs: DataFrame, nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     """node, items of the nodes in chosen (node), made anew from one row's text for each. The rows' keys are broadcast if they are few, and shuffled with docs otherwise."""
     wanted = checkpointed(nodes.join(chosen.distinct(), "node", "left_semi").select("row"))
@@ -436,6 +442,7 @@ def node_components(shared: DataFrame, docs: DataFrame, nodes: DataFrame) -> Dat
         if labels is None or links.limit(1).count():
             labels = checkpointed(_joined(labels, links))
             rows = _spanning(shared, labels)
+        forget_shuffles(shared.sparkSession)
         if not rows.limit(1).count():
             break
     return labels
@@ -445,9 +452,10 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), and component, the class as a hash; one row for each row of docs."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     both = checkpointed(_shared(_signed(texts, _common_signs(texts))))
+    forget_shuffles(docs.sparkSession)
     more = F.col("more")
     sets = both.where("more is not null").select(F.when(more[2] == 1, more[3]).alias("doc_id"), F.when(more[0] > 0, F.col("node")).alias("node"), more[0].alias("n_shingles"), more[1].alias("row"), "more")
-    shared = both.where("more is null").select(F.col("key").alias("sign"), "node")
+    shared = checkpointed(_distinct_groups(both.where("more is null").select(F.col("key").alias("sign"), "node")))
     drawn = sets.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("row", "n_shingles", "more")).alias("one"))
     nodes = checkpointed(drawn.select("node", "one.row", F.col("one.n_shingles").alias("size"), F.slice("one.more", F.lit(5), F.size("one.more") - 4).alias("sketch")))
     labels = node_components(shared, texts, nodes)
