@@ -29,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--exclude", action="append")
     s.add_argument("--fail-on", choices=FAIL_ON)
     s.add_argument("--max-call-depth", type=int)
+    s.add_argument("--distributed", action="store_true", help="scan with Spark, in the session that spark-submit or the environment configures")
     s.add_argument("--no-color", action="store_true")
     s.add_argument("-q", "--quiet", action="store_true")
     r = sub.add_parser("rules", help="list the built-in rules")
@@ -44,7 +45,12 @@ def run_scan(a: argparse.Namespace) -> int:
     """0 without gated findings, 1 with, 2 if something couldn't be read or configured."""
     progress = None if a.quiet else lambda phase, text: print(f"{phase}: {text}", file=sys.stderr)
     try:
-        result = scan(a.path, config_path=a.config, include=a.include, exclude=a.exclude, overrides={"format": a.format, "output": a.output, "fail_on": a.fail_on, "max_call_depth": a.max_call_depth}, on_progress=progress)
+        spark = None
+        if a.distributed:
+            from pyspark.sql import SparkSession
+
+            spark = SparkSession.builder.appName("tidemark").getOrCreate()
+        result = scan(a.path, spark, a.distributed or None, config_path=a.config, include=a.include, exclude=a.exclude, overrides={"format": a.format, "output": a.output, "fail_on": a.fail_on, "max_call_depth": a.max_call_depth}, on_progress=progress)
     except ConfigError as e:
         print(f"configuration: {e}", file=sys.stderr)
         return 2

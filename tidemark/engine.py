@@ -1,7 +1,6 @@
 """The engine's facade: scan a project, or run the kernel on tables.
 
-A project whose files fit LOCAL_BYTES is scanned in this process, with the kernel's local twin; a larger one, or any with
-a session given and distributed=True, is scanned by Spark: files are parsed in parallel, rules join nodes, the fixpoint loops over
+A project is scanned in this process, with the kernel's local twin, unless a session is given and its files exceed LOCAL_BYTES or distributed is True; then it is scanned by Spark: files are parsed in parallel, rules join nodes, the fixpoint loops over
 tables, and only ordered findings are collected for the report.
 """
 
@@ -103,13 +102,13 @@ def analyse_files(spark, files, config: Config, proofs: bool = True):
 
     from tidemark.plans.findings import analyse
     from tidemark.plans.model import Occurrences, checkpointed
-    from tidemark.rules.annotate import annotate, expressions
+    from tidemark.rules.annotate import annotate, complete, expressions
     from tidemark.rules.catalogue import rule_tables
     from tidemark.sources.discovery import graph_tables
 
     graph, aliases, diagnostics = graph_tables(files)
     last = aliases.groupBy("scope", "name").agg(F.max_by("chain", "seq").alias("chain"))
-    rules = rule_tables(spark, config.rules)
+    rules = rule_tables(spark, complete(config.rules))
     found = annotate(graph, rules, checkpointed(expressions(graph.nodes, last)))
     occurrences = Occurrences(*map(checkpointed, (found.sources, found.sanitizers, found.sinks)))
     return analyse(graph, occurrences, rules["sinks"], solve_options(config), proofs), diagnostics
@@ -122,16 +121,20 @@ def _scan_tables(spark, files: list[str], base: str, config: Config, tell) -> tu
 
     uri = [f"file://{f}" for f in files]
     rows = spark.read.format("binaryFile").load(uri) if uri else spark.createDataFrame([], "path string, content binary")
-    rel = F.expr(f"substring(path, instr(path, '{base}/') + {len(base) + 1})")
+    # Quoted as a whole, whatever is in the folder's name.
+    rel = F.regexp_replace("path", F.lit("^.*?" + "".join(f"\\Q{c}\\E" for c in base + "/")), F.lit(""))
+    read = rows.select("path", rel.alias("relative_path"), F.col("content").cast("string").alias("text"))
+    broken = [r[0] for r in read.where(~F.is_valid_utf8("text")).select("relative_path").orderBy("relative_path").collect()]
     tell("solve", "tables")
-    result, diagnostics = analyse_files(spark, rows.select(rel.alias("relative_path"), F.decode("content", "utf-8").alias("text")), config)
+    result, diagnostics = analyse_files(spark, read.where(F.is_valid_utf8("text")).select("relative_path", "text"), config)
     findings = [r.asDict(True) for r in ordered(result.findings).collect()]
     for f in findings:  # the tables know relative paths only
         f["file"] = os.path.join(base, f["relative_path"])
         for s in f["proof"]:
             s["file"] = os.path.join(base, s["file"])
     stats = {"functions_analysed": result.stats["functions"], **{k: result.stats[k] for k in ("nodes", "edges", "iterations", "truncated")}}
-    said = [r.asDict(True) for r in diagnostics.orderBy("file", "message").limit(10_000).collect()] + [{"level": level, "message": m, "file": None, "range": None} for level, m, _ in result.diagnostics]
+    said = [{"level": "error", "message": "can't read: not UTF-8", "file": os.path.join(base, f), "range": None} for f in broken]
+    said += [r.asDict(True) for r in diagnostics.orderBy("file", "message").collect()] + [{"level": level, "message": m, "file": None, "range": None} for level, m, _ in result.diagnostics]
     return findings, stats, said
 
 

@@ -20,11 +20,6 @@ def intersected(kinds: Column, target: Column) -> Column:
     return F.when(F.size(target) == 0, kinds).when(F.size(hits) > 0, hits).otherwise(adopted)
 
 
-def removed(kinds: Column, cleared: Column) -> Column:
-    """What is left of kinds: an empty list clears all, a concrete one never clears the wildcard."""
-    return F.when(F.size(cleared) == 0, F.array().cast("array<string>")).otherwise(F.array_except(kinds, cleared))
-
-
 def vocabulary(*occurrences, column: str = "kinds"):
     """Sorted distinct tags of some tables with a kinds column, one row each."""
     tags = [x.select(F.explode(column).alias("kind")) for x in occurrences]

@@ -87,10 +87,11 @@ def all_most_specific(matches: DataFrame) -> DataFrame:
 
 
 def within_functions(allowed: Column, function_id: Column, name: Column, class_name: Column) -> Column:
-    """Whether a source may be in a function: any of its name, id, Class.name, Class::name or what follows `::` in its id is allowed; no list allows all."""
-    tail = F.substring_index(function_id, "::", -1)
-    names = F.array_compact(F.array(name, function_id, F.concat(class_name, F.lit("."), name), F.concat(class_name, F.lit("::"), name), tail))
-    return allowed.isNull() | F.arrays_overlap(allowed, names)
+    """Whether a source may be in a function: any of its name, id, Class.name, Class::name or what follows a `::` in its id is allowed; no list, or an empty one, allows all."""
+    parts = F.split(function_id, "::")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "::"))
+    names = F.array_compact(F.concat(F.array(name, F.concat(class_name, F.lit("."), name), F.concat(class_name, F.lit("::"), name)), tails))
+    return allowed.isNull() | (F.size(allowed) == 0) | F.arrays_overlap(allowed, names)
 
 
 def validated(validation: Column, is_call: Column, args: Column) -> tuple[Column, Column]:
@@ -147,6 +148,11 @@ def resolved_aliases(aliases: DataFrame, hops: int = 8) -> DataFrame:
 
 def as_of_declaration(uses: DataFrame, declarations: DataFrame) -> DataFrame:
     """uses (scope, name, pos) -> decl: the latest declaration (start, end, decl) of the name that ends at or before the use, else the earliest."""
-    joined = uses.join(declarations, ["scope", "name"])
     order = F.struct("start", "decl")
-    return joined.groupBy("scope", "name", "pos").agg(F.max(F.when(F.col("end") <= F.col("pos"), order)).alias("before"), F.min(order).alias("first")).select("scope", "name", "pos", F.coalesce("before.decl", "first.decl").alias("decl"))
+    made = declarations.select("scope", "name", F.col("end").alias("at"), F.lit(0).alias("use"), order.alias("o"))
+    used = uses.select("scope", "name", F.col("pos").alias("at")).distinct().withColumn("use", F.lit(1)).withColumn("o", F.lit(None))
+    # A running maximum in order of position: a name's uses and declarations stream by once, and never meet as pairs.
+    so_far = Window.partitionBy("scope", "name").orderBy("at", "use").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = made.unionByName(used).withColumn("before", F.max("o").over(so_far)).where("use = 1")
+    first = declarations.groupBy("scope", "name").agg(F.min(order).alias("first"))
+    return running.join(first, ["scope", "name"]).select("scope", "name", F.col("at").alias("pos"), F.coalesce("before.decl", "first.decl").alias("decl"))

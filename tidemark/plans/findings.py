@@ -51,22 +51,17 @@ def raw_findings(graph: Graph, met: DataFrame) -> DataFrame:
     )
 
 
-def _inside(inner: str, outer: str) -> Column:
-    at = lambda t, e: F.struct(F.col(f"{t}.range.{e}.line"), F.col(f"{t}.range.{e}.column"))
-    return (at(outer, "start") <= at(inner, "start")) & (at(inner, "end") <= at(outer, "end"))
-
-
 def deduped(findings: DataFrame) -> DataFrame:
     """First of each rule, file and range; then none that lies within a range of an earlier one of the same rule, file and first line.
 
-    Containment is transitive, so any earlier range stands for any kept earlier one.
+    Among ranges that begin on one line, in order, an earlier one begins first; so one that holds a later one is there if the furthest end so far isn't short of
+    the later one's end. Containment is transitive, so any earlier range stands for any kept earlier one. Findings without a range have only themselves to repeat.
     """
-    first = Window.partitionBy("rule_id", "file", "range").orderBy(*ORDER)
-    one = checkpointed(findings.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r"))
-    order = lambda t: F.struct(*[F.col(f"{t}.{c}") for c in ORDER])
-    a, b = one.alias("a"), one.alias("b")
-    same = (F.col("a.rule_id") == F.col("b.rule_id")) & (F.col("a.file") == F.col("b.file")) & (F.col("a.range.start.line") == F.col("b.range.start.line"))
-    return a.join(b, same & (order("b") < order("a")) & _inside("a", "b"), "left_anti")
+    ordered_ = Window.partitionBy("rule_id", "file", "range.start.line").orderBy(*ORDER)
+    end = F.struct("range.end.line", "range.end.column")
+    marked = findings.withColumn("_far", F.max(F.when(F.col("range").isNotNull(), end)).over(ordered_.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_r", F.row_number().over(ordered_))
+    kept = F.when(F.col("range").isNull(), F.col("_r") == 1).otherwise(F.col("_far").isNull() | (F.col("_far") < end))
+    return marked.where(kept).drop("_far", "_r")
 
 
 def with_proofs(graph: Graph, states: DataFrame, findings: DataFrame, notes: dict[str, str] | None = None) -> DataFrame:
@@ -143,7 +138,7 @@ def analyse(graph: Graph, occurrences: Occurrences, known_sinks: DataFrame | Non
     said += [("info", f"recursion into {f} stopped at depth {options.max_call_depth}", f) for f in solution.capped]
     params = graph.nodes.select(F.col("id").alias("param_node_id"))
     dangling = graph.callback_links.where("param_node_id is not null").join(params, "param_node_id", "left_anti").select("call_node_id", "param_node_id").distinct()
-    said += [("warning", f"callback wiring of {r[0]} names parameter node {r[1]}, which the graph doesn't have", None) for r in dangling.orderBy("call_node_id", "param_node_id").limit(1000).collect()]
+    said += [("warning", f"callback wiring of {r[0]} names parameter node {r[1]}, which the graph doesn't have", None) for r in dangling.orderBy("call_node_id", "param_node_id").collect()]
     stats = {
         "functions": graph.functions.where("not coalesce(is_module_scope, false)").count(), "nodes": graph.nodes.count(), "edges": graph.edges.count(),
         "iterations": states.count(), "truncated": solution.truncated, "rounds": solution.rounds,

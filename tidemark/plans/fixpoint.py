@@ -92,8 +92,8 @@ def _sanitised(rows: DataFrame, clears: DataFrame) -> DataFrame:
 
 
 def _numbered(rows: DataFrame, level: int, order: list[str]) -> DataFrame:
-    """rows in order, with level and an increasing seq; fixed by a checkpoint."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    """rows in order, if there is one, with level and an increasing seq; fixed by a checkpoint."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
     return checkpointed(ranged.withColumn("level", F.lit(level)).withColumn("seq", F.monotonically_increasing_id()))
 
 
@@ -109,7 +109,7 @@ def seeds(graph: Graph, sources: DataFrame, clears: DataFrame, bindings: DataFra
         every = every.unionByName(marks)
     rows = _sanitised(every.join(info, "node"), clears).withColumn("arg", F.lit(NO_ARG)).withColumn("entered", F.array().cast("array<string>")).withColumn("parent", F.lit(None).cast("bigint"))
     first = rows.groupBy(*KEY).agg(F.min(F.struct("rank", "function_id", "node_kind", "symbolic", "entered", "parent", "uses")).alias("x")).select(*KEY, "x.*")
-    return _numbered(first, 0, ["rank"]).drop("rank")
+    return _numbered(first, 0, ["rank"] if options.ordered else []).drop("rank")
 
 
 @dataclass
@@ -161,7 +161,7 @@ def propagate(graph: Graph, occurrences: Occurrences, options: SolveOptions = So
         left = _sanitised(arrived, clears)
         first = left.groupBy(*KEY).agg(F.min(F.struct("parent", "rank", "function_id", "node_kind", "symbolic", "entered", "uses")).alias("x")).select(*KEY, "x.*")
         seen = reduce(DataFrame.unionByName, [x.select(*KEY) for x in levels])
-        frontier = _numbered(first.join(seen, list(KEY), "left_anti"), rounds, ["parent", "rank"]).drop("rank")
+        frontier = _numbered(first.join(seen, list(KEY), "left_anti"), rounds, ["parent", "rank"] if options.ordered else []).drop("rank")
     states = reduce(DataFrame.unionByName, levels) if levels else frontier.withColumn("expanded", F.lit(True))
     return Solution(states, sorted(truncated), sorted(capped), rounds, bindings)
 
@@ -171,10 +171,12 @@ def paths(states: DataFrame, ends: DataFrame) -> DataFrame:
     steps = states.select(F.col("level").alias("at"), F.col("seq").alias("at_seq"), F.col("parent").alias("up"), F.struct("node", "uses").alias("step"))
     deepest = ends.agg(F.max("level")).first()[0]
     out = ends.withColumn("path", F.array().cast(f"array<struct<node:string,uses:{_USE}>>")).withColumn("_l", F.col("level")).withColumn("_s", F.col("seq"))
-    for k in range((deepest if deepest is not None else -1) + 1):
-        own = (out["_l"] == steps["at"]) & (out["_s"] == steps["at_seq"])
-        more = out.join(steps, own, "left")
-        out = more.withColumn("path", F.when(F.col("at").isNull(), F.col("path")).otherwise(F.concat(F.array("step"), "path"))).withColumn("_s", F.col("up")).withColumn("_l", F.when(F.col("up").isNull(), F.lit(-1)).otherwise(F.col("_l") - 1)).drop("at", "at_seq", "up", "step")
-        if k % 4 == 3:
+    for level in range(deepest if deepest is not None else -1, -1, -1):
+        # Paths that have come to this level, or begin on it, take its states' steps; the others wait.
+        here = steps.where(F.col("at") == level)
+        more = out.join(here, (out["_l"] == here["at"]) & (out["_s"] == here["at_seq"]), "left")
+        met = F.col("at").isNotNull()
+        out = more.withColumn("path", F.when(met, F.concat(F.array("step"), "path")).otherwise(F.col("path"))).withColumn("_s", F.when(met, F.col("up")).otherwise(F.col("_s"))).withColumn("_l", F.when(met, F.lit(level - 1)).otherwise(F.col("_l"))).drop("at", "at_seq", "up", "step")
+        if level % 4 == 0:
             out = checkpointed(out)
     return out.drop("_l", "_s")

@@ -39,7 +39,10 @@ class Occurrences:
 
 @dataclass(frozen=True)
 class SolveOptions:
-    """max_iterations bounds the states expanded for each function; max_call_depth the re-entries of a function on a path, 0 for no bound."""
+    """max_iterations bounds the states expanded for each function; max_call_depth the re-entries of a function on a path, 0 for no bound.
+
+    ordered keeps the order of arrival, which decides about paths, budgets and ties; the set of states does without where no bound is met, and saves a sort a level.
+    """
 
     max_iterations: int = 50_000
     max_call_depth: int = 5
@@ -47,6 +50,7 @@ class SolveOptions:
     kinds: tuple[str, ...] | None = None
     seed_params: bool = False
     scope_function: str | None = None
+    ordered: bool = True
     source_notes: dict[str, str] = field(default_factory=dict)
 
 

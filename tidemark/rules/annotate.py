@@ -17,6 +17,12 @@ EXPRESSION = "node_id string, segments array<string>, identifier string, last st
 HOPS = 8
 
 
+def complete(rules: dict[str, list[dict]]) -> dict[str, list[dict]]:
+    """Rules as both kernels take them: a sanitiser without kinds clears the whole vocabulary of sources and sinks."""
+    vocabulary = sorted({k for r in (*rules["sources"], *rules["sinks"]) for k in r["kinds"]})
+    return rules | {"sanitizers": [r if r["kinds"] else r | {"kinds": vocabulary} for r in rules["sanitizers"]]}
+
+
 # ---- aliases -----------------------------------------------------------------------------------------------------
 
 
@@ -161,7 +167,7 @@ def annotate_rows(tables: dict[str, list[dict]], rules: dict[str, list[dict]]) -
     aliases: dict[str, dict[str, str]] = {}
     for a in sorted(tables.get("aliases", []), key=lambda a: a["seq"]):
         aliases.setdefault(a["scope"], {})[a["name"]] = a["chain"]
-    vocabulary = sorted({k for r in (*rules["sources"], *rules["sinks"]) for k in r["kinds"]})
+    rules = complete(rules)
     out: dict[str, list[dict]] = {"sources": [], "sanitizers": [], "sinks": []}
     index = {kind: RuleIndex(rules[kind]) for kind in out}
     for n in tables["nodes"]:
@@ -170,13 +176,13 @@ def annotate_rows(tables: dict[str, list[dict]], rules: dict[str, list[dict]]) -
             continue
         at = {"node_id": n["id"], "function_id": n["function_id"], "range": n["range"]}
         f = functions.get(n["function_id"], {})
-        name, owner = f.get("name"), f.get("class_name")
-        names = {name, n["function_id"], f"{owner}.{name}", f"{owner}::{name}", n["function_id"].split("::", 1)[-1]}
-        for r in best_matches(e, [r for r in index["sources"].candidates(e) if r.get("within_functions") is None or names & set(r["within_functions"])])[:1]:
+        name, owner, parts = f.get("name"), f.get("class_name"), n["function_id"].split("::")
+        names = {name, n["function_id"], f"{owner}.{name}", f"{owner}::{name}", *("::".join(parts[i:]) for i in range(len(parts)))}
+        for r in best_matches(e, [r for r in index["sources"].candidates(e) if not r.get("within_functions") or names & set(r["within_functions"])])[:1]:
             out["sources"].append(at | {"source_id": r["id"], "kinds": sorted(r["kinds"]), "label": n["label"]})
         for r in best_matches(e, index["sanitizers"].candidates(e))[:1]:
             reason = invalid_reason(r.get("validation"), e)
-            out["sanitizers"].append(at | {"sanitizer_id": r["id"], "kinds": r["kinds"] or vocabulary, "valid": reason is None, "invalid_reason": reason})
+            out["sanitizers"].append(at | {"sanitizer_id": r["id"], "kinds": r["kinds"], "valid": reason is None, "invalid_reason": reason})
         for r in best_matches(e, index["sinks"].candidates(e)):
             args = r["tainted_args"] if r.get("tainted_args") is not None else list(range(len(e.args)))
             out["sinks"].append(at | {"sink_id": r["id"], "kinds": r["kinds"], "severity": r["severity"], "message": r["message"], "advice": r.get("advice"), "cwe": r.get("cwe"), "label": n["label"], "tainted_args": args})
