@@ -284,3 +284,12 @@ def test_pipeline(spark, tmp_path):
     got = {x["doc_id"]: x for x in pipeline.run(spark, str(tmp_path)).collect()}
     want = {i for i in range(120) if i % 5} | {202, 203}
     assert set(got) == want and got[202]["size"] == 4
+
+
+def test_licences_of_repeated_rows(spark):
+    """Rows that repeat an id and a path have answers of their own."""
+    rows = [(1, "a/x", "Released under the MIT License."), (1, "a/x", "Licensed under CC BY 4.0."), (1, "a/x", "Released under the MIT License."), (None, "a/x", None), (1, None, "plain")]
+    files = spark.createDataFrame([(*r, 0.5, 1) for r in rows], "doc_id long, path string, text string, score double, term int")
+    got = licenses.scan_licences(files)
+    assert sorted(str(r["own_licence"]) for r in got.collect()) == ["CC-BY-4.0", "MIT", "MIT", "None", "None"]
+    assert licenses.scan_licences(files.limit(0)).count() == 0

@@ -141,7 +141,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, item_shingles, shared, containment for every document that holds 0.8 or more of an item's shingles."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    query = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text is not null")
+    query = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text is not null").distinct()
     blocks = -(-query.count() // BLOCK_ITEMS)
     parts = []
     for block in range(blocks):

@@ -6,7 +6,7 @@ kernel ridge regression in that space gives one score a language. Scoring is two
 presence by landmarks, then kernel values by language.
 
 Landmarks and training texts are bounded samples by seeded hash of doc_id (parameters landmarks, examples; both shared
-out evenly over languages). Whole texts are read. A null text or one without a letter gets `und` and score 0; so does every text when nothing can be
+out evenly over languages; 2 * examples rows at most, also where ids repeat). Whole texts are read, however long, in pieces; rows that repeat an id or a text are answered one by one, equal texts alike. A null text or one without a letter gets `und` and score 0; so does every text when nothing can be
 learnt. Ties go to the language that sorts first.
 """
 
@@ -110,7 +110,9 @@ def train_language(docs: DataFrame, landmarks: int = 64, examples: int = 1200, s
     each = max(1, examples // len(counts))
     spread = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
     rate = reduce(lambda c, x: c.when(F.col("lang") == x[0], int(min(1.0, each / x[1]) * (1 << 30)) + 1), sorted(counts.items()), F)
-    rows = sorted(known.where(spread < rate).select(spread.alias("at"), "doc_id", "lang", "text").where("text is not null").collect(), key=lambda r: (r["at"], r["doc_id"]))
+    # About examples rows are below the threshold, unless ids repeat: then those with the least share of it stand for all.
+    below = known.where((spread < rate) & F.col("text").isNotNull()).select((spread / rate).alias("at"), "doc_id", "lang", "text")
+    rows = sorted(below.orderBy("at", "doc_id", F.xxhash64("text")).limit(2 * examples).collect(), key=lambda r: (r["at"], r["doc_id"]))
     texts, langs = [], []
     for x in sorted(counts):
         own = [r for r in rows if r["lang"] == x][:each]
@@ -120,7 +122,7 @@ def train_language(docs: DataFrame, landmarks: int = 64, examples: int = 1200, s
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
-    """keep, lang_pred and score, the winner's share of the languages' positive scores, for every row of docs."""
+    """keep, lang_pred and score, the winner's share in a softmax of four times the languages' scores, for every row of docs."""
 
     def compute(part: pa.RecordBatch) -> dict:
         texts, data = part.column("text").to_pylist(), utf8(part)

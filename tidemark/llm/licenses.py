@@ -11,7 +11,8 @@ A directory's licence is that of its licence files (first line a licence notice)
 of its own directory or of the nearest ancestor that has one: directories, not files, are joined with their ancestors, and files then with their
 own directory only. Templates are a fixed, short table, so they are broadcast.
 
-Null and empty texts have no segment; a null path has no directory. Of very long texts only lines with a cue and windows around cue words go on.
+Null and empty texts have no segment; a null path has no directory. Rows that repeat a key and path are files of their own (rows are told apart by a 64-bit hash of key, path and text; equal rows
+have equal answers). A table without rows gives none, and further columns are not read. Of very long texts only lines with a cue and windows around cue words go on.
 """
 
 from __future__ import annotations
@@ -165,15 +166,16 @@ def _parent(path: Column) -> Column:
 
 def scan_licences(files: DataFrame, key: str = "doc_id") -> DataFrame:
     """files (key, path, text) -> key, path, own_licence, own_score, licence (own or inherited), licence_dir (null if own or none), for every row."""
-    own = own_licences(files, key)
-    named = files.select(key, "path")
+    files = files.select(F.xxhash64(key, "path", "text").alias("_row"), F.col(key), "path", "text")
+    own = own_licences(files, "_row")
+    named = files.select("_row", key, "path")
     of_dir = own.where(F.col("leads") & F.col("path").isNotNull()).groupBy(_parent(F.col("path")).alias("dir")).agg(F.min(F.struct("path", "licence")).alias("f")).select("dir", F.col("f.licence").alias("dir_licence"))
     dirs = named.where("path is not null").select(_parent(F.col("path")).alias("own_dir")).distinct()
     parts = F.split("own_dir", "/")
     ancestors = dirs.select("own_dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("dir")))).alias("a")).select("own_dir", "a.*")
     nearest = ancestors.join(of_dir, "dir").groupBy("own_dir").agg(F.max(F.struct("depth", "dir", "dir_licence")).alias("n")).select("own_dir", F.col("n.dir").alias("dir"), F.col("n.dir_licence").alias("dir_licence"))
-    one = own.groupBy(key, "path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")).select(F.col(key).alias("_k"), F.col("path").alias("_p"), F.col("b.licence").alias("own_licence"), (-F.col("b.s")).alias("own_score"))
-    with_own = named.join(one, named[key].eqNullSafe(one["_k"]) & named["path"].eqNullSafe(one["_p"]), "left").drop("_k", "_p")
+    one = own.groupBy("_row").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")).select("_row", F.col("b.licence").alias("own_licence"), (-F.col("b.s")).alias("own_score"))
+    with_own = named.join(one, "_row", "left")
     full = with_own.withColumn("own_dir", _parent(F.col("path"))).join(nearest, "own_dir", "left")
     inherits = F.col("own_licence").isNull()
     return full.select(key, "path", "own_licence", "own_score", F.coalesce("own_licence", "dir_licence").alias("licence"), F.when(inherits, F.col("dir")).alias("licence_dir"))
