@@ -57,11 +57,16 @@ def deduped(findings: DataFrame) -> DataFrame:
     Among ranges that begin on one line, in order, an earlier one begins first; so one that holds a later one is there if the furthest end so far isn't short of
     the later one's end. Containment is transitive, so any earlier range stands for any kept earlier one. Findings without a range have only themselves to repeat.
     """
-    ordered_ = Window.partitionBy("rule_id", "file", "range.start.line").orderBy(*ORDER)
-    end = F.struct("range.end.line", "range.end.column")
-    marked = findings.withColumn("_far", F.max(F.when(F.col("range").isNotNull(), end)).over(ordered_.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_r", F.row_number().over(ordered_))
-    kept = F.when(F.col("range").isNull(), F.col("_r") == 1).otherwise(F.col("_far").isNull() | (F.col("_far") < end))
-    return marked.where(kept).drop("_far", "_r")
+    line = ["rule_id", "file", "_line"]
+    end = F.struct(F.col("range.end.line").alias("line"), F.col("range.end.column").alias("column"))
+    none = F.struct(F.lit(-1).alias("line"), F.lit(-1).alias("column"))
+    before = Window.partitionBy(*line).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    # Those at one place in the order count as none before another. Their windows are finer than the first one, so nothing is shuffled again.
+    peers = Window.partitionBy(*line, "range.start.column", "source_id", "level", "seq")
+    same = Window.partitionBy(*line, "range").orderBy(*ORDER)
+    marked = findings.withColumn("_line", F.col("range.start.line")).withColumn("_far", F.coalesce(F.max(F.when(F.col("range").isNotNull(), end)).over(before), none))
+    marked = marked.withColumn("_far", F.min("_far").over(peers)).withColumn("_r", F.row_number().over(same))
+    return marked.where((F.col("_r") == 1) & (F.col("range").isNull() | (F.col("_far") < end))).drop("_line", "_far", "_r")
 
 
 def with_proofs(graph: Graph, states: DataFrame, findings: DataFrame, notes: dict[str, str] | None = None) -> DataFrame:
