@@ -51,8 +51,8 @@ _BAND_ENDS = np.array(_BANDS, np.int64)
 PROBE, COMMON, KEPT = 6000, 4, 200_000
 #: Representatives of a group, how many of those that it shares most signatures with a node meets, and how often, before what is left meets in full.
 REPRESENTATIVES, MEETS, ROUNDS = 4, 3, 1
-#: How often a node meets one block of its largest group, before what is left meets in full.
-WAVES = 1
+#: How often a node meets one block of its largest group at most, before what is left meets in full; not once the links of a step are fewer than one for so many nodes.
+WAVES, FEW = 5, 20
 #: Nodes of a group that are held against each other, or against as many others, in one step, and the elements of theirs that may be held.
 BLOCK, BLOCK_ITEMS = 256, 1 << 21
 _GOLD, _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xA0761D6478BD642F)
@@ -437,9 +437,14 @@ def node_components(shared: DataFrame, docs: DataFrame, nodes: DataFrame) -> Dat
     rounds = [lambda rows, k=k: _verified(_plausible(_met(rows, k), nodes), docs, nodes) for k in range(ROUNDS)]
     # Groups and blocks of one cluster overlap; a few blocks of each node join most of it, so that its links don't come from all of them.
     waves = [lambda rows, k=k: _in_full(_largest(rows), nodes, docs, k) for k in range(WAVES)]
+    few = False
     for step in (*rounds, *waves, lambda rows: _in_full(rows, nodes, docs)):
+        if few and step in waves:
+            continue
         links = checkpointed(step(rows))
-        if labels is None or links.limit(1).count():
+        n_links = links.count()
+        few = FEW * n_links < rows.select("node").distinct().count()
+        if labels is None or n_links:
             labels = checkpointed(_joined(labels, links))
             rows = _spanning(shared, labels)
         forget_shuffles(shared.sparkSession)
