@@ -2,7 +2,7 @@
 
 Confirmed toxic examples P and unlabelled texts U give the risk  prior * R_P(+) + max(0, R_U(-) - prior * R_P(-)).
 Where the second term goes below zero the step climbs it instead of descending, so that a flexible model can't earn a
-negative risk by fitting P. Features are the presence of hashed words and of their beginnings, of those that are LIFT times as frequent in P as in U; steps are
+negative risk by fitting P. Features are the presence of hashed words and of their beginnings, of those that are LIFT times as frequent in P as in U beyond chance; steps are
 AdaGrad with an L1 proximal step, which leaves weight only on features that separate P from U.
 
 The training sample is bounded (parameters positives and unlabelled, rows at most), chosen by seeded hash of doc_id. Every document is
@@ -25,8 +25,8 @@ from tidemark.llm._common import held_out, map_texts, smallest_hashes, text_slic
 from tidemark.llm._features import BeginningBuckets, chosen_labels, labelled, ragged, row_sums, sigmoid, training_rows
 
 THRESHOLD = 0.3
-#: A feature is learnt from if so many positives have it at least, and it is so many times as frequent in them.
-LEAST, LIFT = 3, 2.0
+#: A feature is learnt from if so many positives have it at least, and it is so many times as frequent in them, by so many standard deviations, so that chance gives few.
+LEAST, LIFT, SURE = 3, 2.0, 2.5
 
 
 @dataclass(frozen=True)
@@ -76,7 +76,8 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
 def separating(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Both without the features that are too rare in positives, or not frequent enough there against unlabelled rows."""
     p, u = (np.bincount(ragged(rows)[0], minlength=size) for rows in (positive, unlabelled))
-    keep = (p >= LEAST) & ((p + 0.5) * len(unlabelled) >= LIFT * (u + 0.5) * len(positive))
+    expected = (u + 0.5) * (len(positive) / max(1, len(unlabelled)))
+    keep = (p >= LEAST) & (p + 0.5 >= LIFT * expected) & (p - expected >= SURE * np.sqrt(expected + 1))
     return [x[keep[x]] for x in positive], [x[keep[x]] for x in unlabelled]
 
 
