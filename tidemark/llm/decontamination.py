@@ -37,7 +37,8 @@ _rng = np.random.default_rng(977)
 _MASKS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _FACTORS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 _MAX = np.uint64((1 << 64) - 1)
-_FILTER_BITS = 18
+#: Places in a block's bit maps for each key, as a power of two.
+_FILTER_SPREAD = 8
 
 
 def exact_shingles(data: bytes) -> set[bytes]:
@@ -49,22 +50,28 @@ def exact_shingles(data: bytes) -> set[bytes]:
 
 @dataclass
 class _Keys:
-    """Sorted keys with the items that have them, and a bit map that turns most others away."""
+    """Sorted keys with the items that have them, and a map that turns most others away: it grows with the keys and is made anew in each task, not sent there."""
 
     keys: np.ndarray
     items: np.ndarray
     seen: np.ndarray
+    shift: np.uint64
 
     @staticmethod
     def of(keys: np.ndarray, items: np.ndarray) -> _Keys:
         order = np.argsort(keys, kind="stable")
-        seen = np.zeros(1 << _FILTER_BITS, bool)
-        seen[keys >> np.uint64(64 - _FILTER_BITS)] = True
-        return _Keys(keys[order], items[order], seen)
+        bits = len(keys).bit_length() + _FILTER_SPREAD
+        shift = np.uint64(64 - bits)
+        seen = np.zeros(1 << bits, bool)
+        seen[keys >> shift] = True
+        return _Keys(keys[order], items[order], seen, shift)
+
+    def __reduce__(self):
+        return _Keys.of, (self.keys, self.items)
 
     def hits(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in values and items with that key, all pairs."""
-        at = np.flatnonzero(self.seen[values >> np.uint64(64 - _FILTER_BITS)])
+        at = np.flatnonzero(self.seen[values >> self.shift])
         begin, end = np.searchsorted(self.keys, values[at], "left"), np.searchsorted(self.keys, values[at], "right")
         n = end - begin
         where = np.repeat(at, n)
