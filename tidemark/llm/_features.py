@@ -41,6 +41,9 @@ class BeginningBuckets(Buckets):
 
     LENGTHS = range(4, 8)
 
+    def __init__(self, bits: int, most: int = 120_000):  # an entry takes about 300 bytes
+        super().__init__(bits, most)
+
     def bucket(self, word: bytes):
         return tuple({zlib.crc32(x) & self.mask for x in (word, *(b" " + word[:k] for k in self.LENGTHS if k < len(word)))})
 
