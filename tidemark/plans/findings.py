@@ -24,7 +24,7 @@ def argument_allowed(node_kind: Column, tainted_args: Column, arg: Column) -> Co
 
 def observed(states: DataFrame, sinks: DataFrame, known_sinks: DataFrame | None = None, scope_function: str | None = None) -> DataFrame:
     """States at sinks whose kinds and argument position fit, with the sink's columns; kinds are what both share."""
-    own = sinks if known_sinks is None else sinks.join(F.broadcast(known_sinks.select(F.col("id").alias("sink_id")).distinct()), "sink_id", "left_semi")
+    own = sinks if known_sinks is None else sinks.join(known_sinks.select(F.col("id").alias("sink_id")), "sink_id", "left_semi")
     own = own.select(F.col("node_id").alias("node"), "sink_id", F.col("kinds").alias("sink_kinds"), "severity", "message", "advice", "cwe", F.col("function_id").alias("sink_function"), "range", F.col("label").alias("sink_label"), "tainted_args")
     met = states.join(own, "node")
     if scope_function is not None:
@@ -107,13 +107,13 @@ def param_flows(graph: Graph, solution: Solution, met: DataFrame) -> DataFrame:
     return returns.unionByName(reached.dropDuplicates(["function_id", "param_index", "sink_id", "sink_arg", "range"]))
 
 
-def summaries(flows: DataFrame, truncated: list[str]) -> DataFrame:
+def summaries(flows: DataFrame, truncated: DataFrame) -> DataFrame:
     """function_id, tainted_return_from_params, param_to_sink, converged; one row for each function with a flow."""
     grouped = flows.groupBy("function_id").agg(
         F.array_sort(F.collect_set(F.when(F.col("kind") == "return", F.col("param_index")))).alias("tainted_return_from_params"),
         F.array_sort(F.collect_set(F.when(F.col("kind") == "sink", F.struct("param_index", "sink_id", "sink_arg")))).alias("param_to_sink"),
     )
-    return grouped.withColumn("converged", ~F.col("function_id").isin(truncated) if truncated else F.lit(True))
+    return grouped.join(truncated.withColumn("_late", F.lit(True)), "function_id", "left").withColumn("converged", F.col("_late").isNull()).drop("_late")
 
 
 @dataclass
@@ -121,6 +121,7 @@ class Result:
     findings: DataFrame
     states: DataFrame
     flows: DataFrame
+    late: DataFrame  # function_id of truncated functions
     diagnostics: list[tuple[str, str, str | None]]  # level, message, function
     stats: dict
     truncated: list[str]
@@ -139,16 +140,18 @@ def analyse(graph: Graph, occurrences: Occurrences, known_sinks: DataFrame | Non
     found = checkpointed(found)
     if proofs:
         found = checkpointed(with_proofs(graph, states, found, options.source_notes))
-    said: list[tuple[str, str, str | None]] = [("warning", f"analysis of {f} stopped at its limit of {options.max_iterations} states", f) for f in solution.truncated]
-    said += [("info", f"recursion into {f} stopped at depth {options.max_call_depth}", f) for f in solution.capped]
+    # The report names each function that met a limit.
+    truncated, capped = ([r[0] for r in ids.orderBy("function_id").collect()] for ids in (solution.truncated, solution.capped))
+    said: list[tuple[str, str, str | None]] = [("warning", f"analysis of {f} stopped at its limit of {options.max_iterations} states", f) for f in truncated]
+    said += [("info", f"recursion into {f} stopped at depth {options.max_call_depth}", f) for f in capped]
     params = graph.nodes.select(F.col("id").alias("param_node_id"))
     dangling = graph.callback_links.where("param_node_id is not null").join(params, "param_node_id", "left_anti").select("call_node_id", "param_node_id").distinct()
     said += [("warning", f"callback wiring of {r[0]} names parameter node {r[1]}, which the graph doesn't have", None) for r in dangling.orderBy("call_node_id", "param_node_id").collect()]
     stats = {
         "functions": graph.functions.where("not coalesce(is_module_scope, false)").count(), "nodes": graph.nodes.count(), "edges": graph.edges.count(),
-        "iterations": states.count(), "truncated": solution.truncated, "rounds": solution.rounds,
+        "iterations": states.count(), "truncated": truncated, "rounds": solution.rounds,
     }
-    return Result(found, states, param_flows(graph, solution, met), said, stats, solution.truncated)
+    return Result(found, states, param_flows(graph, solution, met), solution.truncated, said, stats, truncated)
 
 
 def ordered(findings: DataFrame) -> DataFrame:

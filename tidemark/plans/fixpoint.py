@@ -114,11 +114,11 @@ def seeds(graph: Graph, sources: DataFrame, clears: DataFrame, bindings: DataFra
 
 @dataclass
 class Solution:
-    """states: key columns, function_id, node_kind, symbolic, uses, level, seq, parent (seq in the level before), expanded."""
+    """states: key columns, function_id, node_kind, symbolic, uses, level, seq, parent (seq in the level before), expanded. truncated, capped: function_id of the functions that met a limit."""
 
     states: DataFrame
-    truncated: list[str]
-    capped: list[str]
+    truncated: DataFrame
+    capped: DataFrame
     rounds: int
     bindings: DataFrame
 
@@ -129,7 +129,7 @@ def propagate(graph: Graph, occurrences: Occurrences, options: SolveOptions = So
     clears = checkpointed(clearing(occurrences.sanitizers))
     ways = checkpointed(moves(graph, bindings, options))
     frontier = seeds(graph, occurrences.sources, clears, bindings, options)
-    levels, total, truncated, capped, rounds = [], 0, set(), set(), 0
+    levels, total, truncated, capped, rounds = [], 0, [], [], 0
     while True:
         n_states = frontier.count()
         if not n_states:
@@ -142,9 +142,9 @@ def propagate(graph: Graph, occurrences: Occurrences, options: SolveOptions = So
             past = reduce(DataFrame.unionByName, [x.select("function_id") for x in levels]) if levels else frontier.limit(0).select("function_id")
             before = own.join(past.groupBy("function_id").agg(F.count("*").alias("past")), "function_id", "left").select("function_id", "n", F.coalesce("past", F.lit(0)).alias("past"))
             tight = checkpointed(before.where(F.col("past") + F.col("n") > options.max_iterations))
-            if over := [r[0] for r in tight.select("function_id").collect()]:
-                truncated.update(over)
-                ranked = frontier.join(F.broadcast(tight), "function_id").withColumn("r", F.row_number().over(Window.partitionBy("function_id").orderBy("seq")))
+            if tight.limit(1).count():
+                truncated.append(tight.select("function_id"))
+                ranked = frontier.join(tight, "function_id").withColumn("r", F.row_number().over(Window.partitionBy("function_id").orderBy("seq")))
                 late = ranked.where(F.col("r") + F.col("past") > options.max_iterations).select("seq").withColumn("late", F.lit(True))
                 frontier = checkpointed(frontier.join(late, "seq", "left").withColumn("expanded", F.col("late").isNull()).drop("late"))
         levels.append(frontier)
@@ -154,8 +154,8 @@ def propagate(graph: Graph, occurrences: Occurrences, options: SolveOptions = So
         if options.max_call_depth > 0:
             deep = F.col("enters").isNotNull() & (F.size(F.filter("entered", lambda x: x == F.col("enters"))) >= options.max_call_depth)
             # Only paths that re-entered something can be capped.
-            stopped = [r[0] for r in steps.where((F.size("entered") >= options.max_call_depth) & deep).select("enters").distinct().collect()] if rounds > options.max_call_depth else []
-            capped.update(stopped)
+            if rounds > options.max_call_depth:
+                capped.append(checkpointed(steps.where((F.size("entered") >= options.max_call_depth) & deep).select(F.col("enters").alias("function_id")).distinct()))
             steps = steps.where(~deep)
         arrived = steps.select(F.col("dst").alias("node"), "source_id", "kinds", F.col("next_arg").alias("arg"), F.col("dst_function").alias("function_id"), F.col("dst_kind").alias("node_kind"), "symbolic", F.when(F.col("enters").isNull(), F.col("entered")).otherwise(F.concat("entered", F.array("enters"))).alias("entered"), "parent", "rank")
         left = _sanitised(arrived, clears)
@@ -163,7 +163,8 @@ def propagate(graph: Graph, occurrences: Occurrences, options: SolveOptions = So
         seen = reduce(DataFrame.unionByName, [x.select(*KEY) for x in levels])
         frontier = _numbered(first.join(seen, list(KEY), "left_anti"), rounds, ["parent", "rank"] if options.ordered else []).drop("rank")
     states = reduce(DataFrame.unionByName, levels) if levels else frontier.withColumn("expanded", F.lit(True))
-    return Solution(states, sorted(truncated), sorted(capped), rounds, bindings)
+    every = lambda parts: reduce(DataFrame.unionByName, parts).distinct() if parts else spark.createDataFrame([], "function_id string")
+    return Solution(states, every(truncated), every(capped), rounds, bindings)
 
 
 def paths(states: DataFrame, ends: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import tags, text
@@ -338,9 +338,15 @@ def parameter_binding(spark, d):
 
 @query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 5 AS expanded FROM events")
 def budget_truncation(spark, d):
-    """A user's events are one function's states: those beyond five are seen and not expanded."""
-    events = read(spark, d, "events")
-    return events.select("event_id", "user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) <= 5).alias("expanded"))
+    """A user is a function, an event a node where data enters: the kernel sees a user's states beyond five, in order of place, and doesn't expand them."""
+    events, none = read(spark, d, "events"), F.lit(None)
+    fid, node = F.col("user_id").cast("string").alias("function_id"), F.col("event_id").cast("string")
+    place = _range(F.col("event_id") + 1).alias("range")
+    nodes = events.select(node.alias("id"), F.lit(0).alias("seq"), F.lit("local").alias("kind"), fid, place, F.lit("").alias("label"), none.cast("array<string>").alias("resolved_callees"), none.cast("string").alias("text"))
+    sources = events.select(node.alias("node_id"), F.lit("event").alias("source_id"), F.array(F.lit("url")).alias("kinds"), fid, place, F.lit("").alias("label"))
+    graph = Graph(empty(spark, "functions"), nodes, empty(spark, "edges"), empty(spark, "call_sites"), empty(spark, "callback_links"))
+    states = propagate(graph, Occurrences(sources, empty(spark, "sanitizers"), empty(spark, "sinks")), SolveOptions(max_iterations=5)).states
+    return states.select(F.col("node").cast("bigint").alias("event_id"), F.col("function_id").cast("bigint").alias("user_id"), "expanded")
 
 
 @query("SELECT unnest(range(0, 4)) AS entries")
