@@ -465,7 +465,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     nodes = checkpointed(drawn.select("node", "one.row", F.col("one.n_shingles").alias("size"), F.slice("one.more", F.lit(5), F.size("one.more") - 4).alias("sketch")))
     labels = node_components(shared, texts, nodes)
     rows = sets.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("component"))
-    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # From a checkpoint, and without components of one row: the join is a plain one of two tables, in which Spark can split a component that holds much of all rows.
+    least = checkpointed(rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n"))
     return rows.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component")
 
 
