@@ -4,6 +4,7 @@ from tidemark.engine import scan, scan_source, should_fail
 from tidemark.frontend.builder import build_file
 from tidemark.frontend.expressions import member_chain, parse_expression
 from tidemark.frontend.parser import parse
+from tidemark.source_queries import FORMS, UNKNOWN
 
 
 def flows(source: str, src: str, dst: str) -> bool:
@@ -103,3 +104,10 @@ def test_scan(tmp_path):
 def test_sanitisers():
     assert not scan_source("app.get('/', (req, res) => { res.send(escapeHtml(req.query.x)); });")["findings"]
     assert [f["kinds"] for f in scan_source("app.get('/', (req, res) => { exec(escapeHtml(req.query.x)); });")["findings"]] == [["command"]]
+
+
+@pytest.mark.parametrize(("name", "code", "passes"), FORMS)
+def test_registered_forms(name, code, passes):
+    result = scan_source("app.get('/x', (req, res) => {\n" + code + "\n});\n")
+    assert [f["rule_id"] for f in result["findings"]] == ["command-exec"] * passes
+    assert bool(result["diagnostics"]) == (name in UNKNOWN)

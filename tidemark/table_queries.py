@@ -440,3 +440,16 @@ def json_findings(spark, d):
     made = met.select(reports.finding_json(["node", "source_id", "rule_id", "severity", "kinds"]).alias("j"))
     parsed = made.select(F.from_json("j", "node string, source_id string, rule_id string, severity string, kinds array<string>").alias("f")).select("f.*")
     return parsed.withColumn("kinds", F.array_join("kinds", ","))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS s FROM lineitem GROUP BY ALL),
+p AS (SELECT l_orderkey, (l_linenumber - 1) // 2 AS pair, min(CASE WHEN s % 2 = 0 THEN l_linenumber END) AS first FROM c GROUP BY ALL)
+SELECT CAST(l_orderkey * 100 + first AS BIGINT) AS case_ord, CAST(l_orderkey * 100 + pair AS BIGINT) AS finding_ord FROM p WHERE first IS NOT NULL AND l_orderkey % 5 <= 3""")
+def greedy_matches(spark, d):
+    """Two cases on a line, one finding near it: the first case of the finding's family takes it, and no other."""
+    lines = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s")).withColumn("pair", F.floor((F.col("l_linenumber") - 1) / 2))
+    kind = F.when(F.col("s") % 2 == 0, "sql").otherwise("html")
+    cases = lines.select(F.col("l_orderkey").cast("string").alias("file"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("bigint").alias("case_ord"), kind.alias("family"), (F.col("pair") * 10).cast("int").alias("line"))
+    pairs = lines.select("l_orderkey", "pair").distinct()
+    found = pairs.select(F.col("l_orderkey").cast("string").alias("file"), (F.col("l_orderkey") * 100 + F.col("pair")).cast("bigint").alias("finding_ord"), F.array(F.lit("sql")).alias("kinds"), (F.col("pair") * 10 + F.col("l_orderkey") % 5).cast("int").alias("line"))
+    return scoring.greedy_matches(cases, found)
