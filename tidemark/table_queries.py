@@ -449,7 +449,9 @@ def greedy_matches(spark, d):
     """Two cases on a line, one finding near it: the first case of the finding's family takes it, and no other."""
     lines = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s")).withColumn("pair", F.floor((F.col("l_linenumber") - 1) / 2))
     kind = F.when(F.col("s") % 2 == 0, "sql").otherwise("html")
-    cases = lines.select(F.col("l_orderkey").cast("string").alias("file"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("bigint").alias("case_ord"), kind.alias("family"), (F.col("pair") * 10).cast("int").alias("line"))
+    # A file holds 64 orders, a hundred lines each.
+    file, line = F.floor(F.col("l_orderkey") / 64).cast("string"), (F.col("l_orderkey") % 64 * 100 + F.col("pair") * 10).cast("bigint")
+    cases = lines.select(file.alias("file"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("bigint").alias("case_ord"), kind.alias("family"), line.alias("line"))
     pairs = lines.select("l_orderkey", "pair").distinct()
-    found = pairs.select(F.col("l_orderkey").cast("string").alias("file"), (F.col("l_orderkey") * 100 + F.col("pair")).cast("bigint").alias("finding_ord"), F.array(F.lit("sql")).alias("kinds"), (F.col("pair") * 10 + F.col("l_orderkey") % 5).cast("int").alias("line"))
+    found = pairs.select(file.alias("file"), (F.col("l_orderkey") * 100 + F.col("pair")).cast("bigint").alias("finding_ord"), F.array(F.lit("sql")).alias("kinds"), (line + F.col("l_orderkey") % 5).alias("line"))
     return scoring.greedy_matches(cases, found)
