@@ -70,5 +70,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """The same rows, read from the shared checkpoint folder: lineage ends here and lost executors cost no recomputation.
+
+    A checkpoint keeps its plan's estimate of size, which joins multiply, so that after some rounds of a loop the planner multiplies numbers of millions of
+    bits. The table is therefore made anew from the checkpoint's rows and schema, with the default estimate; adaptive execution goes by real sizes.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    kept = df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
+
+
+def estimated_bits(df: DataFrame) -> int:
+    """How many bits the planner's estimate of a table's bytes has."""
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
