@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.plans.model import checkpointed, ensure_checkpoint_dir  # noqa: F401  (shared with the core)
+
 #: UTF-8 bytes of text that one Python step handles at once; a longer text is a step of its own.
 SLICE_BYTES = 2 << 20
 
@@ -22,25 +23,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in spark.checkpoint.dir; a temporary one only for local masters that name none."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    if shared := sc.getConf().get("spark.checkpoint.dir"):
-        sc.setCheckpointDir(shared)
-    elif sc.master.split("[")[0] == "local":
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows, read from the shared checkpoint folder: lineage ends here and lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def forget_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner see which shuffles nothing refers to any more, so that their files go now and not at the driver's next full collection."""
     spark.sparkContext._jvm.System.gc()
