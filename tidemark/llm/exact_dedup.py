@@ -105,7 +105,8 @@ def classes(rows: DataFrame, block: int = BLOCK, block_hash=_hash) -> DataFrame:
     names, facts = identities(rows, block, block_hash)
     known = checkpointed(names.join(facts, "row"))
     best = F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    groups = known.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.min(best).alias("best"))
+    # Read from a checkpoint, groups are no part of the join's stage, so that Spark can split a large group's rows.
+    groups = checkpointed(known.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.min(best).alias("best")))
     return known.join(groups, ["level", "name"]).select("row", "doc_id", "n_points", "text_sha256", "group_size", F.col("best.row").alias("keep_row"), F.col("best.doc_id").alias("keep_id"))
 
 
