@@ -24,4 +24,4 @@ def test_same_as_sql(spark, name):
 
 
 def test_names():
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == [*range(1, 13)]
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))

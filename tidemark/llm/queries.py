@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, exact_dedup, jaccard_join, language_id, licenses, media_columns, merkle, mixing, quality, secret_scan, suffix_dedup, toxicity
+from tidemark.llm import collocations, decontamination, exact_dedup, jaccard_join, language_id, licenses, media_columns, merkle, mixing, quality, secret_scan, suffix_dedup, toxicity
 from tidemark.llm._common import table
 
 
@@ -58,14 +58,19 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 _REGISTERED = (
     op1_media_columns, op2_secret_scans, op3_source_mixing, op4_benchmark_decontamination, op5_language_id,
     op6_ngram_jaccard_join, op7_license_scans, op8_toxicity, op9_suffix_array_dedup, op10_quality_classifier,
-    op11_merkle_manifest, op12_exact_dedup,
+    op11_merkle_manifest, op12_exact_dedup, op13_phrase_collocations,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _REGISTERED}
 
 #: Only what SQL can express; the others are tested against brute force, exact round trips or held-out labels.
 ORACLES: dict[str, str] = {
     "op4_benchmark_decontamination": decontamination.ORACLE, "op6_ngram_jaccard_join": jaccard_join.ORACLE, "op7_license_scans": licenses.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_exact_dedup": exact_dedup.ORACLE,
+    "op13_phrase_collocations": collocations.ORACLE,
 }
