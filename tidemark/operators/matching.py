@@ -9,13 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ANY = "*"
-#: Rules go to every task; a catalogue beyond this is joined by a shuffle on its patterns' last or first segment instead.
-BROADCAST_RULES = 100_000
-
-
-def segments_of(chain: Column) -> Column:
-    return F.filter(F.split(chain, r"\."), lambda s: s != "")
+from tidemark.operators.trie import ANY, rule_hits, segments_of
 
 
 def _pairwise(expression: Column, pattern: Column, allow_dynamic: Column | bool) -> Column:
@@ -54,24 +48,15 @@ def rule_matches(expression: str = "e", rule: str = "r") -> Column:
     return given & member & identifier & call
 
 
-def specificity(rule: str = "r") -> Column:
-    r = lambda c: F.col(f"{rule}.{c}")
+def specificity() -> Column:
+    """A rule's rank: segments of its member, then lengths of member, identifier and call."""
     length = lambda c: F.coalesce(F.char_length(c), F.lit(0))
-    return F.struct(F.when(r("member").isNull(), 0).otherwise(F.size(segments_of(r("member")))).alias("segments"), length(r("member")).alias("member"), length(r("identifier")).alias("identifier"), length(r("call")).alias("call"))
+    return F.struct(F.when(F.col("member").isNull(), 0).otherwise(F.size(segments_of(F.col("member")))).alias("segments"), length("member").alias("member"), length("identifier").alias("identifier"), length("call").alias("call"))
 
 
 def matched(expressions: DataFrame, rules: DataFrame) -> DataFrame:
-    """All pairs of node_id and rule columns that match, with spec. Rules are broadcast while they are few; many go by their anchor, the call or first or last segment."""
-    e, r = expressions.alias("e"), rules.alias("r")
-    keep = [F.col("e.node_id"), *(F.col(f"r.{c}") for c in rules.columns), specificity().alias("spec")]
-    if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
-        return e.join(F.broadcast(r), rule_matches()).select(*keep)
-    parts = segments_of(F.col("member"))
-    anchor = F.when(F.col("call").isNotNull(), F.concat(F.lit("l:"), "call")).when(F.col("identifier").isNotNull(), F.concat(F.lit("i:"), "identifier")).when(F.col("member").startswith("."), F.concat(F.lit("l:"), F.element_at(parts, -1))).otherwise(F.concat(F.lit("f:"), F.element_at(parts, 1)))
-    anchors = F.array(F.concat(F.lit("l:"), F.coalesce("last", "identifier")), F.concat(F.lit("i:"), "identifier"), F.concat(F.lit("f:"), F.element_at("segments", 1)), F.lit("f:*"), F.lit("l:*"))
-    e = expressions.withColumn("anchor", F.explode(F.array_distinct(F.array_compact(anchors)))).alias("e")
-    r = rules.withColumn("anchor", anchor).alias("r")
-    return e.join(r, (F.col("e.anchor") == F.col("r.anchor")) & rule_matches()).select(*keep)
+    """All pairs of node_id and rule columns that match, as rule_matches has it, with spec; expressions walk the rules' trie."""
+    return rule_hits(expressions, rules).withColumn("spec", specificity())
 
 
 def most_specific(matches: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.frontend.expressions import Expression, parse_expression
 from tidemark.operators import matching
-from tidemark.plans.model import Graph, Occurrences
+from tidemark.plans.model import Graph, Occurrences, checkpointed
 
 EXPRESSION = "node_id string, segments array<string>, identifier string, last string, is_call boolean, args array<string>"
 HOPS = 8
@@ -69,14 +70,17 @@ def annotate(graph: Graph, rules: dict[str, DataFrame], read: DataFrame) -> Occu
     """rules: tables of the catalogue; read: the nodes' expressions."""
     place = graph.nodes.select(F.col("id").alias("node_id"), "function_id", "range", "label")
     inside = graph.functions.select(F.col("id").alias("function_id"), F.col("name").alias("fn_name"), "class_name")
-    with_dynamic = lambda r: r.withColumn("allow_dynamic", F.lit(False))
-    hits = matching.matched(read, with_dynamic(rules["sources"])).join(place, "node_id").join(inside, "function_id", "left")
+    # One walk for the three catalogues; what the rules say besides is joined to the few that are met.
+    patterns = [rules[c].select(F.lit(c).alias("catalogue"), "ord", "member", "identifier", "call", F.lit(False).alias("allow_dynamic")) for c in ("sources", "sanitizers", "sinks")]
+    every = checkpointed(matching.matched(read, reduce(DataFrame.unionByName, patterns)).select("node_id", "catalogue", "ord", "spec"))
+    met = lambda c: every.where(F.col("catalogue") == c).join(rules[c], "ord")
+    hits = met("sources").join(place, "node_id").join(inside, "function_id", "left")
     fits = matching.within_functions(F.col("within_functions"), F.col("function_id"), F.col("fn_name"), F.col("class_name"))
     sources = matching.most_specific(hits.where(fits)).select("node_id", F.col("id").alias("source_id"), F.array_sort("kinds").alias("kinds"), "function_id", "range", "label")
-    cleared = matching.most_specific(matching.matched(read, with_dynamic(rules["sanitizers"]))).join(read.select("node_id", "is_call", "args"), "node_id").join(place, "node_id")
+    cleared = matching.most_specific(met("sanitizers")).join(read.select("node_id", "is_call", "args"), "node_id").join(place, "node_id")
     valid, reason = matching.validated(F.col("validation"), F.col("is_call"), F.col("args"))
     sanitizers = cleared.select("node_id", F.col("id").alias("sanitizer_id"), "kinds", valid.alias("valid"), reason.alias("invalid_reason"), "function_id", "range")
-    sunk = matching.all_most_specific(matching.matched(read, with_dynamic(rules["sinks"]))).join(read.select("node_id", "args"), "node_id").join(place, "node_id")
+    sunk = matching.all_most_specific(met("sinks")).join(read.select("node_id", "args"), "node_id").join(place, "node_id")
     sinks = sunk.select("node_id", F.col("id").alias("sink_id"), "kinds", "severity", "message", "advice", "cwe", "function_id", "range", "label", matching.tainted_args(F.col("tainted_args"), F.col("args")).alias("tainted_args"))
     return Occurrences(sources, sanitizers, sinks)
 
