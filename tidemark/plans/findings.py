@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,20 +119,49 @@ def summaries(flows: DataFrame, truncated: DataFrame) -> DataFrame:
 
 @dataclass
 class Result:
+    """Tables, and what a report takes from them, which is collected when it is asked for."""
+
+    graph: Graph
+    options: SolveOptions
+    solution: Solution
     findings: DataFrame
     states: DataFrame
     flows: DataFrame
     late: DataFrame  # function_id of truncated functions
-    diagnostics: list[tuple[str, str, str | None]]  # level, message, function
-    stats: dict
-    truncated: list[str]
+    said: DataFrame  # level, message, function_id: in which ways the analysis is incomplete
+
+    @cached_property
+    def truncated(self) -> list[str]:
+        return [r[0] for r in self.late.orderBy("function_id").collect()]
+
+    @cached_property
+    def diagnostics(self) -> list[tuple[str, str, str | None]]:
+        return [(r["level"], r["message"], r["function_id"]) for r in self.said.orderBy("phase", "order").collect()]
+
+    @cached_property
+    def stats(self) -> dict:
+        return {
+            "functions": self.graph.functions.where("not coalesce(is_module_scope, false)").count(), "nodes": self.graph.nodes.count(), "edges": self.graph.edges.count(),
+            "iterations": self.solution.total, "truncated": self.truncated, "rounds": self.solution.rounds,
+        }
+
+
+def incomplete(graph: Graph, solution: Solution, options: SolveOptions) -> DataFrame:
+    """phase, order, level, message, function_id: a row for each function that met a limit, and for each callback that is wired to a parameter the graph doesn't have."""
+    f = F.col("function_id")
+    row = lambda df, phase, level, message, order, owner: df.select(F.lit(phase).alias("phase"), order.alias("order"), F.lit(level).alias("level"), F.concat(*message).alias("message"), owner.alias("function_id"))
+    out = row(solution.truncated, 0, "warning", (F.lit("analysis of "), f, F.lit(f" stopped at its limit of {options.max_iterations} states")), f, f)
+    out = out.unionByName(row(solution.capped, 1, "info", (F.lit("recursion into "), f, F.lit(f" stopped at depth {options.max_call_depth}")), f, f))
+    params = graph.nodes.select(F.col("id").alias("param_node_id"))
+    dangling = graph.callback_links.where("param_node_id is not null").join(params, "param_node_id", "left_anti").select("call_node_id", "param_node_id").distinct()
+    wired = (F.lit("callback wiring of "), F.col("call_node_id"), F.lit(" names parameter node "), F.col("param_node_id"), F.lit(", which the graph doesn't have"))
+    return out.unionByName(row(dangling, 2, "warning", wired, F.concat("call_node_id", F.lit(" "), "param_node_id"), F.lit(None).cast("string")))
 
 
 def analyse(graph: Graph, occurrences: Occurrences, known_sinks: DataFrame | None = None, options: SolveOptions = SolveOptions(), proofs: bool = True) -> Result:
-    """Solve and finish: kinds allow-list, order, dedupe, proofs, statistics. The order is that of ORDER; sort by it when collecting."""
+    """Solve and finish: kinds allow-list, order, dedupe, proofs. The order is that of ORDER; sort by it when collecting. Nothing is collected here."""
     solution = propagate(graph, occurrences, options)
-    states = checkpointed(solution.states)
-    solution = replace(solution, states=states)
+    states = solution.states
     met = checkpointed(observed(states, occurrences.sinks, known_sinks, options.scope_function))
     found = raw_findings(graph, met)
     if options.kinds:
@@ -140,18 +170,7 @@ def analyse(graph: Graph, occurrences: Occurrences, known_sinks: DataFrame | Non
     found = checkpointed(found)
     if proofs:
         found = checkpointed(with_proofs(graph, states, found, options.source_notes))
-    # The report names each function that met a limit.
-    truncated, capped = ([r[0] for r in ids.orderBy("function_id").collect()] for ids in (solution.truncated, solution.capped))
-    said: list[tuple[str, str, str | None]] = [("warning", f"analysis of {f} stopped at its limit of {options.max_iterations} states", f) for f in truncated]
-    said += [("info", f"recursion into {f} stopped at depth {options.max_call_depth}", f) for f in capped]
-    params = graph.nodes.select(F.col("id").alias("param_node_id"))
-    dangling = graph.callback_links.where("param_node_id is not null").join(params, "param_node_id", "left_anti").select("call_node_id", "param_node_id").distinct()
-    said += [("warning", f"callback wiring of {r[0]} names parameter node {r[1]}, which the graph doesn't have", None) for r in dangling.orderBy("call_node_id", "param_node_id").collect()]
-    stats = {
-        "functions": graph.functions.where("not coalesce(is_module_scope, false)").count(), "nodes": graph.nodes.count(), "edges": graph.edges.count(),
-        "iterations": states.count(), "truncated": truncated, "rounds": solution.rounds,
-    }
-    return Result(found, states, param_flows(graph, solution, met), solution.truncated, said, stats, truncated)
+    return Result(graph, options, solution, found, states, param_flows(graph, solution, met), solution.truncated, incomplete(graph, solution, options))
 
 
 def ordered(findings: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ level: a round joins the frontier with the moves table, lets sanitisers clear ki
 key, and drops keys that were seen. Arrival order is the pair (arrival of the parent, rank of the move); it is kept as an
 increasing number by range-partitioning each new level, so no level is ever sorted in one task. Paths are parent
 pointers, followed for findings only.
+
+What a round moves grows with its frontier alone: the moves lie in buckets by source node, with what their target's sanitisers clear, and the states seen in buckets by key, to which a round's new states are added. Neither is shuffled again;
+the frontier goes to the moves' buckets, arrivals, combined before they are sent, to the buckets of the states. The moves of a node with more than HUB_MOVES lie in several buckets.
 """
 
 from __future__ import annotations
@@ -16,11 +19,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.tags import WILDCARD, normalized
+from tidemark.operators.running import running
 from tidemark.plans.model import Graph, Occurrences, SolveOptions, checkpointed
+from tidemark.plans.store import Store
 
 #: Argument position of a state that didn't arrive over an argument edge.
 NO_ARG = -1_000_000
-KEY = ("node", "source_id", "kinds", "arg")
+#: A state's key, kinds as one string, and what depends on its node.
+KEY = ("node", "source_id", "kinds_key", "arg", "function_id", "node_kind")
+#: Moves of one node that lie in one bucket.
+HUB_MOVES = 1_000_000
+_JOINED = "\x01"
 _USE = "array<struct<sanitizer_id:string,kinds:array<string>>>"
 
 
@@ -85,16 +94,30 @@ _FOLD = f"""aggregate(coalesce(clears, array()), named_struct('kinds', kinds, 'u
       concat(s.uses, array(named_struct('sanitizer_id', c.sanitizer_id, 'kinds', if(size(c.kinds) = 0, s.kinds, array_intersect(s.kinds, c.kinds))))), s.uses)))"""
 
 
-def _sanitised(rows: DataFrame, clears: DataFrame) -> DataFrame:
-    """rows (node, kinds, ...) after the node's sanitisers; rows without a kind left go."""
-    folded = rows.join(clears, rows["node"] == clears["clear_node"], "left").withColumn("f", F.expr(_FOLD)).drop("clear_node", "clears", "kinds")
-    return folded.withColumn("kinds", F.col("f.kinds")).withColumn("uses", F.col("f.uses")).drop("f").where(F.size("kinds") > 0)
+def _sanitised(rows: DataFrame) -> DataFrame:
+    """rows (kinds, clears, ...) after their node's sanitisers; rows without a kind left go."""
+    none = F.array().cast(_USE)
+    clean = F.col("clears").isNull()
+    folded = rows.withColumn("f", F.when(~clean, F.expr(_FOLD)))
+    return folded.withColumn("kinds", F.when(clean, F.col("kinds")).otherwise(F.col("f.kinds"))).withColumn("uses", F.when(clean, none).otherwise(F.col("f.uses"))).drop("f", "clears").where(F.size("kinds") > 0)
+
+
+def _first(rows: DataFrame, order: list[str], options: SolveOptions) -> DataFrame:
+    """The first arrival of each key. If order doesn't matter and nothing but kinds is carried, numbers are enough, which Spark combines in hash tables."""
+    keyed = rows.withColumn("kinds_key", F.array_join("kinds", _JOINED))
+    if not options.ordered and not options.max_call_depth:
+        first = keyed.groupBy(*KEY).agg(F.min("parent").alias("parent"), F.min("symbolic").alias("symbolic"))
+        return first.withColumns({"entered": F.array().cast("array<string>"), "uses": F.array().cast(_USE)})
+    held = list(dict.fromkeys([*order, "parent", "symbolic", "entered", "uses"]))
+    return keyed.groupBy(*KEY).agg(F.min(F.struct(*held)).alias("x")).select(*KEY, *[F.col(f"x.{c}").alias(c) for c in held])
 
 
-def _numbered(rows: DataFrame, level: int, order: list[str]) -> DataFrame:
-    """rows in order, if there is one, with level and an increasing seq; fixed by a checkpoint."""
+def _numbered(rows: DataFrame, level: int, order: list[str], buckets: int) -> DataFrame:
+    """rows in order, if there is one, with level and an increasing seq, dealt out by key."""
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
-    return checkpointed(ranged.withColumn("level", F.lit(level)).withColumn("seq", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("seq", F.monotonically_increasing_id()).withColumn("level", F.lit(level))
+    ranged = ranged.select(*KEY, F.split("kinds_key", _JOINED).alias("kinds"), "symbolic", "entered", "uses", "parent", "seq", "level")
+    return ranged.repartition(buckets, *KEY) if order else ranged
 
 
 def seeds(graph: Graph, sources: DataFrame, clears: DataFrame, bindings: DataFrame, options: SolveOptions) -> DataFrame:
@@ -107,77 +130,133 @@ def seeds(graph: Graph, sources: DataFrame, clears: DataFrame, bindings: DataFra
     if options.seed_params:
         marks = bindings.select(F.col("node_id").alias("node"), F.concat(F.lit("param:"), "function_id", F.lit("#"), F.col("index").cast("string")).alias("source_id"), F.array(F.lit(WILDCARD)).alias("kinds"), F.lit(True).alias("symbolic"), F.struct(F.lit(1).alias("phase"), F.lit(0).alias("a"), F.col("index").alias("b"), F.col("function_id").alias("c"), F.lit("").alias("d")).alias("rank"))
         every = every.unionByName(marks)
-    rows = _sanitised(every.join(info, "node"), clears).withColumn("arg", F.lit(NO_ARG)).withColumn("entered", F.array().cast("array<string>")).withColumn("parent", F.lit(None).cast("bigint"))
-    first = rows.groupBy(*KEY).agg(F.min(F.struct("rank", "function_id", "node_kind", "symbolic", "entered", "parent", "uses")).alias("x")).select(*KEY, "x.*")
-    return _numbered(first, 0, ["rank"] if options.ordered else []).drop("rank")
+    met = every.join(info, "node").join(clears, F.col("node") == F.col("clear_node"), "left").drop("clear_node")
+    rows = _sanitised(met).withColumn("arg", F.lit(NO_ARG)).withColumn("entered", F.array().cast("array<string>")).withColumn("parent", F.lit(None).cast("bigint"))
+    return _first(rows, ["rank"], options)
 
 
 @dataclass
 class Solution:
-    """states: key columns, function_id, node_kind, symbolic, uses, level, seq, parent (seq in the level before), expanded. truncated, capped: function_id of the functions that met a limit."""
+    """states: key columns, function_id, node_kind, symbolic, uses, level, seq, parent (seq in the level before), expanded. truncated, capped: function_id of the functions that met a limit. total: how many states there are. uses are those of ordered solutions."""
 
     states: DataFrame
     truncated: DataFrame
     capped: DataFrame
     rounds: int
+    total: int
     bindings: DataFrame
 
 
+class _Budget:
+    """States that functions have had so far, kept up level by level once all states together pass the limit."""
+
+    def __init__(self, limit: int):
+        self.limit, self.spent, self.late = limit, None, []
+
+    def over(self, frontier: DataFrame, states: DataFrame, level: int) -> DataFrame | None:
+        """function_id of functions that pass the limit in this level; their states beyond it are noted as late (level, seq)."""
+        count = lambda df: df.groupBy("function_id").agg(F.count("*").alias("n"))
+        if self.spent is None:
+            self.spent = checkpointed(count(states.where(F.col("level") < level)))
+        own = checkpointed(count(frontier))
+        past = self.spent.withColumnRenamed("n", "past")
+        tight = checkpointed(own.join(past, "function_id", "left").select("function_id", F.coalesce("past", F.lit(0)).alias("past"), "n").where(F.col("past") + F.col("n") > self.limit).drop("n"))
+        self.spent = checkpointed(self.spent.unionByName(own).groupBy("function_id").agg(F.sum("n").alias("n")))
+        if tight.isEmpty():
+            return None
+        # In order of arrival; a function may have any number of states.
+        placed = running(frontier.join(tight, "function_id").select("function_id", "past", "level", "seq"), ["function_id"], ["seq"], {"r": (F.sum, F.lit(1))})
+        self.late.append(checkpointed(placed.where(F.col("r") + F.col("past") > self.limit).select("level", "seq")))
+        return tight.select("function_id")
+
+
+def _hubs(ways: DataFrame) -> DataFrame | None:
+    """src, parts of nodes with more moves than a bucket is to have of one node; None if there are none."""
+    many = checkpointed(ways.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > HUB_MOVES).select("src", F.ceil(F.col("n") / HUB_MOVES).cast("int").alias("parts")))
+    return None if many.isEmpty() else many
+
+
 def propagate(graph: Graph, occurrences: Occurrences, options: SolveOptions = SolveOptions()) -> Solution:
     spark = graph.nodes.sparkSession
     bindings = checkpointed(bind_params(graph))
     clears = checkpointed(clearing(occurrences.sanitizers))
-    ways = checkpointed(moves(graph, bindings, options))
-    frontier = seeds(graph, occurrences.sources, clears, bindings, options)
-    levels, total, truncated, capped, rounds = [], 0, [], [], 0
+    store = Store(spark)
+    ways = moves(graph, bindings, options).join(clears.withColumnRenamed("clear_node", "dst"), "dst", "left")
+    if not options.ordered:
+        ways = ways.drop("rank")
+    ways = checkpointed(ways)
+    hubs = _hubs(ways)
+    if hubs is None:
+        way_key = ("src",)
+    else:
+        way_key = ("src", "part")
+        ways = ways.join(hubs, "src", "left").withColumn("part", F.pmod(F.xxhash64("dst", "next_arg"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    store.append("ways", ways.repartition(store.buckets, *way_key), way_key)
+    ways = store.table("ways")
+    first, total, truncated, capped, rounds, budget = seeds(graph, occurrences.sources, clears, bindings, options), 0, [], [], 0, _Budget(options.max_iterations)
+    order = ["rank"] if options.ordered else []
     while True:
-        n_states = frontier.count()
+        n_states = store.append("states", _numbered(first, rounds, order, store.buckets), KEY, "level")
         if not n_states:
             break
         total += n_states
-        frontier = frontier.withColumn("expanded", F.lit(True))
+        states = store.table("states")
+        frontier = go = states.where(F.col("level") == rounds)
         # A function's states beyond the limit, in order of arrival, are seen but not expanded. While all states together are within it, so is each function.
-        if total > options.max_iterations:
-            own = frontier.groupBy("function_id").agg(F.count("*").alias("n"))
-            past = reduce(DataFrame.unionByName, [x.select("function_id") for x in levels]) if levels else frontier.limit(0).select("function_id")
-            before = own.join(past.groupBy("function_id").agg(F.count("*").alias("past")), "function_id", "left").select("function_id", "n", F.coalesce("past", F.lit(0)).alias("past"))
-            tight = checkpointed(before.where(F.col("past") + F.col("n") > options.max_iterations))
-            if tight.limit(1).count():
-                truncated.append(tight.select("function_id"))
-                ranked = frontier.join(tight, "function_id").withColumn("r", F.row_number().over(Window.partitionBy("function_id").orderBy("seq")))
-                late = ranked.where(F.col("r") + F.col("past") > options.max_iterations).select("seq").withColumn("late", F.lit(True))
-                frontier = checkpointed(frontier.join(late, "seq", "left").withColumn("expanded", F.col("late").isNull()).drop("late"))
-        levels.append(frontier)
+        if total > options.max_iterations and (tight := budget.over(frontier, states, rounds)) is not None:
+            truncated.append(tight)
+            go = frontier.join(budget.late[-1].select("seq"), "seq", "left_anti")
         rounds += 1
-        go = frontier.where("expanded").select("node", "source_id", "kinds", "arg", "entered", "symbolic", F.col("seq").alias("parent"))
-        steps = go.join(ways, go["node"] == ways["src"]).where("needs_arg is null or needs_arg = arg").drop("node", "arg", "src")
+        go = go.select(F.col("node").alias("src"), "source_id", "kinds", "arg", "entered", "symbolic", F.col("seq").alias("parent"))
+        if hubs is not None:
+            go = go.join(hubs, "src", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        steps = go.join(ways, list(way_key)).where("needs_arg is null or needs_arg = arg").drop("arg", *way_key)
         if options.max_call_depth > 0:
             deep = F.col("enters").isNotNull() & (F.size(F.filter("entered", lambda x: x == F.col("enters"))) >= options.max_call_depth)
             # Only paths that re-entered something can be capped.
             if rounds > options.max_call_depth:
                 capped.append(checkpointed(steps.where((F.size("entered") >= options.max_call_depth) & deep).select(F.col("enters").alias("function_id")).distinct()))
             steps = steps.where(~deep)
-        arrived = steps.select(F.col("dst").alias("node"), "source_id", "kinds", F.col("next_arg").alias("arg"), F.col("dst_function").alias("function_id"), F.col("dst_kind").alias("node_kind"), "symbolic", F.when(F.col("enters").isNull(), F.col("entered")).otherwise(F.concat("entered", F.array("enters"))).alias("entered"), "parent", "rank")
-        left = _sanitised(arrived, clears)
-        first = left.groupBy(*KEY).agg(F.min(F.struct("parent", "rank", "function_id", "node_kind", "symbolic", "entered", "uses")).alias("x")).select(*KEY, "x.*")
-        seen = reduce(DataFrame.unionByName, [x.select(*KEY) for x in levels])
-        frontier = _numbered(first.join(seen, list(KEY), "left_anti"), rounds, ["parent", "rank"] if options.ordered else []).drop("rank")
-    states = reduce(DataFrame.unionByName, levels) if levels else frontier.withColumn("expanded", F.lit(True))
+        entered = F.when(F.col("enters").isNull(), F.col("entered")).otherwise(F.concat("entered", F.array("enters")))
+        arrived = steps.select(F.col("dst").alias("node"), "source_id", "kinds", F.col("next_arg").alias("arg"), F.col("dst_function").alias("function_id"), F.col("dst_kind").alias("node_kind"), "symbolic", entered.alias("entered"), "parent", "clears", *(["rank"] if options.ordered else []))
+        order = ["parent", "rank"] if options.ordered else []
+        first = _first(_sanitised(arrived), order, options).join(states.select(*KEY), list(KEY), "left_anti")
+    store.drop("ways")
+    states = store.released("states").drop("kinds_key")
+    if budget.late:
+        late = reduce(DataFrame.unionByName, budget.late).withColumn("late", F.lit(True))
+        states = checkpointed(states.join(late, ["level", "seq"], "left").withColumn("expanded", F.col("late").isNull()).drop("late"))
+    else:
+        states = states.withColumn("expanded", F.lit(True))
     every = lambda parts: reduce(DataFrame.unionByName, parts).distinct() if parts else spark.createDataFrame([], "function_id string")
-    return Solution(states, every(truncated), every(capped), rounds, bindings)
+    return Solution(states, every(truncated), every(capped), rounds, total, bindings)
 
 
 def paths(states: DataFrame, ends: DataFrame) -> DataFrame:
-    """ends (level, seq, ...) with path: array of node and uses from the seed to the end, by following parents; one join for each level."""
-    steps = states.select(F.col("level").alias("at"), F.col("seq").alias("at_seq"), F.col("parent").alias("up"), F.struct("node", "uses").alias("step"))
+    """ends (id, level, seq, ...) with path: array of node and uses from the seed to the end.
+
+    By pointer doubling: a table has each state's ancestor 2^k levels up, made from the one before by one join, while the places known of each path, its last 2^k, get as many before them by another: as many pairs of joins as the greatest
+    depth has binary digits. Jump tables are three numbers a state; steps are looked up once, at the end.
+    """
+    key = ["level", "seq"]
+    ends = checkpointed(ends)
     deepest = ends.agg(F.max("level")).first()[0]
-    out = ends.withColumn("path", F.array().cast(f"array<struct<node:string,uses:{_USE}>>")).withColumn("_l", F.col("level")).withColumn("_s", F.col("seq"))
-    for level in range(deepest if deepest is not None else -1, -1, -1):
-        # Paths that have come to this level, or begin on it, take its states' steps; the others wait.
-        here = steps.where(F.col("at") == level)
-        more = out.join(here, (out["_l"] == here["at"]) & (out["_s"] == here["at_seq"]), "left")
-        met = F.col("at").isNotNull()
-        out = more.withColumn("path", F.when(met, F.concat(F.array("step"), "path")).otherwise(F.col("path"))).withColumn("_s", F.when(met, F.col("up")).otherwise(F.col("_s"))).withColumn("_l", F.when(met, F.lit(level - 1)).otherwise(F.col("_l"))).drop("at", "at_seq", "up", "step")
-        if level % 4 == 0:
-            out = checkpointed(out)
-    return out.drop("_l", "_s")
+    none = F.array().cast(f"array<struct<node:string,uses:{_USE}>>")
+    if deepest is None:
+        return ends.withColumn("path", none)
+    # A place of a path: whose path it is, how far up it is, and its state. The level follows from the end's.
+    places = ends.select(F.col("level").alias("end_level"), F.col("seq").alias("end_seq"), F.lit(0).alias("up"), "level", "seq").distinct()
+    # Above the deepest end, nothing is on a path.
+    jumps = states.where((F.col("level") <= deepest) & (F.col("level") > 0)).select("level", "seq", F.col("parent").alias("to"))
+    span = 1
+    while span <= deepest:
+        jumps = checkpointed(jumps)
+        higher = places.where(F.col("level") >= span).join(jumps, key).select("end_level", "end_seq", (F.col("up") + span).alias("up"), (F.col("level") - span).alias("level"), F.col("to").alias("seq"))
+        places = checkpointed(places.unionByName(higher))
+        onward = jumps.select((F.col("level") + span).alias("level"), F.col("seq").alias("to"), F.col("to").alias("next"))
+        jumps = jumps.where(F.col("level") >= 2 * span).join(onward, ["level", "to"]).select("level", "seq", F.col("next").alias("to"))
+        span *= 2
+    steps = places.join(states.select("level", "seq", F.struct("node", "uses").alias("step")), key)
+    made = steps.groupBy("end_level", "end_seq").agg(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "step"))).alias("s"))
+    made = made.select(F.col("end_level").alias("level"), F.col("end_seq").alias("seq"), F.transform("s", lambda x: x["step"]).alias("path"))
+    return ends.join(made, key)
