@@ -11,14 +11,14 @@ import time
 from collections.abc import Callable
 
 from tidemark import __version__
-from tidemark.frontend.builder import build_file
+from tidemark.frontend.builder import build_bytes, build_file
 from tidemark.functions.text import path_matches
 from tidemark.plans.local import LocalSolver
 from tidemark.plans.model import SolveOptions
 from tidemark.reporters import count_by_severity, rank, summary_line
 from tidemark.rules.annotate import annotate_rows
 from tidemark.sources.config import Config, resolve_config
-from tidemark.sources.discovery import discover_files
+from tidemark.sources.discovery import discover_files, readable
 
 ENGINE_VERSION = __version__
 TOOL_NAME, TOOL_VERSION = "tidemark", __version__
@@ -36,9 +36,10 @@ def prepare(root: str, config_path: str | None = None, include: list[str] | None
     """Configuration, files, the folder that paths are relative to, diagnostics."""
     config = resolve_config(root, config_path, overrides, builtin_only)
     files, said = discover_files(root, include, [*config.ignore_paths, *(exclude or [])])
+    files, unread = readable(files)
     base = os.path.abspath(root)
     base = base if os.path.isdir(base) else os.path.dirname(base)
-    return config, files, base, said + [{"level": "warning", "message": w, "file": None, "range": None} for w in config.warnings]
+    return config, files, base, said + unread + [{"level": "warning", "message": w, "file": None, "range": None} for w in config.warnings]
 
 
 def _merged(parts: list[dict[str, list[dict]]]) -> dict[str, list[dict]]:
@@ -82,11 +83,8 @@ def scan(root: str, spark=None, distributed: bool | None = None, config_path: st
     else:
         parts = []
         for f in files:
-            try:
-                with open(f, encoding="utf-8") as source:
-                    parts.append(build_file(source.read(), os.path.relpath(f, base).replace(os.sep, "/"), f))
-            except (OSError, UnicodeDecodeError, RecursionError) as e:
-                said.append({"level": "error", "message": f"can't read: {e}", "file": f, "range": None})
+            with open(f, "rb") as source:
+                parts.append(build_bytes(source.read(), os.path.relpath(f, base).replace(os.sep, "/"), f))
         empty = {k: [] for k in ("functions", "nodes", "edges", "call_sites", "callback_links", "diagnostics", "aliases")}
         tables = _merged([empty, *parts])
         tell("solve", f"{len(tables['nodes'])} nodes")
@@ -97,7 +95,7 @@ def scan(root: str, spark=None, distributed: bool | None = None, config_path: st
 
 
 def analyse_files(spark, files, config: Config, proofs: bool = True):
-    """files (relative_path, text) as a table -> the kernel's Result and the diagnostics table. This is the path for corpora of any size; nothing is collected."""
+    """files (relative_path, and text or content) as a table -> the kernel's Result and the diagnostics table. This is the path for corpora of any size; nothing is collected."""
     from pyspark.sql import functions as F
 
     from tidemark.plans.findings import analyse
@@ -123,18 +121,15 @@ def _scan_tables(spark, files: list[str], base: str, config: Config, tell) -> tu
     rows = spark.read.format("binaryFile").load(uri) if uri else spark.createDataFrame([], "path string, content binary")
     # Quoted as a whole, whatever is in the folder's name.
     rel = F.regexp_replace("path", F.lit("^.*?" + "".join(f"\\Q{c}\\E" for c in base + "/")), F.lit(""))
-    read = rows.select("path", rel.alias("relative_path"), F.col("content").cast("string").alias("text"))
-    broken = [r[0] for r in read.where(~F.is_valid_utf8("text")).select("relative_path").orderBy("relative_path").collect()]
     tell("solve", "tables")
-    result, diagnostics = analyse_files(spark, read.where(F.is_valid_utf8("text")).select("relative_path", "text"), config)
+    result, diagnostics = analyse_files(spark, rows.select(rel.alias("relative_path"), "content"), config)
     findings = [r.asDict(True) for r in ordered(result.findings).collect()]
     for f in findings:  # the tables know relative paths only
         f["file"] = os.path.join(base, f["relative_path"])
         for s in f["proof"]:
             s["file"] = os.path.join(base, s["file"])
     stats = {"functions_analysed": result.stats["functions"], **{k: result.stats[k] for k in ("nodes", "edges", "iterations", "truncated")}}
-    said = [{"level": "error", "message": "can't read: not UTF-8", "file": os.path.join(base, f), "range": None} for f in broken]
-    said += [r.asDict(True) for r in diagnostics.orderBy("file", "message").collect()] + [{"level": level, "message": m, "file": None, "range": None} for level, m, _ in result.diagnostics]
+    said = [r.asDict(True) | {"file": os.path.join(base, r["file"])} for r in diagnostics.orderBy("file", "message").collect()] + [{"level": level, "message": m, "file": None, "range": None} for level, m, _ in result.diagnostics]
     return findings, stats, said
 
 

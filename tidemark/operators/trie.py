@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.plans.model import checkpointed
+
 ANY = "*"
 #: Bytes of a catalogue's tables that may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -81,8 +83,8 @@ def walked(expressions: DataFrame, edges: DataFrame, depth: int, roots: list[str
 
 def rule_hits(expressions: DataFrame, rules: DataFrame) -> DataFrame:
     """All pairs of an expression and a rule that it fulfils: node_id and the rule's columns."""
-    anchors = anchored(rules)
-    edges = trie(anchors)
+    anchors = checkpointed(anchored(rules).coalesce(1))
+    edges = checkpointed(trie(anchors))
     depth, roots = anchors.agg(F.max(F.size("_parts")), F.array_sort(F.collect_set("_root"))).first()
     if depth is None:
         spark = expressions.sparkSession

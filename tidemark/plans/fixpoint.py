@@ -15,7 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.tags import WILDCARD, normalized
@@ -106,8 +106,7 @@ def _first(rows: DataFrame, order: list[str], options: SolveOptions) -> DataFram
     """The first arrival of each key. If order doesn't matter and nothing but kinds is carried, numbers are enough, which Spark combines in hash tables."""
     keyed = rows.withColumn("kinds_key", F.array_join("kinds", _JOINED))
     if not options.ordered and not options.max_call_depth:
-        first = keyed.groupBy(*KEY).agg(F.min("parent").alias("parent"), F.min("symbolic").alias("symbolic"))
-        return first.withColumns({"entered": F.array().cast("array<string>"), "uses": F.array().cast(_USE)})
+        return keyed.groupBy(*KEY).agg(F.min("parent").alias("parent"), F.min("symbolic").alias("symbolic"))
     held = list(dict.fromkeys([*order, "parent", "symbolic", "entered", "uses"]))
     return keyed.groupBy(*KEY).agg(F.min(F.struct(*held)).alias("x")).select(*KEY, *[F.col(f"x.{c}").alias(c) for c in held])
 
@@ -116,7 +115,7 @@ def _numbered(rows: DataFrame, level: int, order: list[str], buckets: int) -> Da
     """rows in order, if there is one, with level and an increasing seq, dealt out by key."""
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
     ranged = ranged.withColumn("seq", F.monotonically_increasing_id()).withColumn("level", F.lit(level))
-    ranged = ranged.select(*KEY, F.split("kinds_key", _JOINED).alias("kinds"), "symbolic", "entered", "uses", "parent", "seq", "level")
+    ranged = ranged.select(*KEY, "symbolic", *[c for c in ("entered", "uses") if c in ranged.columns], "parent", "seq", "level")
     return ranged.repartition(buckets, *KEY) if order else ranged
 
 
@@ -155,25 +154,28 @@ class _Budget:
 
     def over(self, frontier: DataFrame, states: DataFrame, level: int) -> DataFrame | None:
         """function_id of functions that pass the limit in this level; their states beyond it are noted as late (level, seq)."""
-        count = lambda df: df.groupBy("function_id").agg(F.count("*").alias("n"))
+        zero = F.lit(0).cast("long")
         if self.spent is None:
-            self.spent = checkpointed(count(states.where(F.col("level") < level)))
-        own = checkpointed(count(frontier))
-        past = self.spent.withColumnRenamed("n", "past")
-        tight = checkpointed(own.join(past, "function_id", "left").select("function_id", F.coalesce("past", F.lit(0)).alias("past"), "n").where(F.col("past") + F.col("n") > self.limit).drop("n"))
-        self.spent = checkpointed(self.spent.unionByName(own).groupBy("function_id").agg(F.sum("n").alias("n")))
-        if tight.isEmpty():
+            own = states.where(F.col("level") <= level).select("function_id", (F.col("level") < level).cast("long").alias("past"), (F.col("level") == level).cast("long").alias("now"))
+        else:
+            own = self.spent.select("function_id", (F.col("past") + F.col("now")).alias("past"), zero.alias("now")).unionByName(frontier.select("function_id", zero.alias("past"), F.lit(1).cast("long").alias("now")))
+        seen, tight = Observation(), (F.col("now") > 0) & (F.col("past") + F.col("now") > self.limit)
+        self.spent = checkpointed(own.groupBy("function_id").agg(F.sum("past").alias("past"), F.sum("now").alias("now")).observe(seen, F.count_if(tight).alias("n")))
+        if not seen.get["n"]:
             return None
+        over = self.spent.where(tight)
         # In order of arrival; a function may have any number of states.
-        placed = running(frontier.join(tight, "function_id").select("function_id", "past", "level", "seq"), ["function_id"], ["seq"], {"r": (F.sum, F.lit(1))})
+        placed = running(frontier.join(over, "function_id").select("function_id", "past", "level", "seq"), ["function_id"], ["seq"], {"r": (F.sum, F.lit(1))})
         self.late.append(checkpointed(placed.where(F.col("r") + F.col("past") > self.limit).select("level", "seq")))
-        return tight.select("function_id")
+        return over.select("function_id")
 
 
 def _hubs(ways: DataFrame) -> DataFrame | None:
-    """src, parts of nodes with more moves than a bucket is to have of one node; None if there are none."""
-    many = checkpointed(ways.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > HUB_MOVES).select("src", F.ceil(F.col("n") / HUB_MOVES).cast("int").alias("parts")))
-    return None if many.isEmpty() else many
+    """src, parts of nodes with more moves than a bucket is to have of one node; None if there are none. Nothing is shuffled, as moves lie by source node."""
+    seen = Observation()
+    many = ways.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > HUB_MOVES).select("src", F.ceil(F.col("n") / HUB_MOVES).cast("int").alias("parts"))
+    many = checkpointed(many.observe(seen, F.count("*").alias("n")))
+    return many if seen.get["n"] else None
 
 
 def propagate(graph: Graph, occurrences: Occurrences, options: SolveOptions = SolveOptions()) -> Solution:
@@ -184,23 +186,25 @@ def propagate(graph: Graph, occurrences: Occurrences, options: SolveOptions = So
     ways = moves(graph, bindings, options).join(clears.withColumnRenamed("clear_node", "dst"), "dst", "left")
     if not options.ordered:
         ways = ways.drop("rank")
-    ways = checkpointed(ways)
-    hubs = _hubs(ways)
-    if hubs is None:
-        way_key = ("src",)
-    else:
-        way_key = ("src", "part")
-        ways = ways.join(hubs, "src", "left").withColumn("part", F.pmod(F.xxhash64("dst", "next_arg"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    way_key = ("src",)
     store.append("ways", ways.repartition(store.buckets, *way_key), way_key)
-    ways = store.table("ways")
+    hubs = _hubs(store.table("ways"))
+    if hubs is not None:
+        way_key = ("src", "part")
+        spread = store.table("ways").join(hubs, "src", "left").withColumn("part", F.pmod(F.xxhash64("dst", "next_arg"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        store.append("spread", spread.repartition(store.buckets, *way_key), way_key)
+    ways = store.table("ways" if hubs is None else "spread")
     first, total, truncated, capped, rounds, budget = seeds(graph, occurrences.sources, clears, bindings, options), 0, [], [], 0, _Budget(options.max_iterations)
     order = ["rank"] if options.ordered else []
+    nothing = {"entered": F.array().cast("array<string>"), "uses": F.array().cast(_USE)}
     while True:
         n_states = store.append("states", _numbered(first, rounds, order, store.buckets), KEY, "level")
         if not n_states:
             break
         total += n_states
-        states = store.table("states")
+        states = store.table("states").withColumn("kinds", F.split("kinds_key", _JOINED))
+        if "entered" not in states.columns:
+            states = states.withColumns(nothing)
         frontier = go = states.where(F.col("level") == rounds)
         # A function's states beyond the limit, in order of arrival, are seen but not expanded. While all states together are within it, so is each function.
         if total > options.max_iterations and (tight := budget.over(frontier, states, rounds)) is not None:
@@ -221,8 +225,11 @@ def propagate(graph: Graph, occurrences: Occurrences, options: SolveOptions = So
         arrived = steps.select(F.col("dst").alias("node"), "source_id", "kinds", F.col("next_arg").alias("arg"), F.col("dst_function").alias("function_id"), F.col("dst_kind").alias("node_kind"), "symbolic", entered.alias("entered"), "parent", "clears", *(["rank"] if options.ordered else []))
         order = ["parent", "rank"] if options.ordered else []
         first = _first(_sanitised(arrived), order, options).join(states.select(*KEY), list(KEY), "left_anti")
-    store.drop("ways")
-    states = store.released("states").drop("kinds_key")
+    for name in ("ways", "spread"):
+        store.drop(name)
+    states = store.released("states").withColumn("kinds", F.split("kinds_key", _JOINED)).drop("kinds_key")
+    if "uses" not in states.columns:
+        states = states.withColumns(nothing)
     if budget.late:
         late = reduce(DataFrame.unionByName, budget.late).withColumn("late", F.lit(True))
         states = checkpointed(states.join(late, ["level", "seq"], "left").withColumn("expanded", F.col("late").isNull()).drop("late"))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
-from tidemark.frontend.builder import build_file
-from tidemark.functions.text import fingerprint, line_count, path_matches
-from tidemark.plans.model import RANGE, SCHEMAS, Graph, checkpointed
+from tidemark.frontend.builder import build_bytes, build_file, problem
+from tidemark.functions.text import path_matches
+from tidemark.plans.model import SCHEMAS, Graph, scratch_folder
 
 #: What is scanned and what never is.
 EXTENSIONS = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs")
@@ -43,32 +44,46 @@ def discover_files(root: str, include: list[str] | None = None, exclude: list[st
     return sorted(found), []
 
 
-def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """relative_path, path, text, hash, line_count of all source files below a folder that Spark can read, filtered before any text is read."""
-    globs = "*.{ts,tsx,mts,cts,js,jsx,mjs,cjs}"
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", globs).format("binaryFile").load(root)
-    base = F.lit(root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/")
-    rel = F.substring_index(F.col("path"), base, -1)
-    kept = files.where(~F.col("path").rlike(r"\.d\.[mc]?ts$") & ~F.col("path").rlike(r"/(node_modules|dist|build|coverage|out|\.git|vendor)/"))
-    text = kept.select(rel.alias("relative_path"), "path", F.decode("content", "utf-8").alias("text"))
-    return text.select("relative_path", "path", "text", fingerprint(F.col("text")).alias("hash"), line_count(F.col("text")).alias("line_count"))
+def readable(files: list[str]) -> tuple[list[str], list[dict]]:
+    """Files that can be opened, and an error for each other one, for whatever reads them afterwards."""
+    good, said = [], []
+    for f in files:
+        try:
+            with open(f, "rb"):
+                good.append(f)
+        except OSError as e:
+            said.append(problem(f"can't read: {e.strerror or e}", f))
+    return good, said
+
+
+#: The tables that a file leaves, as one struct column each.
+TABLES = {n: SCHEMAS[n] for n in ("functions", "nodes", "edges", "call_sites", "callback_links", "diagnostics")} | {"aliases": ALIASES}
 
 
 def graph_tables(files: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
-    """files (relative_path, text) -> the graph, aliases, diagnostics. Files are parsed one by one in parallel; a file that can't be read leaves an error."""
-    fields = pa.schema([("kind", pa.string()), ("row", pa.string())])
+    """files (relative_path, and content or text) -> the graph, aliases, diagnostics. Files are parsed one by one in parallel, however few partitions they come in; a file that can't be parsed leaves an error.
+
+    Rows leave the parser with their types, in a struct column for each table, and are written once, a folder for each table, so that later reads take the columns they need and know the sizes.
+    """
+    spark = files.sparkSession
+    held = StructType([StructField("kind", StringType()), *[StructField(n, StructType.fromDDL(s)) for n, s in TABLES.items()]])
+    arrow = to_arrow_schema(held)
+    source = "content" if "content" in files.columns else "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, source in zip(batch.column("relative_path").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                try:
-                    tables = build_file(source or "", path)
-                except RecursionError:
-                    tables = {"diagnostics": [{"level": "error", "message": "nested too deeply to parse", "file": path, "range": None}]}
-                rows = [(kind, json.dumps(r)) for kind, own in tables.items() for r in own]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], schema=fields)
-
-    made = checkpointed(files.select("relative_path", "text").mapInArrow(run, "kind string, row string"))
-    table = lambda name, schema: made.where(F.col("kind") == name).select(F.from_json("row", schema).alias("r")).select("r.*")
-    graph = Graph(*[table(n, SCHEMAS[n]) for n in ("functions", "nodes", "edges", "call_sites", "callback_links")])
-    return graph, table("aliases", ALIASES), table("diagnostics", f"level string, message string, file string, range {RANGE}")
+            made: dict[str, list[dict]] = {n: [] for n in TABLES}
+            for path, data in zip(batch.column("relative_path").to_pylist(), batch.column(source).to_pylist(), strict=True):
+                for n, rows in (build_bytes(data, path) if isinstance(data, bytes) else build_file(data or "", path)).items():
+                    made[n] += rows
+            for n, rows in made.items():
+                if rows:
+                    own = [pa.array(rows, f.type) if f.name == n else pa.nulls(len(rows), f.type) for f in list(arrow)[1:]]
+                    yield pa.RecordBatch.from_arrays([pa.array([n] * len(rows)), *own], schema=arrow)
+
+    # Parsing costs more than moving a file's text.
+    dealt = files.select("relative_path", source).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "relative_path")
+    folder = scratch_folder(spark, "graph")
+    dealt.mapInArrow(run, held).write.partitionBy("kind").parquet(folder)
+    table = lambda n: spark.read.schema(held).parquet(folder).where(F.col("kind") == n).select(f"{n}.*")
+    return Graph(*[table(n) for n in ("functions", "nodes", "edges", "call_sites", "callback_links")]), table("aliases"), table("diagnostics")
