@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.running import running
 from tidemark.operators.trie import ANY, rule_hits, segments_of
 
 
@@ -136,8 +137,7 @@ def as_of_declaration(uses: DataFrame, declarations: DataFrame) -> DataFrame:
     order = F.struct("start", "decl")
     made = declarations.select("scope", "name", F.col("end").alias("at"), F.lit(0).alias("use"), order.alias("o"))
     used = uses.select("scope", "name", F.col("pos").alias("at")).distinct().withColumn("use", F.lit(1)).withColumn("o", F.lit(None))
-    # A running maximum in order of position: a name's uses and declarations stream by once, and never meet as pairs.
-    so_far = Window.partitionBy("scope", "name").orderBy("at", "use").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = made.unionByName(used).withColumn("before", F.max("o").over(so_far)).where("use = 1")
+    # A running maximum in order of position, in two levels: a name's uses and declarations never meet as pairs, and a name of any number of them is many tasks' work.
+    reached = running(made.unionByName(used), ["scope", "name"], ["at", "use"], {"before": (F.max, F.col("o"))}).where("use = 1")
     first = declarations.groupBy("scope", "name").agg(F.min(order).alias("first"))
-    return running.join(first, ["scope", "name"]).select("scope", "name", F.col("at").alias("pos"), F.coalesce("before.decl", "first.decl").alias("decl"))
+    return reached.join(first, ["scope", "name"]).select("scope", "name", F.col("at").alias("pos"), F.coalesce("before.decl", "first.decl").alias("decl"))

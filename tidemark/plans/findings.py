@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.tags import intersected
 from tidemark.functions.text import finding_id
+from tidemark.operators.running import running
 from tidemark.plans.fixpoint import NO_ARG, Solution, paths, propagate
 from tidemark.plans.model import Graph, Occurrences, SolveOptions, checkpointed
 
@@ -57,17 +58,18 @@ def deduped(findings: DataFrame) -> DataFrame:
 
     Among ranges that begin on one line, in order, an earlier one begins first; so one that holds a later one is there if the furthest end so far isn't short of
     the later one's end. Containment is transitive, so any earlier range stands for any kept earlier one. Findings without a range have only themselves to repeat.
+
+    The first of a range is a minimum, combined before it is sent; the furthest end runs in two levels, so neither a sink that everything reaches nor a file of one line is one task's work.
     """
-    line = ["rule_id", "file", "_line"]
+    line, place = ["rule_id", "file", "_line"], ["source_id", "level", "seq"]
+    rest = [c for c in findings.columns if c not in (*line, *place, "range")]
+    first = findings.withColumn("_line", F.col("range.start.line")).groupBy(*line, "range").agg(F.min(F.struct(*place, *rest)).alias("x")).select(*line, "range", "x.*").withColumn("_column", F.col("range.start.column"))
     end = F.struct(F.col("range.end.line").alias("line"), F.col("range.end.column").alias("column"))
     none = F.struct(F.lit(-1).alias("line"), F.lit(-1).alias("column"))
-    before = Window.partitionBy(*line).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    # Those at one place in the order count as none before another. Their windows are finer than the first one, so nothing is shuffled again.
-    peers = Window.partitionBy(*line, "range.start.column", "source_id", "level", "seq")
-    same = Window.partitionBy(*line, "range").orderBy(*ORDER)
-    marked = findings.withColumn("_line", F.col("range.start.line")).withColumn("_far", F.coalesce(F.max(F.when(F.col("range").isNotNull(), end)).over(before), none))
-    marked = marked.withColumn("_far", F.min("_far").over(peers)).withColumn("_r", F.row_number().over(same))
-    return marked.where((F.col("_r") == 1) & (F.col("range").isNull() | (F.col("_far") < end))).drop("_line", "_far", "_r")
+    marked = running(first, line, ["_column", *place], {"_far": (F.max, F.when(F.col("range").isNotNull(), end))}, inclusive=False).withColumn("_far", F.coalesce("_far", none))
+    # Those at one place in the order count as none before another.
+    marked = marked.withColumn("_far", F.min("_far").over(Window.partitionBy(*line, "_column", *place)))
+    return marked.where(F.col("range").isNull() | (F.col("_far") < end)).select(*findings.columns)
 
 
 def with_proofs(graph: Graph, states: DataFrame, findings: DataFrame, notes: dict[str, str] | None = None) -> DataFrame:

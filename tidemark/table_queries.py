@@ -11,7 +11,7 @@ from tidemark.functions import tags, text
 from tidemark.operators import matching, reports, scoring
 from tidemark.plans import findings as kernel
 from tidemark.plans.fixpoint import bind_params, propagate
-from tidemark.plans.model import Graph, Occurrences, SolveOptions, checkpointed, empty
+from tidemark.plans.model import Graph, Occurrences, SolveOptions, empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,16 +141,26 @@ def argument_constants(spark, d):
     return read(spark, d, "events").select("event_id", matching.is_literal(arg).alias("literal"), matching.is_constant(arg).alias("constant"))
 
 
-_REQUIRES = [(0, "const fs = require('fs')"), (1, "var { exec, spawn: run } = require(\"child_process\")"), (2, "let fs = require('fs/promises')"), (3, "x = other('fs')")]
+#: What a part's line of source text is, by its number modulo 4; a brand is a scope.
+_REQUIRES = ("const v{size} = require('mod{part}/sub')", "var {{ a{size}, b{size}: c{size} }} = require(\"@org/pkg{part}\")", "let v{size} = require('node:fs{part}')", "v{size} = other('fs')")
 
 
-@query("""WITH t(seq, text) AS (VALUES (0, 'const fs = require(''fs'')'), (1, 'var { exec, spawn: run } = require("child_process")'), (2, 'let fs = require(''fs/promises'')'), (3, 'x = other(''fs'')')),
-one AS (SELECT seq, regexp_extract(text, '([A-Za-z_$][A-Za-z0-9_$]*)\\s*=\\s*require', 1) AS name, regexp_extract(text, 'require\\([''"]([^''"/]+)', 1) AS chain FROM t WHERE regexp_matches(text, '[A-Za-z0-9_$]\\s*=\\s*require')),
-many AS (SELECT seq, regexp_extract(text, 'require\\([''"]([^''"/]+)', 1) AS m, unnest(string_split(regexp_extract(text, '\\{([^}]*)\\}', 1), ',')) AS p FROM t WHERE regexp_matches(text, '\\}\\s*=\\s*require'))
-SELECT name, arg_max(chain, seq) AS chain FROM (SELECT * FROM one UNION ALL SELECT seq, trim(split_part(p, ':', -1)), m || '.' || trim(split_part(p, ':', 1)) FROM many) GROUP BY name""".replace("\\\\", "\\"))
+def _require_sql() -> str:
+    quoted = lambda t: "'" + t.replace("'", "''").replace("{{", "{").replace("}}", "}").replace("{size}", "' || p_size || '").replace("{part}", "' || p_partkey || '") + "'"
+    return "CASE p_partkey % 4 " + " ".join(f"WHEN {k} THEN {quoted(t)}" for k, t in enumerate(_REQUIRES)) + " END"
+
+
+@query(f"""WITH t AS (SELECT p_brand AS scope, p_partkey AS seq, {_require_sql()} AS text FROM part),
+one AS (SELECT scope, seq, regexp_extract(text, '([A-Za-z_$][A-Za-z0-9_$]*) = require', 1) AS name, regexp_replace(regexp_extract(text, 'require[(].(node:)?([^''"/]+)', 0), '^require[(].(node:)?', '') AS chain FROM t WHERE regexp_matches(text, '[A-Za-z0-9_$] = require')),
+many AS (SELECT scope, seq, regexp_extract(text, 'require[(].(@[^/]+/[^''"/]+)', 1) AS m, unnest(string_split(regexp_extract(text, '[{{]([^}}]*)[}}]', 1), ',')) AS p FROM t WHERE regexp_matches(text, '[}}] = require')),
+every AS (SELECT * FROM one UNION ALL SELECT scope, seq, trim(split_part(p, ':', -1)), m || '.' || trim(split_part(p, ':', 1)) FROM many)
+SELECT scope, name, arg_max(chain, seq) AS chain FROM every GROUP BY scope, name""")
 def alias_harvest(spark, d):
-    rows = spark.createDataFrame([("", s, t) for s, t in _REQUIRES], "scope string, seq int, text string")
-    return matching.harvested_aliases(rows).select("name", "chain")
+    """Lines of source text, one for each part: in a brand's scope the last alias of a name wins."""
+    size, part = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    line = F.element_at(F.array(*[F.lit(t.replace("{{", "{").replace("}}", "}")) for t in _REQUIRES]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    lines = read(spark, d, "part").select(F.col("p_brand").alias("scope"), F.col("p_partkey").alias("seq"), F.replace(F.replace(line, F.lit("{size}"), size), F.lit("{part}"), part).alias("text"))
+    return matching.harvested_aliases(lines)
 
 
 @query("""SELECT e.user_id, e.event_id, coalesce(max_by(v.event_id, v.event_id) FILTER (v.event_id <= e.event_id), min(v.event_id)) AS decl
@@ -201,16 +211,11 @@ def flow_graph(spark: SparkSession, d: str) -> tuple[Graph, Occurrences]:
 
 
 OPTIONS = SolveOptions(max_iterations=1 << 40, max_call_depth=0, ordered=False)
-_solved: dict[tuple[int, str], DataFrame] = {}
 
 
 def flow_states(spark: SparkSession, d: str) -> DataFrame:
-    """The flow graph's states, solved once a session and folder; they are in the checkpoint folder."""
-    key = (id(spark.sparkContext), d)
-    if key not in _solved:
-        _solved.clear()
-        _solved[key] = checkpointed(propagate(*flow_graph(spark, d), OPTIONS).states)
-    return _solved[key]
+    """The flow graph's states; each query solves it."""
+    return propagate(*flow_graph(spark, d), OPTIONS).states
 
 
 _FLOW = """WITH RECURSIVE edges AS (
@@ -349,20 +354,33 @@ def budget_truncation(spark, d):
     return states.select(F.col("node").cast("bigint").alias("event_id"), F.col("function_id").cast("bigint").alias("user_id"), "expanded")
 
 
-@query("SELECT unnest(range(0, 4)) AS entries")
+_TAGS = "n_nationkey % 7 + 1"
+
+
+@query(f"SELECT n_nationkey, CAST(unnest(range(0, least({_TAGS} - 1, 3) + 1)) AS INT) AS entries FROM nation")
 def recursion_cap(spark, d):
-    """A function that calls itself with a growing tag loss is entered three times at most."""
-    f = spark.createDataFrame([("r.ts::f", "f", None, "r.ts", None, [("p", 0, False, False, None)], None, [], True, False)], empty(spark, "functions").schema)
-    kinds = [f"k{i}" for i in range(9)]
-    nodes = spark.createDataFrame([("r.ts::f#0", 0, "param", "r.ts::f", None, "p", None, None), ("r.ts::f#1", 1, "call", "r.ts::f", None, "f", ["r.ts::f"], None)], empty(spark, "nodes").schema)
-    loops = [(f"r.ts::f#w{i}", 2 + i, "local", "r.ts::f", None, "w", None, None) for i in range(9)]
-    nodes = nodes.unionByName(spark.createDataFrame(loops, nodes.schema))
+    """A function for each nation that calls itself with one tag less on each way round: it is entered until no tag is left, and three times at most."""
+    nations, none = read(spark, d, "nation").withColumn("tags", F.expr(_TAGS)), F.lit(None)
+    fid, here = F.concat(F.lit("r.ts::f"), "n_nationkey"), _range(F.lit(1))
+    param = F.struct(F.lit("p").alias("name"), F.lit(0).alias("index"), F.lit(False).alias("optional"), F.lit(False).alias("rest"), none.cast("array<string>").alias("destructured"))
+    functions = nations.select(
+        fid.alias("id"), F.concat(F.lit("f"), "n_nationkey").alias("name"), none.cast("string").alias("class_name"), F.lit("r.ts").alias("file"), here.alias("range"), F.array(param).alias("params"),
+        here.alias("body_range"), F.array().cast("array<string>").alias("callees"), F.lit(True).alias("analysable"), F.lit(False).alias("is_module_scope"),
+    )
+    node = lambda rows, suffix, kind, label, callees: rows.select(F.concat(fid, suffix).alias("id"), F.lit(0).alias("seq"), F.lit(kind).alias("kind"), fid.alias("function_id"), here.alias("range"), F.lit(label).alias("label"), callees.cast("array<string>").alias("resolved_callees"), none.cast("string").alias("text"))
     # Each way round clears one more tag, so every entry is a new state.
-    edges = spark.createDataFrame([("r.ts::f#0", f"r.ts::f#w{i}", "assign", None) for i in range(9)] + [(f"r.ts::f#w{i}", "r.ts::f#1", "argument", 0) for i in range(9)], empty(spark, "edges").schema)
-    sources = spark.createDataFrame([("r.ts::f#0", "s", kinds, "r.ts::f", (((1, 1)), ((1, 2))), "p")], empty(spark, "sources").schema)
-    sanitizers = spark.createDataFrame([(f"r.ts::f#w{i}", f"z{i}", [f"k{i}"], True, None, "r.ts::f", None) for i in range(9)], empty(spark, "sanitizers").schema)
-    solved = propagate(Graph(f, nodes, edges, empty(spark, "call_sites"), empty(spark, "callback_links")), Occurrences(sources, sanitizers, empty(spark, "sinks")), SolveOptions(max_call_depth=3))
-    return solved.states.where("node = 'r.ts::f#0'").select(F.size("entered").cast("bigint").alias("entries")).distinct()
+    rounds = nations.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("tags") - 1)))
+    way = F.concat(F.lit("#w"), "i")
+    nodes = node(nations, F.lit("#p"), "param", "p", none).unionByName(node(nations, F.lit("#c"), "call", "f", F.array(fid))).unionByName(node(rounds, way, "local", "w", none))
+    edge = lambda a, b, kind, index: rounds.select(F.concat(fid, a).alias("src"), F.concat(fid, b).alias("dst"), F.lit(kind).alias("kind"), index.cast("int").alias("arg_index"))
+    edges = edge(F.lit("#p"), way, "assign", none).unionByName(edge(way, F.lit("#c"), "argument", F.lit(0)))
+    tag = lambda i: F.concat(F.lit("k"), i.cast("string"))
+    sources = nations.select(F.concat(fid, F.lit("#p")).alias("node_id"), F.lit("s").alias("source_id"), F.transform(F.sequence(F.lit(0), F.col("tags") - 1), tag).alias("kinds"), fid.alias("function_id"), here.alias("range"), F.lit("p").alias("label"))
+    sanitizers = rounds.select(F.concat(fid, way).alias("node_id"), F.concat(F.lit("z"), "i").alias("sanitizer_id"), F.array(tag(F.col("i"))).alias("kinds"), F.lit(True).alias("valid"), none.cast("string").alias("invalid_reason"), fid.alias("function_id"), here.alias("range"))
+    graph = Graph(functions, nodes, edges, empty(spark, "call_sites"), empty(spark, "callback_links"))
+    solved = propagate(graph, Occurrences(sources, sanitizers, empty(spark, "sinks")), SolveOptions(max_call_depth=3))
+    entered = solved.states.where("node_kind = 'param'").select(F.regexp_extract("node", "f([0-9]+)#", 1).cast("int").alias("n_nationkey"), F.size("entered").alias("entries"))
+    return entered.distinct()
 
 
 # ---- reports -----------------------------------------------------------------------------------------------------
