@@ -156,13 +156,6 @@ def _batch(lang: str, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int32))), *arrays], names=["lang", *columns])
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df from a checkpoint, and the files of the shuffles that made it gone: each count's shuffle is as large as its distinct words or phrases."""
-    out = checkpointed(df)
-    forget_shuffles(df.sparkSession)
-    return out
-
-
 def count_words(docs: DataFrame, seed: int, least: int) -> DataFrame:
     """docs (lang, text) -> lang, h, f, low, high: words by hash, found least times or more; h 0 stands for all words of the lang."""
 
@@ -185,7 +178,7 @@ def count_words(docs: DataFrame, seed: int, least: int) -> DataFrame:
         yield from flushed()
 
     found = docs.mapInArrow(run, "lang string, h long, word binary, c long")
-    return _kept(found.groupBy("lang", "h").agg(F.sum("c").alias("f"), F.min("word").alias("low"), F.max("word").alias("high")).where((F.col("h") == 0) | (F.col("f") >= least)))
+    return checkpointed(found.groupBy("lang", "h").agg(F.sum("c").alias("f"), F.min("word").alias("low"), F.max("word").alias("high")).where((F.col("h") == 0) | (F.col("f") >= least)))
 
 
 def count_pairs(docs: DataFrame, seed: int, least: int, frequent) -> DataFrame:
@@ -202,7 +195,7 @@ def count_pairs(docs: DataFrame, seed: int, least: int, frequent) -> DataFrame:
             yield _batch(lang, {"w1": a, "w2": b, "c": c})
 
     found = docs.mapInArrow(run, "lang string, w1 long, w2 long, c long")
-    return _kept(found.groupBy("lang", "w1", "w2").agg(F.sum("c").alias("f")).where(F.col("f") >= least))
+    return checkpointed(found.groupBy("lang", "w1", "w2").agg(F.sum("c").alias("f")).where(F.col("f") >= least))
 
 
 def pointers(h: np.ndarray, own: int, words: Bits, pairs: Bits, hot: np.ndarray) -> dict[str, np.ndarray]:
@@ -296,6 +289,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, hot_share: int = HOT_S
     seed = hash_seed
     while True:
         counted = count_words(docs, seed, least)
+        # Each count's shuffle is as large as its distinct words or phrases; nothing refers to it now that the count is in a checkpoint.
+        forget_shuffles(spark)
         words, totals = counted.where("h <> 0"), counted.where("h = 0").select("lang", F.col("f").alias("n"))
         if words.where("low <> high").isEmpty():
             break
@@ -303,6 +298,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, hot_share: int = HOT_S
     share = lambda x: spark.sparkContext.broadcast(x)
     word_bits = share(bit_map(words.select(F.col("h").alias("key"))))
     pairs = count_pairs(docs, seed, least, word_bits)
+    forget_shuffles(spark)
     every = totals.agg(F.sum("n")).first()[0] or 0
     key = _sql_pair_key("w1", "w2").alias("key")
     pair_bits = share(bit_map(pairs.select(key)))
@@ -310,7 +306,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, hot_share: int = HOT_S
     hot = share(np.sort(np.array([r["key"] for r in pairs.where(F.col("f") * hot_share > every).select(key).collect()], np.int64).view(np.uint64)))
     longer = grown(docs, seed, least, word_bits, pair_bits, hot)
     padded = lambda df, given: df.select("lang", *[F.col(given[k]).alias(w) if k < len(given) else F.lit(0).cast("long").alias(w) for k, w in enumerate(WORDS)], "f")
-    phrases = _kept(padded(words, ["h"]).unionByName(padded(pairs, ["w1", "w2"])).unionByName(longer))
+    phrases = checkpointed(padded(words, ["h"]).unionByName(padded(pairs, ["w1", "w2"])).unionByName(longer))
+    del longer
+    forget_shuffles(spark)
     return phrases, words.select("lang", "h", F.col("low").alias("word")), totals
 
 
