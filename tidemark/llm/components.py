@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import checkpointed
+from tidemark.llm._common import checkpointed, forget_shuffles
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -29,6 +29,9 @@ def components(links: DataFrame) -> DataFrame:
         rounds += 1
         if edges.isEmpty():
             break
+        # A round's tables are small but have as many files as partitions; those that nothing refers to any more go now.
+        del first, moves, moved
+        forget_shuffles(links.sparkSession)
     # A place is itself a node of its component, so the least member is the component's smallest node.
     least = labels.groupBy("comp").agg(F.min("node").alias("least"))
     return checkpointed(labels.join(least, "comp").select("node", F.col("least").alias("comp")))
