@@ -95,20 +95,19 @@ _FOLD = f"""aggregate(coalesce(clears, array()), named_struct('kinds', kinds, 'u
 
 
 def _sanitised(rows: DataFrame) -> DataFrame:
-    """rows (kinds, clears, ...) after their node's sanitisers; rows without a kind left go."""
-    none = F.array().cast(_USE)
+    """rows (kinds_key, clears, ...) after their node's sanitisers, with uses; rows without a kind left go. Kinds are taken apart only where something clears."""
     clean = F.col("clears").isNull()
-    folded = rows.withColumn("f", F.when(~clean, F.expr(_FOLD)))
-    return folded.withColumn("kinds", F.when(clean, F.col("kinds")).otherwise(F.col("f.kinds"))).withColumn("uses", F.when(clean, none).otherwise(F.col("f.uses"))).drop("f", "clears").where(F.size("kinds") > 0)
+    folded = rows.withColumn("kinds", F.split("kinds_key", _JOINED)).withColumn("f", F.when(~clean, F.expr(_FOLD)))
+    out = folded.withColumn("kinds_key", F.when(clean, F.col("kinds_key")).otherwise(F.array_join("f.kinds", _JOINED))).withColumn("uses", F.when(clean, F.array().cast(_USE)).otherwise(F.col("f.uses")))
+    return out.drop("f", "clears", "kinds").where("kinds_key <> ''")
 
 
 def _first(rows: DataFrame, order: list[str], options: SolveOptions) -> DataFrame:
     """The first arrival of each key. If order doesn't matter and nothing but kinds is carried, numbers are enough, which Spark combines in hash tables."""
-    keyed = rows.withColumn("kinds_key", F.array_join("kinds", _JOINED))
     if not options.ordered and not options.max_call_depth:
-        return keyed.groupBy(*KEY).agg(F.min("parent").alias("parent"), F.min("symbolic").alias("symbolic"))
+        return rows.groupBy(*KEY).agg(F.min("parent").alias("parent"), F.min("symbolic").alias("symbolic"))
     held = list(dict.fromkeys([*order, "parent", "symbolic", "entered", "uses"]))
-    return keyed.groupBy(*KEY).agg(F.min(F.struct(*held)).alias("x")).select(*KEY, *[F.col(f"x.{c}").alias(c) for c in held])
+    return rows.groupBy(*KEY).agg(F.min(F.struct(*held)).alias("x")).select(*KEY, *[F.col(f"x.{c}").alias(c) for c in held])
 
 
 def _numbered(rows: DataFrame, level: int, order: list[str], buckets: int) -> DataFrame:
@@ -130,7 +129,7 @@ def seeds(graph: Graph, sources: DataFrame, clears: DataFrame, bindings: DataFra
         marks = bindings.select(F.col("node_id").alias("node"), F.concat(F.lit("param:"), "function_id", F.lit("#"), F.col("index").cast("string")).alias("source_id"), F.array(F.lit(WILDCARD)).alias("kinds"), F.lit(True).alias("symbolic"), F.struct(F.lit(1).alias("phase"), F.lit(0).alias("a"), F.col("index").alias("b"), F.col("function_id").alias("c"), F.lit("").alias("d")).alias("rank"))
         every = every.unionByName(marks)
     met = every.join(info, "node").join(clears, F.col("node") == F.col("clear_node"), "left").drop("clear_node")
-    rows = _sanitised(met).withColumn("arg", F.lit(NO_ARG)).withColumn("entered", F.array().cast("array<string>")).withColumn("parent", F.lit(None).cast("bigint"))
+    rows = _sanitised(met.withColumn("kinds_key", F.array_join("kinds", _JOINED)).drop("kinds")).withColumn("arg", F.lit(NO_ARG)).withColumn("entered", F.array().cast("array<string>")).withColumn("parent", F.lit(None).cast("bigint"))
     return _first(rows, ["rank"], options)
 
 
@@ -178,12 +177,19 @@ def _hubs(ways: DataFrame) -> DataFrame | None:
     return many if seen.get["n"] else None
 
 
-def propagate(graph: Graph, occurrences: Occurrences, options: SolveOptions = SolveOptions()) -> Solution:
+def propagate(graph: Graph, occurrences: Occurrences, options: SolveOptions = SolveOptions(), within: DataFrame | None = None) -> Solution:
+    """within (node): only these nodes are solved, parameters being seeds only in the function of scope_function."""
     spark = graph.nodes.sparkSession
     bindings = checkpointed(bind_params(graph))
     clears = checkpointed(clearing(occurrences.sanitizers))
     store = Store(spark)
     ways = moves(graph, bindings, options).join(clears.withColumnRenamed("clear_node", "dst"), "dst", "left")
+    sources = occurrences.sources
+    seeded = bindings
+    if within is not None:
+        ways = ways.join(within.select(F.col("node").alias("dst")), "dst", "left_semi")
+        sources = sources.join(within.select(F.col("node").alias("node_id")), "node_id", "left_semi")
+        seeded = bindings.where(F.col("function_id") == options.scope_function).join(within.select(F.col("node").alias("node_id")), "node_id", "left_semi")
     if not options.ordered:
         ways = ways.drop("rank")
     way_key = ("src",)
@@ -194,24 +200,22 @@ def propagate(graph: Graph, occurrences: Occurrences, options: SolveOptions = So
         spread = store.table("ways").join(hubs, "src", "left").withColumn("part", F.pmod(F.xxhash64("dst", "next_arg"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
         store.append("spread", spread.repartition(store.buckets, *way_key), way_key)
     ways = store.table("ways" if hubs is None else "spread")
-    first, total, truncated, capped, rounds, budget = seeds(graph, occurrences.sources, clears, bindings, options), 0, [], [], 0, _Budget(options.max_iterations)
+    first, total, truncated, capped, rounds, budget = seeds(graph, sources, clears, seeded, options), 0, [], [], 0, _Budget(options.max_iterations)
     order = ["rank"] if options.ordered else []
-    nothing = {"entered": F.array().cast("array<string>"), "uses": F.array().cast(_USE)}
     while True:
         n_states = store.append("states", _numbered(first, rounds, order, store.buckets), KEY, "level")
         if not n_states:
             break
         total += n_states
-        states = store.table("states").withColumn("kinds", F.split("kinds_key", _JOINED))
-        if "entered" not in states.columns:
-            states = states.withColumns(nothing)
+        states = store.table("states")
+        carried = ["entered"] if "entered" in states.columns else []
         frontier = go = states.where(F.col("level") == rounds)
         # A function's states beyond the limit, in order of arrival, are seen but not expanded. While all states together are within it, so is each function.
         if total > options.max_iterations and (tight := budget.over(frontier, states, rounds)) is not None:
             truncated.append(tight)
             go = frontier.join(budget.late[-1].select("seq"), "seq", "left_anti")
         rounds += 1
-        go = go.select(F.col("node").alias("src"), "source_id", "kinds", "arg", "entered", "symbolic", F.col("seq").alias("parent"))
+        go = go.select(F.col("node").alias("src"), "source_id", "kinds_key", "arg", *carried, "symbolic", F.col("seq").alias("parent"))
         if hubs is not None:
             go = go.join(hubs, "src", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
         steps = go.join(ways, list(way_key)).where("needs_arg is null or needs_arg = arg").drop("arg", *way_key)
@@ -221,15 +225,15 @@ def propagate(graph: Graph, occurrences: Occurrences, options: SolveOptions = So
             if rounds > options.max_call_depth:
                 capped.append(checkpointed(steps.where((F.size("entered") >= options.max_call_depth) & deep).select(F.col("enters").alias("function_id")).distinct()))
             steps = steps.where(~deep)
-        entered = F.when(F.col("enters").isNull(), F.col("entered")).otherwise(F.concat("entered", F.array("enters")))
-        arrived = steps.select(F.col("dst").alias("node"), "source_id", "kinds", F.col("next_arg").alias("arg"), F.col("dst_function").alias("function_id"), F.col("dst_kind").alias("node_kind"), "symbolic", entered.alias("entered"), "parent", "clears", *(["rank"] if options.ordered else []))
+        entered = [F.when(F.col("enters").isNull(), F.col("entered")).otherwise(F.concat("entered", F.array("enters"))).alias("entered")] if carried else []
+        arrived = steps.select(F.col("dst").alias("node"), "source_id", "kinds_key", F.col("next_arg").alias("arg"), F.col("dst_function").alias("function_id"), F.col("dst_kind").alias("node_kind"), "symbolic", *entered, "parent", "clears", *(["rank"] if options.ordered else []))
         order = ["parent", "rank"] if options.ordered else []
         first = _first(_sanitised(arrived), order, options).join(states.select(*KEY), list(KEY), "left_anti")
     for name in ("ways", "spread"):
         store.drop(name)
     states = store.released("states").withColumn("kinds", F.split("kinds_key", _JOINED)).drop("kinds_key")
     if "uses" not in states.columns:
-        states = states.withColumns(nothing)
+        states = states.withColumns({"entered": F.array().cast("array<string>"), "uses": F.array().cast(_USE)})
     if budget.late:
         late = reduce(DataFrame.unionByName, budget.late).withColumn("late", F.lit(True))
         states = checkpointed(states.join(late, ["level", "seq"], "left").withColumn("expanded", F.col("late").isNull()).drop("late"))

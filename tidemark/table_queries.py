@@ -12,6 +12,7 @@ from tidemark.operators import matching, reports, scoring
 from tidemark.plans import findings as kernel
 from tidemark.plans.fixpoint import bind_params, propagate
 from tidemark.plans.model import Graph, Occurrences, SolveOptions, empty
+from tidemark.plans.on_demand import summarise_function
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -304,9 +305,7 @@ def containment_dedupe(spark, d):
 
 
 # Call table for summaries: a part's function has two parameters; even parts return the first, and small ones run a query on the second.
-@query("""SELECT 'part.ts::f' || p_partkey AS function_id, CASE WHEN p_partkey % 2 = 0 THEN '0' ELSE '' END AS returned, CASE WHEN p_size < 10 THEN '1:sql-query:0' ELSE '' END AS sinks
-FROM part WHERE p_partkey % 2 = 0 OR p_size < 10""")
-def parameter_summaries(spark, d):
+def _call_table(spark, d):
     parts = read(spark, d, "part")
     fid = F.concat(F.lit("part.ts::f"), "p_partkey")
     none, here = F.lit(None), _range(F.col("p_partkey") + 1)
@@ -318,10 +317,32 @@ def parameter_summaries(spark, d):
     edges = edges.unionByName(parts.where("p_size < 10").select(F.concat(fid, F.lit("#b")).alias("src"), F.concat(fid, F.lit("#q")).alias("dst"), F.lit("argument").alias("kind"), F.lit(0).alias("arg_index")))
     sinks = parts.select(F.concat(fid, F.lit("#q")).alias("node_id"), F.lit("sql-query").alias("sink_id"), F.array(F.lit("sql")).alias("kinds"), F.lit("error").alias("severity"), F.lit("").alias("message"), none.cast("string").alias("advice"), none.cast("array<string>").alias("cwe"), fid.alias("function_id"), here.alias("range"), F.lit("").alias("label"), F.array(F.lit(0)).alias("tainted_args"))
     graph = Graph(functions, nodes, edges, empty(spark, "call_sites"), empty(spark, "callback_links"))
+    return graph, sinks
+
+
+def _summary():
+    return (
+        "function_id", F.array_join(F.transform("tainted_return_from_params", lambda x: x.cast("string")), ",").alias("returned"),
+        F.array_join(F.transform("param_to_sink", lambda s: F.concat_ws(":", s["param_index"].cast("string"), s["sink_id"], s["sink_arg"].cast("string"))), ",").alias("sinks"),
+    )
+
+
+@query("""SELECT 'part.ts::f' || p_partkey AS function_id, CASE WHEN p_partkey % 2 = 0 THEN '0' ELSE '' END AS returned, CASE WHEN p_size < 10 THEN '1:sql-query:0' ELSE '' END AS sinks
+FROM part WHERE p_partkey % 2 = 0 OR p_size < 10""")
+def parameter_summaries(spark, d):
+    graph, sinks = _call_table(spark, d)
     solution = propagate(graph, Occurrences(empty(spark, "sources"), empty(spark, "sanitizers"), sinks), SolveOptions(seed_params=True))
     flows = kernel.param_flows(graph, solution, kernel.observed(solution.states, sinks))
-    sunk = F.array_join(F.transform("param_to_sink", lambda s: F.concat_ws(":", s["param_index"].cast("string"), s["sink_id"], s["sink_arg"].cast("string"))), ",")
-    return kernel.summaries(flows, solution.truncated).select("function_id", F.array_join(F.transform("tainted_return_from_params", lambda x: x.cast("string")), ",").alias("returned"), sunk.alias("sinks"))
+    return kernel.summaries(flows, solution.truncated).select(*_summary())
+
+
+@query("""SELECT 'part.ts::f' || max(p_partkey) AS function_id, '0' AS returned, '1:sql-query:0' AS sinks, true AS converged FROM part WHERE p_partkey % 2 = 0 AND p_size < 10 HAVING count(*) > 0""")
+def summary_on_demand(spark, d):
+    """The last part's function among those that return a parameter and run a query on another: what reaches it is found first, and only that is solved."""
+    graph, sinks = _call_table(spark, d)
+    last = read(spark, d, "part").where("p_partkey % 2 = 0 and p_size < 10").agg(F.max("p_partkey")).first()[0]
+    summary, _, _ = summarise_function(graph, Occurrences(empty(spark, "sources"), empty(spark, "sanitizers"), sinks), f"part.ts::f{last}")
+    return summary.select(*_summary(), "converged")
 
 
 @query("""WITH p AS (SELECT p_partkey, i, 'p' || i AS name FROM part, range(3) t(i)),
