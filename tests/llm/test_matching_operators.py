@@ -286,6 +286,33 @@ def test_pipeline(spark, tmp_path):
     assert set(got) == want and got[202]["size"] == 4
 
 
+def test_pipeline_at_the_edges(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, ties and other columns, then no rows at all."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(8)
+    words = [f"{a}{b}" for a in "abcdefg" for b in range(90)]
+    toxic = lambda i: i % 5 == 0
+    rows = [(i, " ".join(["scum"] * toxic(i) + [r.choice(words) for _ in range(30)]), "en", f"s{i % 2}", 1) for i in range(100)]
+    long = " ".join(r.choice(words) for _ in range(60_000))
+    rows += [(140, None, None, None, None), (141, "", "en", "s0", 0), (142, long, "en", "s0", 9), (None, "words of a row without an id", None, "s1", 2), (150, rows[3][1], "en", "s1", 3), (3, *rows[3][1:]), (160, "one tie of five words", "en", "s0", 1), (161, "one tie of five words", "en", "s0", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, data, given in (("labels", [(i, 1, int(toxic(i))) for i in range(100)], "doc_id long, quality int, toxic int"), ("benchmark", [(1, "an item of more than five words")], "item_id long, text string")):
+        for at in ("full", "none"):
+            spark.createDataFrame(data, given).write.parquet(str(tmp_path / at / f"{name}.parquet"))
+    extra = spark.createDataFrame([(*x, 1, "c", 0.5) for x in rows], schema + ", node int, comp string, score double")
+    extra.write.parquet(str(tmp_path / "full" / "documents.parquet"))
+    extra.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "full" / "documents.parquet"))
+    stage = dict(pipeline.STAGES)["ngram_jaccard_join"]
+    kept = stage(spark, docs, str(tmp_path / "full"))
+    assert kept.columns == docs.columns
+    ids = sorted(x["doc_id"] if x["doc_id"] is not None else -1 for x in kept.select("doc_id").collect())
+    assert ids == sorted([*range(100), 140, 141, 142, -1, 160])
+    got = [x["doc_id"] for x in pipeline.run(spark, str(tmp_path / "full")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {i for i in range(100) if not toxic(i)} | {140, 141, 142, None, 160}
+    assert pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_licences_of_repeated_rows(spark):
     """Rows that repeat an id and a path have answers of their own."""
     rows = [(1, "a/x", "Released under the MIT License."), (1, "a/x", "Licensed under CC BY 4.0."), (1, "a/x", "Released under the MIT License."), (None, "a/x", None), (1, None, "plain")]
