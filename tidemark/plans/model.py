@@ -81,10 +81,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     A checkpoint keeps its plan's estimate of size, which joins multiply, so that after some rounds of a loop the planner multiplies numbers of millions of
     bits. The table is therefore made anew from the checkpoint's rows and schema, with the default estimate; adaptive execution goes by real sizes.
+
+    The shuffles that made the rows go at once, where else they would fill disks until the driver happens to collect its garbage. Should df be used again, Spark makes them again.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     kept = df.checkpoint()._jdf
+    df._jdf.queryExecution().toRdd().cleanShuffleDependencies(False)
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
