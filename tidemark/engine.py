@@ -11,14 +11,14 @@ import time
 from collections.abc import Callable
 
 from tidemark import __version__
-from tidemark.frontend.builder import build_bytes, build_file
+from tidemark.frontend.builder import build_bytes, build_file, problem
 from tidemark.functions.text import path_matches
 from tidemark.plans.local import LocalSolver
 from tidemark.plans.model import SolveOptions
 from tidemark.reporters import count_by_severity, rank, summary_line
 from tidemark.rules.annotate import annotate_rows
 from tidemark.sources.config import Config, resolve_config
-from tidemark.sources.discovery import discover_files, readable
+from tidemark.sources.discovery import Selection, discover_files, folder_of, readable
 
 ENGINE_VERSION = __version__
 TOOL_NAME, TOOL_VERSION = "tidemark", __version__
@@ -37,9 +37,11 @@ def prepare(root: str, config_path: str | None = None, include: list[str] | None
     config = resolve_config(root, config_path, overrides, builtin_only)
     files, said = discover_files(root, include, [*config.ignore_paths, *(exclude or [])])
     files, unread = readable(files)
-    base = os.path.abspath(root)
-    base = base if os.path.isdir(base) else os.path.dirname(base)
-    return config, files, base, said + unread + [{"level": "warning", "message": w, "file": None, "range": None} for w in config.warnings]
+    return config, files, folder_of(root), said + unread + _warnings(config)
+
+
+def _warnings(config: Config) -> list[dict]:
+    return [{"level": "warning", "message": w, "file": None, "range": None} for w in config.warnings]
 
 
 def _merged(parts: list[dict[str, list[dict]]]) -> dict[str, list[dict]]:
@@ -74,13 +76,16 @@ def scan(root: str, spark=None, distributed: bool | None = None, config_path: st
     """root, findings (ordered rows), stats, diagnostics, config."""
     began, tell = time.time(), on_progress or (lambda phase, text: None)
     tell("discover", root)
-    config, files, base, said = prepare(root, config_path, include, exclude, overrides, builtin_only)
-    if distributed is None:
-        distributed = spark is not None and sum(os.path.getsize(f) for f in files if os.path.isfile(f)) > LOCAL_BYTES
-    tell("parse", f"{len(files)} files")
+    if not distributed:
+        config, files, base, said = prepare(root, config_path, include, exclude, overrides, builtin_only)
+        if distributed is None:
+            distributed = spark is not None and sum(os.path.getsize(f) for f in files if os.path.isfile(f)) > LOCAL_BYTES
     if distributed:
-        findings, stats, more = _scan_tables(spark, files, base, config, tell)
+        config, base = resolve_config(root, config_path, overrides, builtin_only), folder_of(root)
+        said = _warnings(config)
+        findings, stats, more = _scan_tables(spark, root, Selection.of(include, [*config.ignore_paths, *(exclude or [])]), config, tell)
     else:
+        tell("parse", f"{len(files)} files")
         parts = []
         for f in files:
             with open(f, "rb") as source:
@@ -89,9 +94,10 @@ def scan(root: str, spark=None, distributed: bool | None = None, config_path: st
         tables = _merged([empty, *parts])
         tell("solve", f"{len(tables['nodes'])} nodes")
         findings, stats, more = _solve_rows(tables, config)
+        stats = {"files_scanned": len(files), **stats}
         more = tables["diagnostics"] + more
     tell("report", f"{len(findings)} findings")
-    return {"root": base, "findings": findings, "stats": {"files_scanned": len(files), **stats, "elapsed_ms": round((time.time() - began) * 1000)}, "diagnostics": said + more, "config": config}
+    return {"root": base, "findings": findings, "stats": {**stats, "elapsed_ms": round((time.time() - began) * 1000)}, "diagnostics": said + more, "config": config}
 
 
 def analyse_files(spark, files, config: Config, proofs: bool = True):
@@ -112,24 +118,24 @@ def analyse_files(spark, files, config: Config, proofs: bool = True):
     return analyse(graph, occurrences, rules["sinks"], solve_options(config), proofs), diagnostics
 
 
-def _scan_tables(spark, files: list[str], base: str, config: Config, tell) -> tuple[list[dict], dict, list[dict]]:
-    from pyspark.sql import functions as F
-
+def _scan_tables(spark, root: str, wanted: Selection, config: Config, tell) -> tuple[list[dict], dict, list[dict]]:
     from tidemark.plans.findings import ordered
+    from tidemark.sources.tree import list_tree, read_tree
 
-    uri = [f"file://{f}" for f in files]
-    rows = spark.read.format("binaryFile").load(uri) if uri else spark.createDataFrame([], "path string, content binary")
-    # Quoted as a whole, whatever is in the folder's name.
-    rel = F.regexp_replace("path", F.lit("^.*?" + "".join(f"\\Q{c}\\E" for c in base + "/")), F.lit(""))
+    base = folder_of(root)
+    files, unlisted = list_tree(spark, root, wanted)
+    count = files.count()
+    tell("parse", f"{count} files")
     tell("solve", "tables")
-    result, diagnostics = analyse_files(spark, rows.select(rel.alias("relative_path"), "content"), config)
+    result, diagnostics = analyse_files(spark, read_tree(files, root), config)
     findings = [r.asDict(True) for r in ordered(result.findings).collect()]
     for f in findings:  # the tables know relative paths only
         f["file"] = os.path.join(base, f["relative_path"])
         for s in f["proof"]:
             s["file"] = os.path.join(base, s["file"])
-    stats = {"functions_analysed": result.stats["functions"], **{k: result.stats[k] for k in ("nodes", "edges", "iterations", "truncated")}}
-    said = [r.asDict(True) | {"file": os.path.join(base, r["file"])} for r in diagnostics.orderBy("file", "message").collect()] + [{"level": level, "message": m, "file": None, "range": None} for level, m, _ in result.diagnostics]
+    stats = {"files_scanned": count, "functions_analysed": result.stats["functions"], **{k: result.stats[k] for k in ("nodes", "edges", "iterations", "truncated")}}
+    said = [problem(r["message"], os.path.join(base, r["file"]) if r["file"] else base) for r in unlisted.orderBy("file").collect()]
+    said += [r.asDict(True) | {"file": os.path.join(base, r["file"])} for r in diagnostics.orderBy("file", "message").collect()] + [{"level": level, "message": m, "file": None, "range": None} for level, m, _ in result.diagnostics]
     return findings, stats, said
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.engine import analyse_files
 from tidemark.sources.config import Config
+from tidemark.plans.model import scratch_folder
 from tidemark.sources.discovery import graph_tables
+from tidemark.sources.tree import list_tree, local_path, read_tree, write_tree
 
 #: Handlers by part number modulo 6: what they do with a request's value, and the rule that must find it, if any.
 HANDLERS = (
@@ -141,12 +143,31 @@ def source_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.select("relative_path", "step", "s.role", "s.label", F.col("s.range.start.column").alias("at_column"))
 
 
+#: Places in a tree by part number modulo 8: folder, end of the name, whether a scan takes the file. {m} is the part number modulo 10.
+PLACES = (
+    ("src/d{m}", ".ts", True), ("src/deep/a/b/c/d{m}", ".jsx", True), ("node_modules/m{m}", ".js", False), ("src/types", ".d.ts", False),
+    ("src/web", ".min.js", False), ("src/d{m}/dist", ".ts", False), ("docs", ".md", False), ("packages/m{m}", ".mjs", True),
+)
+
+
+def discovered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree with a file for each part, written to the shared folder, listed level by level and read: the files that a scan takes, and their bytes."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    of = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in PLACES]), (F.col("p_partkey") % len(PLACES) + 1).cast("int"))
+    folder = F.replace(of(0), F.lit("{m}"), (F.col("p_partkey") % 10).cast("string"))
+    key = F.col("p_partkey").cast("string")
+    root = local_path(scratch_folder(spark, "tree"))
+    write_tree(parts.select(F.concat(folder, F.lit("/p"), key, of(1)).alias("relative_path"), F.concat(F.lit("export const p"), key, F.lit(" = "), key, F.lit(";\n")).alias("text")), root)
+    files, _ = list_tree(spark, root)
+    return read_tree(files, root).select("relative_path", F.length("content").alias("n_bytes"))
+
+
 def _values(rows) -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
     return "VALUES " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"source_findings": source_findings, "source_functions": source_functions, "source_forms": source_forms, "source_diagnostics": source_diagnostics, "source_proofs": source_proofs}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"source_findings": source_findings, "source_functions": source_functions, "source_forms": source_forms, "source_diagnostics": source_diagnostics, "source_proofs": source_proofs, "discovered_files": discovered_files}
 ORACLES: dict[str, str] = {
     "source_findings": f"SELECT 'parts/p' || p_partkey || '.ts' AS relative_path, rule_id, CAST(4 AS INT) AS line FROM part JOIN (VALUES {_VALUES}) AS v(k, rule_id) ON p_partkey % {len(HANDLERS)} = k",
     "source_functions": """SELECT 'parts/p' || p_partkey || '.ts::' || name AS id, name, CAST(params AS INT) AS params, module AS is_module_scope
@@ -157,4 +178,6 @@ FROM part JOIN ({_values((k, name) for k, (name, _, passes) in enumerate(FORMS)
 FROM part JOIN ({_values((k, name) for k, (name, _, _) in enumerate(FORMS) if name in UNKNOWN)}) AS v(k, name) ON p_partkey % {len(FORMS)} = k""",
     "source_proofs": f"""SELECT 'parts/p' || p_partkey || '.ts' AS relative_path, CAST(step AS INT) AS step, role, label, CAST(at_column AS INT) AS at_column
 FROM part JOIN ({_values((k, i % 4, role, label, column) for i, (k, role, label, column) in enumerate(STEPS))}) AS v(k, step, role, label, at_column) ON p_partkey % {len(HANDLERS)} = k""",
+    "discovered_files": f"""SELECT replace(folder, '{{m}}', CAST(p_partkey % 10 AS VARCHAR)) || '/p' || p_partkey || ending AS relative_path, CAST(18 + 2 * length(CAST(p_partkey AS VARCHAR)) + 1 AS INT) AS n_bytes
+FROM part JOIN ({_values((k, folder, end) for k, (folder, end, taken) in enumerate(PLACES) if taken)}) AS v(k, folder, ending) ON p_partkey % {len(PLACES)} = k""",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,37 +24,81 @@ EXCLUDED = ("node_modules", "dist", "build", "coverage", "out", ".git", ".next",
 ALIASES = "scope string, name string, chain string, seq int"
 
 
+@dataclass(frozen=True)
+class Selection:
+    """Which files of a tree are wanted: an extension, no declaration, no excluded pattern, one of the included ones if there are any."""
+
+    include: tuple[str, ...] = ()
+    exclude: tuple[str, ...] = EXCLUDED
+    extensions: tuple[str, ...] = EXTENSIONS
+
+    @classmethod
+    def of(cls, include: list[str] | None, exclude: list[str] | None, extensions: tuple[str, ...] = EXTENSIONS) -> Selection:
+        return cls(tuple(include or ()), (*EXCLUDED, *(exclude or ())), tuple(extensions))
+
+    def takes(self, path: str) -> bool:
+        return path.endswith(self.extensions) and not path.endswith(DECLARATIONS) and not path_matches(path, self.exclude) and (not self.include or path_matches(path, self.include))
+
+
+def entries(root: str, folder: str, wanted: Selection) -> Iterator[tuple[str, str, str | None]]:
+    """kind (folder, file or error), path below the root with /, message: what is wanted directly in a folder, in no order. Links aren't followed; a folder that can't be listed and a name that isn't UTF-8 are errors."""
+    try:
+        with os.scandir(os.path.join(root, folder)) as found:
+            for e in found:
+                path = f"{folder}/{e.name}" if folder else e.name
+                if e.is_symlink():
+                    continue
+                kind = "folder" if e.is_dir() else "file"
+                if path_matches(path, wanted.exclude) if kind == "folder" else not (wanted.takes(path) and e.is_file()):
+                    continue
+                plain = path.encode("utf-8", "replace").decode()
+                yield ("error", plain, "its name isn't UTF-8") if plain != path else (kind, path, None)
+    except OSError as e:
+        yield "error", folder, f"can't list: {e.strerror or e}"
+
+
+def folder_of(root: str) -> str:
+    """The folder that a root's paths are relative to."""
+    root = os.path.abspath(root)
+    return root if os.path.isdir(root) else os.path.dirname(root)
+
+
+def missing(root: str) -> list[dict]:
+    return [] if os.path.exists(root) else [problem(f"no such file or folder: {root}", root)]
+
+
 def discover_files(root: str, include: list[str] | None = None, exclude: list[str] | None = None, extensions: tuple[str, ...] = EXTENSIONS, files: list[str] | None = None) -> tuple[list[str], list[dict]]:
     """Sorted absolute paths, and diagnostics. Excluded folders aren't entered, links aren't followed; a root that is a file stands for itself."""
     if files is not None:
         return sorted(os.path.abspath(f) for f in files), []
     root = os.path.abspath(root)
-    if not os.path.exists(root):
-        return [], [{"level": "error", "message": f"no such file or folder: {root}", "file": root, "range": None}]
-    if os.path.isfile(root):
-        return [root], []
-    left_out = [*EXCLUDED, *(exclude or [])]
-    found = []
-    for folder, folders, names in os.walk(root):
-        rel = lambda name, folder=folder: os.path.relpath(os.path.join(folder, name), root).replace(os.sep, "/")
-        folders[:] = sorted(d for d in folders if not os.path.islink(os.path.join(folder, d)) and not path_matches(rel(d), left_out))
-        for name in sorted(names):
-            path = rel(name)
-            if name.endswith(extensions) and not name.endswith(DECLARATIONS) and not os.path.islink(os.path.join(folder, name)) and not path_matches(path, left_out) and (not include or path_matches(path, include)):
-                found.append(os.path.join(folder, name))
-    return sorted(found), []
+    if not os.path.isdir(root):
+        return [root] if os.path.exists(root) else [], missing(root)
+    wanted, pending, found, said = Selection.of(include, exclude, extensions), [""], [], []
+    while pending:
+        for kind, path, message in entries(root, pending.pop(), wanted):
+            if kind == "folder":
+                pending.append(path)
+            elif kind == "file":
+                found.append(os.path.join(root, path))
+            else:
+                said.append(problem(message, os.path.join(root, path) if path else root))
+    return sorted(found), sorted(said, key=lambda d: d["file"])
+
+
+def unopened(file: str) -> str | None:
+    """Why a file can't be opened, if it can't."""
+    try:
+        with open(file, "rb"):
+            return None
+    except OSError as e:
+        return f"can't read: {e.strerror or e}"
 
 
 def readable(files: list[str]) -> tuple[list[str], list[dict]]:
     """Files that can be opened, and an error for each other one, for whatever reads them afterwards."""
-    good, said = [], []
-    for f in files:
-        try:
-            with open(f, "rb"):
-                good.append(f)
-        except OSError as e:
-            said.append(problem(f"can't read: {e.strerror or e}", f))
-    return good, said
+    tried = [(f, unopened(f)) for f in files]
+    return [f for f, why in tried if why is None], [problem(why, f) for f, why in tried if why is not None]
 
 
 #: The tables that a file leaves, as one struct column each.
@@ -63,6 +108,8 @@ TABLES = {n: SCHEMAS[n] for n in ("functions", "nodes", "edges", "call_sites", "
 def graph_tables(files: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
     """files (relative_path, and content or text) -> the graph, aliases, diagnostics. Files are parsed one by one in parallel, however few partitions they come in; a file that can't be parsed leaves an error.
 
+    A column `unread` says of a file why it couldn't be read after it was found; its message is an error then, and nothing else comes of it.
+
     Rows leave the parser with their types, in a struct column for each table, and are written once, a folder for each table, so that later reads take the columns they need and know the sizes.
     """
     spark = files.sparkSession
@@ -73,7 +120,10 @@ def graph_tables(files: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made: dict[str, list[dict]] = {n: [] for n in TABLES}
-            for path, data in zip(batch.column("relative_path").to_pylist(), batch.column(source).to_pylist(), strict=True):
+            for path, data, why in zip(*(batch.column(c).to_pylist() for c in ("relative_path", source, "unread")), strict=True):
+                if why is not None:
+                    made["diagnostics"].append(problem(why, path))
+                    continue
                 for n, rows in (build_bytes(data, path) if isinstance(data, bytes) else build_file(data or "", path)).items():
                     made[n] += rows
             for n, rows in made.items():
@@ -82,7 +132,8 @@ def graph_tables(files: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
                     yield pa.RecordBatch.from_arrays([pa.array([n] * len(rows)), *own], schema=arrow)
 
     # Parsing costs more than moving a file's text.
-    dealt = files.select("relative_path", source).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "relative_path")
+    unread = F.col("unread") if "unread" in files.columns else F.lit(None).cast("string").alias("unread")
+    dealt = files.select("relative_path", source, unread).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "relative_path")
     folder = scratch_folder(spark, "graph")
     dealt.mapInArrow(run, held).write.partitionBy("kind").parquet(folder)
     table = lambda n: spark.read.schema(held).parquet(folder).where(F.col("kind") == n).select(f"{n}.*")
