@@ -123,7 +123,7 @@ def test_sum_of_squares_identity():
 
 def test_string_kernel():
     texts = [language_id.grams(t) for t in (b"abcab", b"xyz", b"")]
-    m = language_id.fit_language([b"abcab", b"abd", b"xyz", b"xyy"], ["a", "a", "x", "x"], 4)
+    m = language_id.fit_language([language_id.grams(t) for t in (b"abcab", b"abd", b"xyz", b"xyy")], ["a", "a", "x", "x"], 4)
     k = m.kernel(texts)
     assert np.isclose(k[0, 0], 1) and k[1, 0] == 0 and (k[2] == 0).all() and m.scores(texts)[:2].argmax(1).tolist() == [0, 1]
 
@@ -133,3 +133,27 @@ def test_risk_stays_above_zero():
     u = [np.array([1, 2], np.int32)] * 5 + [np.array([3, 4], np.int32)] * 95
     m = toxicity.fit_nnpu(p, u, 0.05, 3)
     assert m.scores([p[0]])[0] > 0.3 > m.scores([u[-1]])[0]
+
+
+def test_language_learns_from_sets_as_from_texts(spark):
+    """The sets that tasks make are those of the texts, also of repeated ids and of a text of many pieces, and the model is the one learnt from texts."""
+    rows = [(i, f"{'river house' if i % 2 else 'straße für'} {i}", "ab"[i % 2], None, None) for i in range(60)] + [(7, "river river", "b", None, None)] * 3 + [(8, None, "a", None, None)]
+    rows.append((12, "straße über " * 150_000, "a", None, None))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = language_id.train_language(docs, examples=10_000)
+    learnt = {tuple(r) for r in docs.where(language_id.held_out()).select("doc_id").collect()}
+    own = [r for r in rows if r[1] is not None and (r[0],) not in learnt]
+    again = language_id.fit_language([language_id.grams(r[1].encode()) for r in own], [r[2] for r in own], 10_000)
+    probe = [language_id.grams(t) for t in (b"river", "straße".encode(), b"house 12", b"")]
+    assert model.languages == again.languages == ["a", "b"]
+    assert np.allclose(model.scores(probe), again.scores(probe), atol=1e-3) and model.scores(probe)[:2].argmax(1).tolist() == [1, 0]
+
+
+def test_language_of_long_texts_and_ties(spark, monkeypatch):
+    text = ("abc déf " * 40 + "Z").encode()
+    whole = language_id.grams(text)
+    monkeypatch.setattr(language_id, "PIECE", 7)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, language_id.grams(text), strict=True))
+    monkeypatch.undo()
+    docs = spark.createDataFrame([(i, "same words", lang, None, None) for i in range(40) for lang in ("q", "p")], SCHEMA)
+    assert {r["lang_pred"] for r in language_id.language_ids(docs).collect()} == {"p"}

@@ -6,8 +6,9 @@ kernel ridge regression in that space gives one score a language. Scoring is two
 presence by landmarks, then kernel values by language.
 
 Landmarks and training texts are bounded samples by seeded hash of doc_id (parameters landmarks, examples; both shared
-out evenly over languages; 2 * examples rows at most, also where ids repeat). Whole texts are read, however long, in pieces; rows that repeat an id or a text are answered one by one, equal texts alike. A null text or one without a letter gets `und` and score 0; so does every text when nothing can be
-learnt. Ties go to the language that sorts first.
+out evenly over languages; 2 * examples rows at most, also where ids repeat). Their n-gram sets are made where the texts are and only sets reach the driver, at most 2^20 numbers a row
+however long its text. Whole texts are read, however long, in pieces; rows that repeat an id or a text are answered one by one, equal texts alike. A null text or one without a letter gets `und` and score 0; so does every text when nothing can be
+learnt. Scores that agree to five places tie, and ties go to the language that sorts first. An empty table gives no rows. Other columns of docs, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -70,9 +71,9 @@ class LanguageModel:
         return self.kernel(texts) @ self.weights
 
 
-def fit_language(texts: list[bytes], langs: list[str], landmarks: int, ridge: float = 1e-3) -> LanguageModel:
+def fit_language(features: list[list[np.ndarray]], langs: list[str], landmarks: int, ridge: float = 1e-3) -> LanguageModel:
+    """features: of each text, what grams gives of it."""
     languages = sorted(set(langs))
-    features = [grams(x) for x in texts]
     picked: list[int] = []
     by_lang = {x: [i for i, y in enumerate(langs) if y == x] for x in languages}
     for x in languages:
@@ -111,14 +112,23 @@ def train_language(docs: DataFrame, landmarks: int = 64, examples: int = 1200, s
     spread = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
     rate = reduce(lambda c, x: c.when(F.col("lang") == x[0], int(min(1.0, each / x[1]) * (1 << 30)) + 1), sorted(counts.items()), F)
     # About examples rows are below the threshold, unless ids repeat: then those with the least share of it stand for all.
-    below = known.where((spread < rate) & F.col("text").isNotNull()).select((spread / rate).alias("at"), "doc_id", "lang", "text")
-    rows = sorted(below.orderBy("at", "doc_id", F.xxhash64("text")).limit(2 * examples).collect(), key=lambda r: (r["at"], r["doc_id"]))
-    texts, langs = [], []
+    below = known.where((spread < rate) & F.col("text").isNotNull()).select((spread / rate).alias("at"), "doc_id", "lang", F.xxhash64("text").alias("named"), "text")
+    kept, sets = ["at", "doc_id", "lang", "named"], [f"grams{n}" for n in ORDERS]
+
+    def compute(part: pa.RecordBatch) -> dict:
+        scratch = np.zeros(1 << BITS, bool)
+        made = [grams(x, scratch) for x in utf8(part)]
+        return {c: part.column(c) for c in kept} | {c: [m[k] for m in made] for k, c in enumerate(sets)}
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in below.select(*kept).schema)
+    made = map_texts(below, kept, compute, f"{schema}, {', '.join(f'{c} array<int>' for c in sets)}")
+    rows = made.orderBy("at", "doc_id", "named").limit(2 * examples).toArrow().sort_by([(c, "ascending") for c in ("at", "doc_id", "named")])
+    of, features, langs = np.array(rows.column("lang").to_pylist(), object), [], []
     for x in sorted(counts):
-        own = [r for r in rows if r["lang"] == x][:each]
-        texts += [r["text"].encode() for r in own]
+        own = rows.take(np.flatnonzero(of == x)[:each])
+        features += [[v.values.to_numpy() for v in row] for row in zip(*(own.column(c) for c in sets), strict=True)]
         langs += [x] * len(own)
-    return fit_language(texts, langs, landmarks)
+    return fit_language(features, langs, landmarks)
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
@@ -130,7 +140,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep: list[str]) ->
         lang, score, scratch = ["und"] * len(texts), [0.0] * len(texts), np.zeros(1 << BITS, bool)
         for at in range(0, len(can), 64):
             rows = can[at : at + 64]
-            found = model.scores([grams(data[i], scratch) for i in rows])
+            found = model.scores([grams(data[i], scratch) for i in rows]).round(5)
             best = found.argmax(1)
             share = np.exp(4 * (found - found.max(1, keepdims=True)))
             for i, b, s in zip(rows, best, 1 / share.sum(1), strict=True):
