@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,23 +34,49 @@ def with_overall(counts: DataFrame, by: str) -> DataFrame:
     return counts.rollup(by).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).withColumn(by, F.coalesce(by, F.lit("overall")))
 
 
+def _matched(cases: list[tuple], findings: list[tuple], tolerance: int) -> Iterator[tuple[int, int]]:
+    """cases (case_ord, line, family) and findings (finding_ord, line, kinds) of a run: in case order, each takes the least finding_ord that is free, near enough and of its family."""
+    free: dict[int, dict[tuple, deque]] = {}
+    for ord_, line, kinds in sorted(findings, key=lambda f: f[0]):
+        free.setdefault(line, {}).setdefault(kinds, deque()).append(ord_)
+    for ord_, line, wanted in sorted(cases, key=lambda c: c[0]):
+        # What is free on one line with the same kinds stands in a queue, so only heads are compared.
+        heads = [(q[0], q) for at in range(line - tolerance, line + tolerance + 1) if at in free for kinds, q in free[at].items() if q and wanted in kinds]
+        if heads:
+            yield ord_, min(heads, key=lambda h: h[0])[1].popleft()
+
+
 def greedy_matches(cases: DataFrame, findings: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     """case_ord, finding_ord pairs: in case order, each takes the first free finding of its file whose kinds hold its family and whose line is near enough.
 
-    Consumption depends on order, so a file's rows meet in one task; a file's cases and findings are few.
+    Consumption depends on order, but lines further apart than the tolerance don't bear on each other: a file's lines, in order, fall into runs where a gap is wider. Files are dealt among tasks and sorted by line, and a task holds one run at a time.
     """
-
-    def match(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free, out = right.sort_values("finding_ord").to_dict("records"), []
-        for case in left.sort_values("case_ord").to_dict("records"):
-            for i, f in enumerate(free):
-                if case["family"] in list(f["kinds"]) and abs(f["line"] - case["line"]) <= tolerance:
-                    out.append((case["case_ord"], f["finding_ord"]))
-                    del free[i]
-                    break
-        return pd.DataFrame(out, columns=["case_ord", "finding_ord"])
-
-    return cases.groupBy("file").cogroup(findings.groupBy("file")).applyInPandas(match, "case_ord long, finding_ord long")
+    none = F.lit(None)
+    rows = cases.select("file", F.col("line").cast("long").alias("line"), F.col("case_ord").cast("long").alias("case_ord"), none.cast("long").alias("finding_ord"), "family", none.cast("array<string>").alias("kinds"), F.lit(True).alias("is_case"))
+    found = findings.select("file", F.col("line").cast("long").alias("line"), none.cast("long").alias("case_ord"), F.col("finding_ord").cast("long").alias("finding_ord"), none.cast("string").alias("family"), "kinds", F.lit(False).alias("is_case"))
+    dealt = rows.unionByName(found).where("line is not null").repartition("file").sortWithinPartitions("file", "line")
+    schema = pa.schema([("case_ord", pa.int64()), ("finding_ord", pa.int64())])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at_file, at_line = ([], []), None, None
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for file, line, case, finding, wanted, kinds, is_case in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at_line is None or file != at_file or line - at_line > tolerance:
+                    if held[0] and held[1]:
+                        out += _matched(*held, tolerance)
+                    held = ([], [])
+                at_file, at_line = file, line
+                if is_case:
+                    held[0].append((case, line, wanted))
+                else:
+                    held[1].append((finding, line, tuple(kinds or ())))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+        if held[0] and held[1] and (out := list(_matched(*held, tolerance))):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+
+    return dealt.mapInArrow(match, "case_ord long, finding_ord long")
 
 
 def near(cases: DataFrame, findings: DataFrame, tolerance: int = TOLERANCE, how: str = "left_semi") -> DataFrame:
