@@ -105,7 +105,7 @@ def analyse_files(spark, files, config: Config, proofs: bool = True):
     from pyspark.sql import functions as F
 
     from tidemark.plans.findings import analyse
-    from tidemark.plans.model import Occurrences, checkpointed
+    from tidemark.plans.model import Occurrences, checkpointed, let_go
     from tidemark.rules.annotate import annotate, complete, expressions
     from tidemark.rules.catalogue import rule_tables
     from tidemark.sources.discovery import graph_tables
@@ -115,6 +115,7 @@ def analyse_files(spark, files, config: Config, proofs: bool = True):
     rules = rule_tables(spark, complete(config.rules))
     found = annotate(graph, rules, checkpointed(expressions(graph.nodes, last)))
     occurrences = Occurrences(*map(checkpointed, (found.sources, found.sanitizers, found.sinks)))
+    let_go(spark)
     return analyse(graph, occurrences, rules["sinks"], solve_options(config), proofs), diagnostics
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.tags import WILDCARD, normalized
 from tidemark.operators.running import running
-from tidemark.plans.model import Graph, Occurrences, SolveOptions, checkpointed
+from tidemark.plans.model import Graph, Occurrences, SolveOptions, checkpointed, let_go
 from tidemark.plans.store import Store
 
 #: Argument position of a state that didn't arrive over an argument edge.
@@ -194,6 +194,7 @@ def propagate(graph: Graph, occurrences: Occurrences, options: SolveOptions = So
         ways = ways.drop("rank")
     way_key = ("src",)
     store.append("ways", ways.repartition(store.buckets, *way_key), way_key)
+    let_go(spark)
     hubs = _hubs(store.table("ways"))
     if hubs is not None:
         way_key = ("src", "part")
@@ -204,6 +205,7 @@ def propagate(graph: Graph, occurrences: Occurrences, options: SolveOptions = So
     order = ["rank"] if options.ordered else []
     while True:
         n_states = store.append("states", _numbered(first, rounds, order, store.buckets), KEY, "level")
+        let_go(spark)
         if not n_states:
             break
         total += n_states
@@ -262,6 +264,7 @@ def paths(states: DataFrame, ends: DataFrame) -> DataFrame:
     span = 1
     while span <= deepest:
         jumps = checkpointed(jumps)
+        let_go(states.sparkSession)
         higher = places.where(F.col("level") >= span).join(jumps, key).select("end_level", "end_seq", (F.col("up") + span).alias("up"), (F.col("level") - span).alias("level"), F.col("to").alias("seq"))
         places = checkpointed(places.unionByName(higher))
         onward = jumps.select((F.col("level") + span).alias("level"), F.col("seq").alias("to"), F.col("to").alias("next"))

@@ -91,6 +91,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Ask the driver's JVM for a collection: what nothing refers to any more goes now, with its shuffle files and the classes that plans were compiled to, which else pile up beside the heap over a loop's many plans."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def estimated_bits(df: DataFrame) -> int:
     """How many bits the planner's estimate of a table's bytes has."""
     return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
