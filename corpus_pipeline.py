@@ -7,30 +7,47 @@ along as they are, whatever their names. An empty table stays empty.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontamination, jaccard_join, mixing, secret_scan, toxicity
 from tidemark.llm._common import checkpointed, table
 
 
+#: Rows that Spark hands to Python at once. Texts are handled in slices anyway; a stage's rows stand beside each other in the executor and in its Python workers, which live on into the next stages.
+BATCH_ROWS = 1_000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_small_batches(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The stage's rows, checkpointed while Python gets few rows at once; the session's setting is as before afterwards."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(BATCH_ROWS))
+    try:
+        return checkpointed(make())
+    finally:
+        spark.conf.set(_ROWS, before)
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier finds toxic go."""
-    return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
+    return in_small_batches(spark, lambda: toxicity.reject_toxic(docs, table(spark, sf_dir, "labels")))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays."""
-    return jaccard_join.one_of_each(docs)
+    return in_small_batches(spark, lambda: jaccard_join.one_of_each(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+    return in_small_batches(spark, lambda: decontamination.clean(docs, table(spark, sf_dir, "benchmark")))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by their kind; all documents stay."""
-    return secret_scan.redact(docs)
+    return in_small_batches(spark, lambda: secret_scan.redact(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +70,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = checkpointed(stage(spark, docs, sf_dir))
+        docs = stage(spark, docs, sf_dir)
     return STAGES[-1][1](spark, docs, sf_dir)
