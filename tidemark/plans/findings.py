@@ -12,7 +12,7 @@ from tidemark.functions.tags import intersected
 from tidemark.functions.text import finding_id
 from tidemark.operators.running import running
 from tidemark.plans.fixpoint import NO_ARG, Solution, paths, propagate
-from tidemark.plans.model import Graph, Occurrences, SolveOptions, checkpointed
+from tidemark.plans.model import Graph, Occurrences, SolveOptions, checkpointed, small
 
 #: The order of findings; discovery (level, seq, rule) settles ties.
 ORDER = ["file", "range.start.line", "range.start.column", "rule_id", "source_id", "level", "seq"]
@@ -43,7 +43,7 @@ def relative_path(function_id: Column) -> Column:
 def raw_findings(graph: Graph, met: DataFrame) -> DataFrame:
     """One row for each real state that meets a sink; symbolic states make summaries instead."""
     real = met.where("not symbolic")
-    files = graph.functions.select(F.col("id").alias("fid"), F.col("file").alias("fn_file"))
+    files = small(graph.functions.select(F.col("id").alias("fid"), F.col("file").alias("fn_file")))
     owned = real.join(files, real["sink_function"] == files["fid"], "left").withColumn("function_id", F.when(F.col("fid").isNotNull(), F.col("sink_function")).otherwise(F.col("function_id"))).drop("fid", "fn_file")
     rel = relative_path(F.col("function_id"))
     placed = owned.join(files, owned["function_id"] == files["fid"], "left").withColumn("relative_path", rel).withColumn("file", F.coalesce("fn_file", "relative_path"))

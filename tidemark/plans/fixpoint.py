@@ -12,6 +12,7 @@ the frontier goes to the moves' buckets, arrivals, combined before they are sent
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -29,7 +30,8 @@ NO_ARG = -1_000_000
 KEY = ("node", "source_id", "kinds_key", "arg", "function_id", "node_kind")
 #: Moves of one node that lie in one bucket.
 HUB_MOVES = 1_000_000
-_JOINED = "\x01"
+#: Stands between the kinds of a key.
+JOINED = "\x01"
 _USE = "array<struct<sanitizer_id:string,kinds:array<string>>>"
 
 
@@ -66,19 +68,32 @@ def moves(graph: Graph, bindings: DataFrame, options: SolveOptions) -> DataFrame
     def rank(phase: int, a: Column, b: Column, c: Column) -> Column:
         return F.struct(F.lit(phase).alias("phase"), a.alias("a"), b.alias("b"), F.coalesce(c, F.lit(-1)).cast("int").alias("c"))
 
-    edges = graph.edges.join(begins, "src").join(ends, "dst")
-    plain = edges.select("src", "dst", "dst_function", "dst_kind", rank(0, F.col("dst"), F.col("kind"), F.col("arg_index")).alias("rank"), F.when((F.col("kind") == "argument") & F.col("arg_index").isNotNull(), F.col("arg_index")).otherwise(NO_ARG).alias("next_arg"), none.cast("int").alias("needs_arg"), none.cast("string").alias("enters"), F.col("kind").alias("via"))
+    # No state is at what isn't a node, so where an edge begins needs no look.
+    plain = graph.edges.join(ends, "dst").select("src", "dst", "dst_function", "dst_kind", rank(0, F.col("dst"), F.col("kind"), F.col("arg_index")).alias("rank"), F.when((F.col("kind") == "argument") & F.col("arg_index").isNotNull(), F.col("arg_index")).otherwise(NO_ARG).alias("next_arg"), none.cast("int").alias("needs_arg"), none.cast("string").alias("enters"), F.col("kind").alias("via"))
     if options.scope_function is not None:
         plain = plain.where((F.col("via") != "return") | (F.col("dst_function") == options.scope_function))
+    every = plain
+    calls = checkpointed(callees(graph))
+    if not calls.isEmpty():
+        every = every.unionByName(_calls(graph, calls, bindings, begins, ends, rank))
+    links = graph.callback_links.where("param_node_id is not null")
+    if not links.isEmpty():
+        wired = links.select(F.col("call_node_id").alias("src"), F.col("param_node_id").alias("dst")).distinct().join(ends, "dst")
+        every = every.unionByName(wired.select("src", "dst", "dst_function", "dst_kind", rank(3, F.col("dst"), F.lit(""), none).alias("rank"), F.lit(NO_ARG).alias("next_arg"), none.cast("int").alias("needs_arg"), F.col("dst_function").alias("enters"), F.lit("callback").alias("via")))
+    return every
+
+
+def _calls(graph: Graph, calls: DataFrame, bindings: DataFrame, begins: DataFrame, ends: DataFrame, rank: Callable[..., Column]) -> DataFrame:
+    """Arguments into parameters and returns to callers, of calls (node_id, callee)."""
+    none = F.lit(None)
+    edges = graph.edges.join(begins, "src").join(ends, "dst")
     fed = edges.where("kind = 'argument' and src_function <> dst_function").select(F.col("dst").alias("node_id")).distinct()
-    into = callees(graph).join(bindings.join(fed, "node_id", "left_anti").withColumnRenamed("node_id", "dst"), F.col("callee") == F.col("function_id"))
+    into = calls.join(bindings.join(fed, "node_id", "left_anti").withColumnRenamed("node_id", "dst"), F.col("callee") == F.col("function_id"))
     arguments = into.join(ends, "dst").select(F.col("node_id").alias("src"), "dst", "dst_function", "dst_kind", rank(1, F.col("callee"), F.lit(""), none).alias("rank"), F.lit(NO_ARG).alias("next_arg"), F.col("index").alias("needs_arg"), F.col("callee").alias("enters"), F.lit("argument").alias("via"))
     leaving = edges.where("src_kind = 'return' and src_function <> dst_function").select("src").distinct()
-    returns = begins.where("src_kind = 'return'").join(leaving, "src", "left_anti").join(callees(graph).select(F.col("callee").alias("src_function"), F.col("node_id").alias("dst")), "src_function").join(ends, "dst")
+    returns = begins.where("src_kind = 'return'").join(leaving, "src", "left_anti").join(calls.select(F.col("callee").alias("src_function"), F.col("node_id").alias("dst")), "src_function").join(ends, "dst")
     back = returns.select("src", "dst", "dst_function", "dst_kind", rank(2, F.col("dst"), F.lit(""), none).alias("rank"), F.lit(NO_ARG).alias("next_arg"), none.cast("int").alias("needs_arg"), none.cast("string").alias("enters"), F.lit("return").alias("via"))
-    links = graph.callback_links.where("param_node_id is not null").select(F.col("call_node_id").alias("src"), F.col("param_node_id").alias("dst")).distinct().join(ends, "dst")
-    called = links.select("src", "dst", "dst_function", "dst_kind", rank(3, F.col("dst"), F.lit(""), none).alias("rank"), F.lit(NO_ARG).alias("next_arg"), none.cast("int").alias("needs_arg"), F.col("dst_function").alias("enters"), F.lit("callback").alias("via"))
-    return plain.unionByName(arguments).unionByName(back).unionByName(called)
+    return arguments.unionByName(back)
 
 
 def clearing(sanitizers: DataFrame) -> DataFrame:
@@ -97,8 +112,8 @@ _FOLD = f"""aggregate(coalesce(clears, array()), named_struct('kinds', kinds, 'u
 def _sanitised(rows: DataFrame) -> DataFrame:
     """rows (kinds_key, clears, ...) after their node's sanitisers, with uses; rows without a kind left go. Kinds are taken apart only where something clears."""
     clean = F.col("clears").isNull()
-    folded = rows.withColumn("kinds", F.split("kinds_key", _JOINED)).withColumn("f", F.when(~clean, F.expr(_FOLD)))
-    out = folded.withColumn("kinds_key", F.when(clean, F.col("kinds_key")).otherwise(F.array_join("f.kinds", _JOINED))).withColumn("uses", F.when(clean, F.array().cast(_USE)).otherwise(F.col("f.uses")))
+    folded = rows.withColumn("kinds", F.split("kinds_key", JOINED)).withColumn("f", F.when(~clean, F.expr(_FOLD)))
+    out = folded.withColumn("kinds_key", F.when(clean, F.col("kinds_key")).otherwise(F.array_join("f.kinds", JOINED))).withColumn("uses", F.when(clean, F.array().cast(_USE)).otherwise(F.col("f.uses")))
     return out.drop("f", "clears", "kinds").where("kinds_key <> ''")
 
 
@@ -129,7 +144,7 @@ def seeds(graph: Graph, sources: DataFrame, clears: DataFrame, bindings: DataFra
         marks = bindings.select(F.col("node_id").alias("node"), F.concat(F.lit("param:"), "function_id", F.lit("#"), F.col("index").cast("string")).alias("source_id"), F.array(F.lit(WILDCARD)).alias("kinds"), F.lit(True).alias("symbolic"), F.struct(F.lit(1).alias("phase"), F.lit(0).alias("a"), F.col("index").alias("b"), F.col("function_id").alias("c"), F.lit("").alias("d")).alias("rank"))
         every = every.unionByName(marks)
     met = every.join(info, "node").join(clears, F.col("node") == F.col("clear_node"), "left").drop("clear_node")
-    rows = _sanitised(met.withColumn("kinds_key", F.array_join("kinds", _JOINED)).drop("kinds")).withColumn("arg", F.lit(NO_ARG)).withColumn("entered", F.array().cast("array<string>")).withColumn("parent", F.lit(None).cast("bigint"))
+    rows = _sanitised(met.withColumn("kinds_key", F.array_join("kinds", JOINED)).drop("kinds")).withColumn("arg", F.lit(NO_ARG)).withColumn("entered", F.array().cast("array<string>")).withColumn("parent", F.lit(None).cast("bigint"))
     return _first(rows, ["rank"], options)
 
 
@@ -177,6 +192,23 @@ def _hubs(ways: DataFrame) -> DataFrame | None:
     return many if seen.get["n"] else None
 
 
+def dealt(store: Store, ways: DataFrame) -> tuple[DataFrame, tuple[str, ...], DataFrame | None]:
+    """ways in buckets by the key that is returned with them, and the nodes whose moves lie in several."""
+    store.append("ways", ways.repartition(store.buckets, "src"), ("src",))
+    let_go(store.spark)
+    hubs = _hubs(store.table("ways"))
+    if hubs is None:
+        return store.table("ways"), ("src",), None
+    spread = store.table("ways").join(hubs, "src", "left").withColumn("part", F.pmod(F.xxhash64("dst", "next_arg"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    store.append("spread", spread.repartition(store.buckets, "src", "part"), ("src", "part"))
+    return store.table("spread"), ("src", "part"), hubs
+
+
+def towards(go: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """go (src, ...), to every part of its node's moves where they lie in several buckets."""
+    return go if hubs is None else go.join(hubs, "src", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+
+
 def propagate(graph: Graph, occurrences: Occurrences, options: SolveOptions = SolveOptions(), within: DataFrame | None = None) -> Solution:
     """within (node): only these nodes are solved, parameters being seeds only in the function of scope_function."""
     spark = graph.nodes.sparkSession
@@ -192,15 +224,7 @@ def propagate(graph: Graph, occurrences: Occurrences, options: SolveOptions = So
         seeded = bindings.where(F.col("function_id") == options.scope_function).join(within.select(F.col("node").alias("node_id")), "node_id", "left_semi")
     if not options.ordered:
         ways = ways.drop("rank")
-    way_key = ("src",)
-    store.append("ways", ways.repartition(store.buckets, *way_key), way_key)
-    let_go(spark)
-    hubs = _hubs(store.table("ways"))
-    if hubs is not None:
-        way_key = ("src", "part")
-        spread = store.table("ways").join(hubs, "src", "left").withColumn("part", F.pmod(F.xxhash64("dst", "next_arg"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-        store.append("spread", spread.repartition(store.buckets, *way_key), way_key)
-    ways = store.table("ways" if hubs is None else "spread")
+    ways, way_key, hubs = dealt(store, ways)
     first, total, truncated, capped, rounds, budget = seeds(graph, sources, clears, seeded, options), 0, [], [], 0, _Budget(options.max_iterations)
     order = ["rank"] if options.ordered else []
     while True:
@@ -218,9 +242,7 @@ def propagate(graph: Graph, occurrences: Occurrences, options: SolveOptions = So
             go = frontier.join(budget.late[-1].select("seq"), "seq", "left_anti")
         rounds += 1
         go = go.select(F.col("node").alias("src"), "source_id", "kinds_key", "arg", *carried, "symbolic", F.col("seq").alias("parent"))
-        if hubs is not None:
-            go = go.join(hubs, "src", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-        steps = go.join(ways, list(way_key)).where("needs_arg is null or needs_arg = arg").drop("arg", *way_key)
+        steps = towards(go, hubs).join(ways, list(way_key)).where("needs_arg is null or needs_arg = arg").drop("arg", *way_key)
         if options.max_call_depth > 0:
             deep = F.col("enters").isNotNull() & (F.size(F.filter("entered", lambda x: x == F.col("enters"))) >= options.max_call_depth)
             # Only paths that re-entered something can be capped.
@@ -233,7 +255,7 @@ def propagate(graph: Graph, occurrences: Occurrences, options: SolveOptions = So
         first = _first(_sanitised(arrived), order, options).join(states.select(*KEY), list(KEY), "left_anti")
     for name in ("ways", "spread"):
         store.drop(name)
-    states = store.released("states").withColumn("kinds", F.split("kinds_key", _JOINED)).drop("kinds_key")
+    states = store.released("states").withColumn("kinds", F.split("kinds_key", JOINED)).drop("kinds_key")
     if "uses" not in states.columns:
         states = states.withColumns({"entered": F.array().cast("array<string>"), "uses": F.array().cast(_USE)})
     if budget.late:

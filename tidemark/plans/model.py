@@ -7,6 +7,7 @@ import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 RANGE = "struct<start:struct<line:int,column:int>,end:struct<line:int,column:int>>"
 SCHEMAS = {
@@ -91,6 +92,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """The table, marked to be broadcast if it has few rows: a join with it then deals out nothing by keys that may be few."""
+    return broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def let_go(spark: SparkSession) -> None:
     """Ask the driver's JVM for a collection: what nothing refers to any more goes now, with its shuffle files and the classes that plans were compiled to, which else pile up beside the heap over a loop's many plans."""
     spark.sparkContext._jvm.System.gc()
