@@ -119,6 +119,34 @@ def analyse_files(spark, files, config: Config, proofs: bool = True):
     return analyse(graph, occurrences, rules["sinks"], solve_options(config), proofs), diagnostics
 
 
+def file_findings(spark, files, config: Config, proofs: bool = True):
+    """files (relative_path, and text or content) as a table -> the findings of analyse_files alone. Files of one text are analysed once, and each gets the findings.
+
+    Nothing passes from one file to another, so what a text leads to differs between its files in their paths only: texts are analysed under their digests, which paths then take the place of. seq orders the findings of a file, not those of different ones.
+    A rule that names functions by path looks at paths, so with one each file is analysed by itself. files is read twice, once for the texts and once for who has them.
+    """
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.text import finding_id
+    from tidemark.plans.model import checkpointed, small
+
+    if any("::" in f for r in config.rules["sources"] for f in r.get("within_functions") or ()):
+        return analyse_files(spark, files, config, proofs)[0].findings
+    source = "content" if "content" in files.columns else "text"
+    if "unread" in files.columns:
+        files = files.where("unread is null")
+    files = files.withColumn(source, F.coalesce(source, F.lit("").cast(files.schema[source].dataType)))
+    digest = F.sha2(source, 256)
+    texts = checkpointed(files.select(source).distinct().select(digest.alias("relative_path"), source))
+    found = analyse_files(spark, texts, config, proofs)[0].findings.withColumnsRenamed({"relative_path": "digest", "function_id": "inner"})
+    every = files.select("relative_path", digest.alias("digest")).join(small(found), "digest")
+    moved = lambda c: F.concat("relative_path", F.substring(c, 65, 1 << 30))  # noqa: E731 - a digest has 64 digits
+    own = {"id": finding_id(F.col("rule_id"), F.col("relative_path"), F.col("range.start.line"), F.col("range.start.column")), "file": F.col("relative_path"), "function_id": moved(F.col("inner"))}
+    if proofs:
+        own["proof"] = F.transform("proof", lambda s: s.withField("node_id", moved(s["node_id"])).withField("file", F.col("relative_path")))
+    return every.withColumns(own).drop("digest", "inner")
+
+
 def _scan_tables(spark, root: str, wanted: Selection, config: Config, tell) -> tuple[list[dict], dict, list[dict]]:
     from tidemark.plans.findings import ordered
     from tidemark.sources.tree import list_tree, read_tree
