@@ -1,10 +1,12 @@
 """Listing a tree by Spark finds what the walk in one process finds."""
 
 import os
+import re
 
 import pytest
 
 from tidemark.engine import scan
+from tidemark.functions import text
 from tidemark.plans.model import scratch_folder
 from tidemark.sources.discovery import Selection, discover_files, graph_tables, readable
 from tidemark.sources.tree import list_tree, local_path, read_tree, write_tree
@@ -95,3 +97,23 @@ def test_addresses():
     assert local_path("file:///tmp/x") == local_path("file:/tmp/x") == local_path("/tmp/x") == "/tmp/x"
     with pytest.raises(ValueError):
         local_path("hdfs://host/x")
+
+
+def test_writing_is_many_tasks(spark, tmp_path):
+    """Files that come in one partition are written by several tasks."""
+    files = spark.createDataFrame([(f"d{k % 3}/p{k}.ts", f"{k}") for k in range(200)], "relative_path string, text string").coalesce(1)
+    written = write_tree(files, str(tmp_path / "tree"))
+    assert sum(n > 0 for n in written.rdd.glom().map(len).collect()) > 1 and written.count() == 200
+    assert sorted(p.read_text() for p in (tmp_path / "tree").rglob("*.ts")) == sorted(f"{k}" for k in range(200))
+
+
+def test_patterns_are_read_once(monkeypatch):
+    """However many paths are held against them; and what they match is what each of them matches by itself."""
+    patterns = ("node_modules", "dist/", "**/*.min.js", "src/?.ts", "**/x/**", "a.b", "it's [odd]", "once-only")
+    paths = [f"{a}{b}" for a in ("", "src/", "src/x/", "node_modules/", "dist/", "a.b/", "it's [odd]/", "a+b/") for b in ("", "a.ts", "ab.ts", "q.min.js", "a.b", "node_modules", "axb", "it's [odd]", "dist", "é.ts", "a\nb.min.js")]
+    alone = lambda path, p: re.match(text.glob_regex(p), path) or (not re.search(r"[*?]", p) and path.startswith(p.rstrip("/") + "/"))
+    assert [text.path_matches(path, [p]) for path in paths for p in patterns] == [bool(alone(path, p)) for path in paths for p in patterns]
+    expected, made, plain = [any(alone(path, p) for p in patterns) for path in paths], [], text.glob_regex
+    monkeypatch.setattr(text, "glob_regex", lambda p: made.append(p) or plain(p))
+    assert [text.path_matches(path, patterns) for path in paths] == expected
+    assert len(made) == len(patterns) and not text.path_matches("a.ts", ())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,8 +96,14 @@ def matches_any_glob(path: Column, patterns: list[str] | tuple[str, ...]) -> Col
     return found
 
 
+@lru_cache(maxsize=256)
+def _matcher(patterns: tuple[str, ...]) -> re.Pattern:
+    """All patterns as one expression, made once for the many paths that are held against them."""
+    return re.compile("|".join([glob_regex(p) for p in patterns] + [re.escape(p.rstrip("/") + "/") for p in patterns if not re.search(r"[*?]", p)]))
+
+
 def path_matches(path: str, patterns: list[str] | tuple[str, ...]) -> bool:
-    return any(re.match(glob_regex(p), path) or (not re.search(r"[*?]", p) and path.startswith(p.rstrip("/") + "/")) for p in patterns)
+    return bool(patterns) and _matcher(tuple(patterns)).match(path) is not None
 
 
 def label_of(text: str, length: int = LABEL_LENGTH) -> str:

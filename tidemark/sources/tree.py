@@ -85,23 +85,28 @@ def read_tree(files: DataFrame, root: str) -> DataFrame:
 
 
 def write_tree(files: DataFrame, root: str) -> DataFrame:
-    """Write relative_path and text as files below a folder that all executors see; returns relative_path and bytes of each. A file gets its name once it is whole, so a task that runs again repeats it without harm."""
+    """Write relative_path and text as files below a folder that all executors see; returns relative_path and bytes of each. A file gets its name once it is whole, so a task that runs again repeats it without harm. Files are dealt among all tasks, however few partitions they come in."""
     base = os.path.abspath(root)
     os.makedirs(base, exist_ok=True)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = set()
         for batch in batches:
             sizes = []
             for path, text in zip(batch["relative_path"], batch["text"], strict=True):
                 target = os.path.join(base, path)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
+                if (folder := os.path.dirname(target)) not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
                 part = f"{target}.{os.getpid()}.part"
                 with open(part, "wb") as out:
                     sizes.append(out.write((text or "").encode()))
                 os.replace(part, target)
             yield pd.DataFrame({"relative_path": batch["relative_path"], "bytes": sizes})
 
-    return checkpointed(files.select("relative_path", "text").mapInPandas(write, "relative_path string, bytes long"))
+    # Creating a file costs far more than moving its text.
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpointed(files.select("relative_path", "text").repartition(parts, "relative_path").mapInPandas(write, "relative_path string, bytes long"))
 
 
 def local_path(uri: str) -> str:
