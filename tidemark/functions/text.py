@@ -107,7 +107,7 @@ def path_matches(path: str, patterns: list[str] | tuple[str, ...]) -> bool:
 
 
 def label_of(text: str, length: int = LABEL_LENGTH) -> str:
-    flat = re.sub(r"[ \t\n\x0b\f\r]+", " ", text).strip(" ")
+    flat = text if text.isidentifier() else re.sub(r"[ \t\n\x0b\f\r]+", " ", text).strip(" ")
     return flat if len(flat) <= length else flat[:length] + "…"
 
 

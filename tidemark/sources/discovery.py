@@ -105,20 +105,18 @@ def readable(files: list[str]) -> tuple[list[str], list[dict]]:
 TABLES = {n: SCHEMAS[n] for n in ("functions", "nodes", "edges", "call_sites", "callback_links", "diagnostics")} | {"aliases": ALIASES}
 
 
-def graph_tables(files: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
-    """files (relative_path, and content or text) -> the graph, aliases, diagnostics. Files are parsed one by one in parallel, however few partitions they come in; a file that can't be parsed leaves an error.
+#: Files whose rows a parsing task holds at once.
+FILES = 500
 
-    A column `unread` says of a file why it couldn't be read after it was found; its message is an error then, and nothing else comes of it.
 
-    Rows leave the parser with their types, in a struct column for each table, and are written once, a folder for each table, so that later reads take the columns they need and know the sizes.
-    """
-    spark = files.sparkSession
-    held = StructType([StructField("kind", StringType()), *[StructField(n, StructType.fromDDL(s)) for n, s in TABLES.items()]])
+def _parsed(files: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """files (relative_path, and content or text) -> kind, and a struct column for each of the named tables: the row is in that of its kind. Files are parsed one by one in parallel, however few partitions they come in."""
+    held = StructType([StructField("kind", StringType()), *[StructField(n, StructType.fromDDL(TABLES[n])) for n in names]])
     arrow = to_arrow_schema(held)
     source = "content" if "content" in files.columns else "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, FILES) for b in batches for i in range(0, b.num_rows, FILES)):
             made: dict[str, list[dict]] = {n: [] for n in TABLES}
             for path, data, why in zip(*(batch.column(c).to_pylist() for c in ("relative_path", source, "unread")), strict=True):
                 if why is not None:
@@ -126,15 +124,32 @@ def graph_tables(files: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
                     continue
                 for n, rows in (build_bytes(data, path) if isinstance(data, bytes) else build_file(data or "", path)).items():
                     made[n] += rows
-            for n, rows in made.items():
-                if rows:
+            for n in names:
+                if rows := made[n]:
                     own = [pa.array(rows, f.type) if f.name == n else pa.nulls(len(rows), f.type) for f in list(arrow)[1:]]
                     yield pa.RecordBatch.from_arrays([pa.array([n] * len(rows)), *own], schema=arrow)
 
     # Parsing costs more than moving a file's text.
     unread = F.col("unread") if "unread" in files.columns else F.lit(None).cast("string").alias("unread")
-    dealt = files.select("relative_path", source, unread).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "relative_path")
+    dealt = files.select("relative_path", source, unread).repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "relative_path")
+    return dealt.mapInArrow(run, held)
+
+
+def function_table(files: DataFrame) -> DataFrame:
+    """The functions of graph_tables alone, not written first: no row of another table leaves the parser."""
+    return _parsed(files, ("functions",)).select("functions.*")
+
+
+def graph_tables(files: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
+    """files (relative_path, and content or text) -> the graph, aliases, diagnostics. A file that can't be parsed leaves an error.
+
+    A column `unread` says of a file why it couldn't be read after it was found; its message is an error then, and nothing else comes of it.
+
+    Rows leave the parser with their types, in a struct column for each table, and are written once, a folder for each table, so that later reads take the columns they need and know the sizes.
+    """
+    spark = files.sparkSession
+    rows = _parsed(files, tuple(TABLES))
     folder = scratch_folder(spark, "graph")
-    dealt.mapInArrow(run, held).write.partitionBy("kind").parquet(folder)
-    table = lambda n: spark.read.schema(held).parquet(folder).where(F.col("kind") == n).select(f"{n}.*")
+    rows.write.partitionBy("kind").parquet(folder)
+    table = lambda n: spark.read.schema(rows.schema).parquet(folder).where(F.col("kind") == n).select(f"{n}.*")
     return Graph(*[table(n) for n in ("functions", "nodes", "edges", "call_sites", "callback_links")]), table("aliases"), table("diagnostics")
