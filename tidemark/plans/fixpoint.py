@@ -13,7 +13,7 @@ the frontier goes to the moves' buckets, arrivals, combined before they are sent
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.tags import WILDCARD, normalized
 from tidemark.operators.running import running
-from tidemark.plans.model import Graph, Occurrences, SolveOptions, checkpointed, let_go
+from tidemark.plans.model import Graph, Occurrences, SolveOptions, checkpointed, empty, let_go, small
 from tidemark.plans.store import Store
 
 #: Argument position of a state that didn't arrive over an argument edge.
@@ -30,23 +30,35 @@ NO_ARG = -1_000_000
 KEY = ("node", "source_id", "kinds_key", "arg", "function_id", "node_kind")
 #: Moves of one node that lie in one bucket.
 HUB_MOVES = 1_000_000
+#: Groups, by hash, in which functions' states are counted before they are counted by function.
+GROUPS = 1 << 16
 #: Stands between the kinds of a key.
 JOINED = "\x01"
 _USE = "array<struct<sanitizer_id:string,kinds:array<string>>>"
 
 
 def bind_params(graph: Graph) -> DataFrame:
-    """function_id, index, node_id: parameters meet the param node of their name, what is left meets the remaining nodes in id order."""
-    params = graph.functions.select(F.col("id").alias("function_id"), F.explode("params").alias("p")).select("function_id", "p.index", "p.name", F.coalesce("p.destructured", F.array().cast("array<string>")).alias("parts"))
-    nodes = graph.nodes.where("kind = 'param'").select("function_id", F.col("id").alias("node_id"), "label")
-    pairs = params.join(nodes, "function_id").where((F.col("label") == F.col("name")) | F.array_contains("parts", F.col("label")))
+    """function_id, index, node_id: parameters meet the param node of their name, what is left meets the remaining nodes in id order.
+
+    Parameters, the names they go by and param nodes are rows of one table, which is dealt out by function once; all that follows stays within a function.
+    """
+    none = F.lit(None)
+    params = graph.functions.select(F.col("id").alias("function_id"), F.explode("params").alias("p"))
+    nodes = graph.nodes.where("kind = 'param'").select("function_id", "label", none.cast("int").alias("index"), F.col("id").alias("node_id"))
+    names = params.select("function_id", F.col("p.name").alias("label"), F.col("p.index").alias("index"), none.cast("string").alias("node_id"))
+    parts = params.select("function_id", F.explode("p.destructured").alias("label"), F.col("p.index").alias("index"), F.lit("").alias("node_id"))
+    rows = names.unionByName(nodes).unionByName(parts).where("function_id is not null").repartition("function_id")
+    # A part is a name more of its parameter, marked by an empty node_id, and goes once names have met nodes.
+    is_node = F.col("was").isNull()
+    met = rows.withColumn("was", F.col("index")).withColumn("index", F.when(F.col("label").isNotNull(), F.min("was").over(Window.partitionBy("function_id", "label"))))
     # A node serves the first parameter that wants it, a parameter takes its first node.
-    first = pairs.withColumn("r", F.row_number().over(Window.partitionBy("function_id", "node_id").orderBy("index"))).where("r = 1")
-    named = first.withColumn("r", F.row_number().over(Window.partitionBy("function_id", "index").orderBy("node_id"))).where("r = 1").select("function_id", "index", "node_id")
-    left_params = params.join(named, ["function_id", "index"], "left_anti").withColumn("r", F.row_number().over(Window.partitionBy("function_id").orderBy("index")))
-    left_nodes = nodes.join(named, ["function_id", "node_id"], "left_anti").withColumn("r", F.row_number().over(Window.partitionBy("function_id").orderBy("node_id")))
-    rest = left_params.join(left_nodes, ["function_id", "r"]).select("function_id", "index", "node_id")
-    return named.unionByName(rest)
+    met = met.where(is_node | F.col("node_id").isNull()).withColumn("index", F.coalesce("was", "index"))
+    met = met.withColumn("first", F.when(F.col("index").isNotNull(), F.min("node_id").over(Window.partitionBy("function_id", "index"))))
+    rest = F.when(is_node, F.col("first").isNull() | (F.col("first") != F.col("node_id"))).otherwise(F.col("first").isNull())
+    named = met.withColumn("rest", rest).where(F.col("rest") | ~is_node)
+    placed = named.withColumn("r", F.when(F.col("rest"), F.row_number().over(Window.partitionBy("function_id", "rest", is_node).orderBy("was", "node_id"))).otherwise(F.col("was")))
+    pairs = placed.groupBy("function_id", "rest", "r").agg(F.max("was").alias("index"), F.max(F.when(F.col("rest"), F.col("node_id")).otherwise(F.col("first"))).alias("node_id"))
+    return pairs.where("index is not null and node_id is not null").select("function_id", "index", "node_id")
 
 
 def callees(graph: Graph) -> DataFrame:
@@ -55,6 +67,14 @@ def callees(graph: Graph) -> DataFrame:
     return own.unionByName(graph.call_sites.select("node_id", F.explode("callee_ids").alias("callee"))).distinct()
 
 
+def has_calls(graph: Graph) -> bool:
+    return any(not df.where(F.size(c) > 0).isEmpty() for df, c in ((graph.nodes, "resolved_callees"), (graph.call_sites, "callee_ids")))
+
+
+def wired_callbacks(graph: Graph) -> DataFrame:
+    return graph.callback_links.where("param_node_id is not null")
+
+
 def moves(graph: Graph, bindings: DataFrame, options: SolveOptions) -> DataFrame:
     """Every way a state can go on: src, dst, dst_function, dst_kind, rank (order among one state's moves), next_arg, needs_arg, enters.
 
@@ -73,10 +93,9 @@ def moves(graph: Graph, bindings: DataFrame, options: SolveOptions) -> DataFrame
     if options.scope_function is not None:
         plain = plain.where((F.col("via") != "return") | (F.col("dst_function") == options.scope_function))
     every = plain
-    calls = checkpointed(callees(graph))
-    if not calls.isEmpty():
-        every = every.unionByName(_calls(graph, calls, bindings, begins, ends, rank))
-    links = graph.callback_links.where("param_node_id is not null")
+    if has_calls(graph):
+        every = every.unionByName(_calls(graph, checkpointed(callees(graph)), bindings, begins, ends, rank))
+    links = wired_callbacks(graph)
     if not links.isEmpty():
         wired = links.select(F.col("call_node_id").alias("src"), F.col("param_node_id").alias("dst")).distinct().join(ends, "dst")
         every = every.unionByName(wired.select("src", "dst", "dst_function", "dst_kind", rank(3, F.col("dst"), F.lit(""), none).alias("rank"), F.lit(NO_ARG).alias("next_arg"), none.cast("int").alias("needs_arg"), F.col("dst_function").alias("enters"), F.lit("callback").alias("via")))
@@ -133,17 +152,29 @@ def _numbered(rows: DataFrame, level: int, order: list[str], buckets: int) -> Da
     return ranged.repartition(buckets, *KEY) if order else ranged
 
 
+def token(function_id: Column, index: Column) -> Column:
+    """The source_id of what a parameter brings."""
+    return F.concat(F.lit("param:"), function_id, F.lit("#"), index.cast("string"))
+
+
+def own_tokens(states: DataFrame) -> DataFrame:
+    """Symbolic states in the function whose parameter they are of, with its param_index. A token ends in its index, so nothing is joined."""
+    index = F.substring_index("source_id", "#", -1)
+    return states.where(F.col("symbolic") & (F.col("source_id") == token(F.col("function_id"), index))).withColumn("param_index", index.try_cast("int"))
+
+
 def seeds(graph: Graph, sources: DataFrame, clears: DataFrame, bindings: DataFrame, options: SolveOptions) -> DataFrame:
     info = graph.nodes.select(F.col("id").alias("node"), "function_id", F.col("kind").alias("node_kind"))
     real = sources.where(F.size("kinds") > 0).select(
         F.col("node_id").alias("node"), "source_id", normalized(F.col("kinds")).alias("kinds"), F.lit(False).alias("symbolic"),
         F.struct(F.lit(0).alias("phase"), F.col("range.start.line").alias("a"), F.col("range.start.column").alias("b"), F.col("node_id").alias("c"), F.col("source_id").alias("d")).alias("rank"),
     )
-    every = real
+    every = real.join(info, "node")
     if options.seed_params:
-        marks = bindings.select(F.col("node_id").alias("node"), F.concat(F.lit("param:"), "function_id", F.lit("#"), F.col("index").cast("string")).alias("source_id"), F.array(F.lit(WILDCARD)).alias("kinds"), F.lit(True).alias("symbolic"), F.struct(F.lit(1).alias("phase"), F.lit(0).alias("a"), F.col("index").alias("b"), F.col("function_id").alias("c"), F.lit("").alias("d")).alias("rank"))
+        # Bindings know their nodes' function.
+        marks = bindings.select(F.col("node_id").alias("node"), "function_id", F.lit("param").alias("node_kind"), token(F.col("function_id"), F.col("index")).alias("source_id"), F.array(F.lit(WILDCARD)).alias("kinds"), F.lit(True).alias("symbolic"), F.struct(F.lit(1).alias("phase"), F.lit(0).alias("a"), F.col("index").alias("b"), F.col("function_id").alias("c"), F.lit("").alias("d")).alias("rank"))
         every = every.unionByName(marks)
-    met = every.join(info, "node").join(clears, F.col("node") == F.col("clear_node"), "left").drop("clear_node")
+    met = every.join(clears, F.col("node") == F.col("clear_node"), "left").drop("clear_node")
     rows = _sanitised(met.withColumn("kinds_key", F.array_join("kinds", JOINED)).drop("kinds")).withColumn("arg", F.lit(NO_ARG)).withColumn("entered", F.array().cast("array<string>")).withColumn("parent", F.lit(None).cast("bigint"))
     return _first(rows, ["rank"], options)
 
@@ -161,13 +192,24 @@ class Solution:
 
 
 class _Budget:
-    """States that functions have had so far, kept up level by level once all states together pass the limit."""
+    """States that functions have had so far, kept up level by level once all states together pass the limit: by groups of functions first, and by function once a group passes the limit."""
 
     def __init__(self, limit: int):
-        self.limit, self.spent, self.late = limit, None, []
-
-    def over(self, frontier: DataFrame, states: DataFrame, level: int) -> DataFrame | None:
+        self.limit, self.grouped, self.spent, self.late = limit, None, None, []
+
+    def _groups_within(self, frontier: DataFrame, states: DataFrame, level: int, total: int) -> bool:
+        """Whether no group of functions has passed the limit, so that no function of it has. Not asked where groups would pass it on average."""
+        if 2 * total > self.limit * GROUPS:
+            return False
+        rows = (states.where(F.col("level") <= level) if self.grouped is None else frontier).select(F.pmod(F.xxhash64("function_id"), F.lit(GROUPS)).alias("g"), F.lit(1).cast("long").alias("n"))
+        seen = Observation()
+        self.grouped = checkpointed((rows if self.grouped is None else rows.unionByName(self.grouped)).groupBy("g").agg(F.sum("n").alias("n")).observe(seen, F.max("n").alias("most")))
+        return (seen.get["most"] or 0) <= self.limit
+
+    def over(self, frontier: DataFrame, states: DataFrame, level: int, total: int) -> DataFrame | None:
         """function_id of functions that pass the limit in this level; their states beyond it are noted as late (level, seq)."""
+        if self.spent is None and self._groups_within(frontier, states, level, total):
+            return None
         zero = F.lit(0).cast("long")
         if self.spent is None:
             own = states.where(F.col("level") <= level).select("function_id", (F.col("level") < level).cast("long").alias("past"), (F.col("level") == level).cast("long").alias("now"))
@@ -213,7 +255,7 @@ def propagate(graph: Graph, occurrences: Occurrences, options: SolveOptions = So
     """within (node): only these nodes are solved, parameters being seeds only in the function of scope_function."""
     spark = graph.nodes.sparkSession
     bindings = checkpointed(bind_params(graph))
-    clears = checkpointed(clearing(occurrences.sanitizers))
+    clears = small(checkpointed(clearing(occurrences.sanitizers)))
     store = Store(spark)
     ways = moves(graph, bindings, options).join(clears.withColumnRenamed("clear_node", "dst"), "dst", "left")
     sources = occurrences.sources
@@ -237,7 +279,7 @@ def propagate(graph: Graph, occurrences: Occurrences, options: SolveOptions = So
         carried = ["entered"] if "entered" in states.columns else []
         frontier = go = states.where(F.col("level") == rounds)
         # A function's states beyond the limit, in order of arrival, are seen but not expanded. While all states together are within it, so is each function.
-        if total > options.max_iterations and (tight := budget.over(frontier, states, rounds)) is not None:
+        if total > options.max_iterations and (tight := budget.over(frontier, states, rounds, total)) is not None:
             truncated.append(tight)
             go = frontier.join(budget.late[-1].select("seq"), "seq", "left_anti")
         rounds += 1
@@ -263,10 +305,22 @@ def propagate(graph: Graph, occurrences: Occurrences, options: SolveOptions = So
         states = checkpointed(states.join(late, ["level", "seq"], "left").withColumn("expanded", F.col("late").isNull()).drop("late"))
     else:
         states = states.withColumn("expanded", F.lit(True))
-    every = lambda parts: reduce(DataFrame.unionByName, parts).distinct() if parts else spark.createDataFrame([], "function_id string")
+    every = lambda parts: reduce(DataFrame.unionByName, parts).distinct() if parts else empty(spark, "nodes").select("function_id")
     return Solution(states, every(truncated), every(capped), rounds, total, bindings)
 
 
+def propagate_unordered(graph: Graph, occurrences: Occurrences, options: SolveOptions) -> Solution:
+    """The states, truncated and capped functions of propagate for those who follow no paths: without order, unless a limit makes the states depend on it.
+
+    Where no move enters a function, depth has nothing to limit, and each level has the same states in any order until a function passes its budget. If one does, all is solved again in order.
+    """
+    if not has_calls(graph) and wired_callbacks(graph).isEmpty():
+        solution = propagate(graph, occurrences, replace(options, ordered=False, max_call_depth=0))
+        if solution.truncated.isEmpty():
+            return solution
+    return propagate(graph, occurrences, options)
+
+
 def paths(states: DataFrame, ends: DataFrame) -> DataFrame:
     """ends (id, level, seq, ...) with path: array of node and uses from the seed to the end.
 

@@ -7,7 +7,8 @@ import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import broadcast
+from pyspark.sql.functions import broadcast, lit
+from pyspark.sql.types import StructType
 
 RANGE = "struct<start:struct<line:int,column:int>,end:struct<line:int,column:int>>"
 SCHEMAS = {
@@ -57,7 +58,8 @@ class SolveOptions:
 
 
 def empty(spark: SparkSession, name: str) -> DataFrame:
-    return spark.createDataFrame([], SCHEMAS[name])
+    """No rows, of which the planner knows: what is joined with them is not read."""
+    return spark.range(0).select(*[lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(SCHEMAS[name])]).where(lit(False))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
