@@ -113,7 +113,9 @@ def analyse_files(spark, files, config: Config, proofs: bool = True):
     graph, aliases, diagnostics = graph_tables(files)
     last = aliases.groupBy("scope", "name").agg(F.max_by("chain", "seq").alias("chain"))
     rules = rule_tables(spark, complete(config.rules))
-    found = annotate(graph, rules, checkpointed(expressions(graph.nodes, last)))
+    read = checkpointed(expressions(graph.nodes, last))
+    let_go(spark)
+    found = annotate(graph, rules, read)
     occurrences = Occurrences(*map(checkpointed, (found.sources, found.sanitizers, found.sinks)))
     let_go(spark)
     return analyse(graph, occurrences, rules["sinks"], solve_options(config), proofs), diagnostics

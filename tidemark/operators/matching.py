@@ -6,11 +6,14 @@ Rules are rows with id, ord, member, identifier, call, allow_dynamic. All condit
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.running import running
 from tidemark.operators.trie import ANY, rule_hits, segments_of
+from tidemark.plans.model import checkpointed
 
 
 def _pairwise(expression: Column, pattern: Column, allow_dynamic: Column | bool) -> Column:
@@ -121,15 +124,21 @@ def harvested_aliases(texts: DataFrame) -> DataFrame:
 
 
 def resolved_aliases(aliases: DataFrame, hops: int = 8) -> DataFrame:
-    """scope, name -> full: the chain whose first segment is no alias any more, after so many hops at most; a cycle stops where it began to repeat."""
-    out = aliases.select("scope", "name", F.col("chain").alias("full"), F.array("name").alias("seen"))
+    """scope, name -> full: the chain whose first segment is no alias any more, after so many hops at most; a cycle stops where it began to repeat.
+
+    A hop is a plan of its own, for the chains that went on in the one before; most stand for no alias, so that one plan is all.
+    """
+    out, done = aliases.select("scope", "name", F.col("chain").alias("full"), F.array("name").alias("seen")), []
     step = aliases.select("scope", F.col("name").alias("root"), F.col("chain").alias("next"))
     for _ in range(hops - 1):
-        root = F.substring_index("full", ".", 1)
-        on = out.withColumn("root", root).join(step, ["scope", "root"], "left")
-        go = F.col("next").isNotNull() & ~F.array_contains("seen", F.col("root"))
-        out = on.select("scope", "name", F.when(go, F.concat("next", F.expr("substring(full, length(root) + 1)"))).otherwise(F.col("full")).alias("full"), F.when(go, F.concat("seen", F.array("root"))).otherwise(F.col("seen")).alias("seen"))
-    return out.select("scope", "name", "full")
+        on = out.withColumn("root", F.substring_index("full", ".", 1)).join(step, ["scope", "root"], "left")
+        seen, go = Observation(), F.coalesce(F.col("next").isNotNull() & ~F.array_contains("seen", F.col("root")), F.lit(False))
+        on = checkpointed(on.withColumn("go", go).observe(seen, F.count_if("go").alias("n")))
+        done.append(on.where("not go").select("scope", "name", "full"))
+        if not seen.get["n"]:
+            return reduce(DataFrame.unionByName, done)
+        out = on.where("go").select("scope", "name", F.concat("next", F.expr("substring(full, length(root) + 1)")).alias("full"), F.concat("seen", F.array("root")).alias("seen"))
+    return reduce(DataFrame.unionByName, [*done, out.select("scope", "name", "full")])
 
 
 def as_of_declaration(uses: DataFrame, declarations: DataFrame) -> DataFrame:

@@ -103,14 +103,17 @@ def moves(graph: Graph, bindings: DataFrame, options: SolveOptions) -> DataFrame
 
 
 def _calls(graph: Graph, calls: DataFrame, bindings: DataFrame, begins: DataFrame, ends: DataFrame, rank: Callable[..., Column]) -> DataFrame:
-    """Arguments into parameters and returns to callers, of calls (node_id, callee)."""
+    """Arguments into parameters and returns to callers, of calls (node_id, callee). The graph's own edges from function to function, most often few, are found first."""
     none = F.lit(None)
-    edges = graph.edges.join(begins, "src").join(ends, "dst")
-    fed = edges.where("kind = 'argument' and src_function <> dst_function").select(F.col("dst").alias("node_id")).distinct()
-    into = calls.join(bindings.join(fed, "node_id", "left_anti").withColumnRenamed("node_id", "dst"), F.col("callee") == F.col("function_id"))
-    arguments = into.join(ends, "dst").select(F.col("node_id").alias("src"), "dst", "dst_function", "dst_kind", rank(1, F.col("callee"), F.lit(""), none).alias("rank"), F.lit(NO_ARG).alias("next_arg"), F.col("index").alias("needs_arg"), F.col("callee").alias("enters"), F.lit("argument").alias("via"))
-    leaving = edges.where("src_kind = 'return' and src_function <> dst_function").select("src").distinct()
-    returns = begins.where("src_kind = 'return'").join(leaving, "src", "left_anti").join(calls.select(F.col("callee").alias("src_function"), F.col("node_id").alias("dst")), "src_function").join(ends, "dst")
+    able = graph.edges.join(begins, "src").where("kind = 'argument' or src_kind = 'return'")
+    seen, own = Observation(), able.join(ends.select("dst", "dst_function"), "dst").where("src_function <> dst_function").select("src", "dst", (F.col("kind") == "argument").alias("feeds"), (F.col("src_kind") == "return").alias("leaves"))
+    own = checkpointed(own.observe(seen, F.count_if("feeds").alias("feeds"), F.count_if("leaves").alias("leaves")))
+    without = lambda df, n, rows: df.join(rows.distinct(), rows.columns, "left_anti") if n else df
+    free = without(bindings, seen.get["feeds"], own.where("feeds").select(F.col("dst").alias("node_id")))
+    # Bindings are of param nodes and know their function.
+    into = calls.join(free.select(F.col("node_id").alias("dst"), F.col("function_id").alias("callee"), "index", F.col("function_id").alias("dst_function"), F.lit("param").alias("dst_kind")), "callee")
+    arguments = into.select(F.col("node_id").alias("src"), "dst", "dst_function", "dst_kind", rank(1, F.col("callee"), F.lit(""), none).alias("rank"), F.lit(NO_ARG).alias("next_arg"), F.col("index").alias("needs_arg"), F.col("callee").alias("enters"), F.lit("argument").alias("via"))
+    returns = without(begins.where("src_kind = 'return'"), seen.get["leaves"], own.where("leaves").select("src")).join(calls.select(F.col("callee").alias("src_function"), F.col("node_id").alias("dst")), "src_function").join(ends, "dst")
     back = returns.select("src", "dst", "dst_function", "dst_kind", rank(2, F.col("dst"), F.lit(""), none).alias("rank"), F.lit(NO_ARG).alias("next_arg"), none.cast("int").alias("needs_arg"), none.cast("string").alias("enters"), F.lit("return").alias("via"))
     return arguments.unionByName(back)
 
@@ -192,23 +195,28 @@ class Solution:
 
 
 class _Budget:
-    """States that functions have had so far, kept up level by level once all states together pass the limit: by groups of functions first, and by function once a group passes the limit."""
+    """States that functions have had so far, kept up once all states together pass the limit: by groups of functions first, and level by level by function once a group passes the limit."""
 
     def __init__(self, limit: int):
         self.limit, self.grouped, self.spent, self.late = limit, None, None, []
+        # Up to which level groups were counted, how many states there were by then, and how many the largest group had.
+        self.level, self.total, self.most = -1, 0, 0
 
-    def _groups_within(self, frontier: DataFrame, states: DataFrame, level: int, total: int) -> bool:
-        """Whether no group of functions has passed the limit, so that no function of it has. Not asked where groups would pass it on average."""
+    def _groups_within(self, states: DataFrame, level: int, total: int) -> bool:
+        """Whether no group of functions has passed the limit, so that no function of it has. Not asked where groups would pass it on average, nor counted again while the largest group couldn't pass it with all states since."""
         if 2 * total > self.limit * GROUPS:
             return False
-        rows = (states.where(F.col("level") <= level) if self.grouped is None else frontier).select(F.pmod(F.xxhash64("function_id"), F.lit(GROUPS)).alias("g"), F.lit(1).cast("long").alias("n"))
+        if self.grouped is not None and self.most + total - self.total <= self.limit:
+            return True
+        rows = states.where((F.col("level") > self.level) & (F.col("level") <= level)).select(F.pmod(F.xxhash64("function_id"), F.lit(GROUPS)).alias("g"), F.lit(1).cast("long").alias("n"))
         seen = Observation()
         self.grouped = checkpointed((rows if self.grouped is None else rows.unionByName(self.grouped)).groupBy("g").agg(F.sum("n").alias("n")).observe(seen, F.max("n").alias("most")))
-        return (seen.get["most"] or 0) <= self.limit
+        self.level, self.total, self.most = level, total, seen.get["most"] or 0
+        return self.most <= self.limit
 
     def over(self, frontier: DataFrame, states: DataFrame, level: int, total: int) -> DataFrame | None:
         """function_id of functions that pass the limit in this level; their states beyond it are noted as late (level, seq)."""
-        if self.spent is None and self._groups_within(frontier, states, level, total):
+        if self.spent is None and self._groups_within(states, level, total):
             return None
         zero = F.lit(0).cast("long")
         if self.spent is None:
@@ -270,7 +278,8 @@ def propagate(graph: Graph, occurrences: Occurrences, options: SolveOptions = So
     first, total, truncated, capped, rounds, budget = seeds(graph, sources, clears, seeded, options), 0, [], [], 0, _Budget(options.max_iterations)
     order = ["rank"] if options.ordered else []
     while True:
-        n_states = store.append("states", _numbered(first, rounds, order, store.buckets), KEY, "level")
+        level = _numbered(first, rounds, order, store.buckets)
+        n_states = store.append("states", level, KEY, "level", **({"entered": F.max(F.size("entered"))} if "entered" in level.columns else {}))
         let_go(spark)
         if not n_states:
             break
@@ -287,8 +296,8 @@ def propagate(graph: Graph, occurrences: Occurrences, options: SolveOptions = So
         steps = towards(go, hubs).join(ways, list(way_key)).where("needs_arg is null or needs_arg = arg").drop("arg", *way_key)
         if options.max_call_depth > 0:
             deep = F.col("enters").isNotNull() & (F.size(F.filter("entered", lambda x: x == F.col("enters"))) >= options.max_call_depth)
-            # Only paths that re-entered something can be capped.
-            if rounds > options.max_call_depth:
+            # Only paths that entered as many can be capped.
+            if (store.seen.get("entered") or 0) >= options.max_call_depth:
                 capped.append(checkpointed(steps.where((F.size("entered") >= options.max_call_depth) & deep).select(F.col("enters").alias("function_id")).distinct()))
             steps = steps.where(~deep)
         entered = [F.when(F.col("enters").isNull(), F.col("entered")).otherwise(F.concat("entered", F.array("enters"))).alias("entered")] if carried else []

@@ -99,6 +99,11 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The table, read from files, marked to be dealt out by key in joins. Spark takes the bytes of files for the size of their rows, of which ids that repeat each other are many times as many, and would gather such a table in the driver for a broadcast."""
+    return df.hint("merge")
+
+
 def let_go(spark: SparkSession) -> None:
     """Ask the driver's JVM for a collection: what nothing refers to any more goes now, with its shuffle files and the classes that plans were compiled to, which else pile up beside the heap over a loop's many plans."""
     spark.sparkContext._jvm.System.gc()

@@ -48,19 +48,18 @@ def node_expression(node: dict, aliases: dict[str, str] | None = None) -> Expres
 
 def expressions(nodes: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """One row for each node. aliases (scope, name, chain) belong to the file before `::` of the function id; their chains are resolved before they meet nodes."""
-    fields = pa.schema([("node_id", pa.string()), ("segments", pa.list_(pa.string())), ("identifier", pa.string()), ("last", pa.string()), ("is_call", pa.bool_()), ("args", pa.list_(pa.string()))])
+    fields = pa.schema([("scope", pa.string()), ("node_id", pa.string()), ("segments", pa.list_(pa.string())), ("identifier", pa.string()), ("last", pa.string()), ("is_call", pa.bool_()), ("args", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(n["id"], node_expression(n)) for n in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for f, v in zip(fields, ([i for i, _ in found], [e.segments for _, e in found], [e.identifier for _, e in found], [e.last for _, e in found], [e.is_call for _, e in found], [e.args for _, e in found]), strict=True)], schema=fields)
+            yield pa.RecordBatch.from_arrays([batch.column("scope"), *(pa.array(v, f.type) for f, v in zip(list(fields)[1:], ([i for i, _ in found], [e.segments for _, e in found], [e.identifier for _, e in found], [e.last for _, e in found], [e.is_call for _, e in found], [e.args for _, e in found]), strict=True))], schema=fields)
 
-    read = nodes.select("id", "kind", "label", "text").mapInArrow(run, EXPRESSION)
+    read = nodes.select("id", "kind", "label", "text", F.substring_index("function_id", "::", 1).alias("scope")).mapInArrow(run, f"scope string, {EXPRESSION}")
     if aliases is None:
-        return read
-    full = matching.resolved_aliases(aliases.select("scope", "name", "chain")).select("scope", F.col("name").alias("root"), F.split("full", r"\.").alias("full"))
-    rooted = read.join(nodes.select(F.col("id").alias("node_id"), F.substring_index("function_id", "::", 1).alias("scope")), "node_id").withColumn("root", F.element_at("segments", 1))
-    on = rooted.join(full, ["scope", "root"], "left")
+        return read.drop("scope")
+    full = matching.resolved_aliases(checkpointed(aliases.select("scope", "name", "chain"))).select("scope", F.col("name").alias("root"), F.split("full", r"\.").alias("full"))
+    on = read.withColumn("root", F.element_at("segments", 1)).join(full, ["scope", "root"], "left")
     segments = F.when(F.col("full").isNull(), F.col("segments")).otherwise(F.concat("full", F.slice("segments", F.lit(2), F.greatest(F.size("segments") - 1, F.lit(0)))))
     whole = on.withColumn("segments", segments)
     return whole.select("node_id", "segments", F.when(F.col("full").isNull(), F.col("identifier")).when(F.size("segments") == 1, F.element_at("segments", 1)).alias("identifier"), F.when(F.size("segments") > 0, F.element_at("segments", -1)).alias("last"), "is_call", "args")
@@ -68,19 +67,20 @@ def expressions(nodes: DataFrame, aliases: DataFrame | None = None) -> DataFrame
 
 def annotate(graph: Graph, rules: dict[str, DataFrame], read: DataFrame) -> Occurrences:
     """rules: tables of the catalogue; read: the nodes' expressions."""
-    place = graph.nodes.select(F.col("id").alias("node_id"), "function_id", "range", "label")
+    place = graph.nodes.select(F.col("id").alias("node_id"), "function_id", "range", "label").join(read.select("node_id", "is_call", "args"), "node_id")
     inside = graph.functions.select(F.col("id").alias("function_id"), F.col("name").alias("fn_name"), "class_name")
-    # One walk for the three catalogues; what the rules say besides is joined to the few that are met.
-    patterns = [rules[c].select(F.lit(c).alias("catalogue"), "ord", "member", "identifier", "call", F.lit(False).alias("allow_dynamic")) for c in ("sources", "sanitizers", "sinks")]
-    every = checkpointed(matching.matched(read, reduce(DataFrame.unionByName, patterns)).select("node_id", "catalogue", "ord", "spec"))
-    met = lambda c: every.where(F.col("catalogue") == c).join(rules[c], "ord")
-    hits = met("sources").join(place, "node_id").join(inside, "function_id", "left")
+    # One walk for the three catalogues, and one join for what is asked of the nodes met.
+    patterns = [rules[c].withColumns({"catalogue": F.lit(c), "allow_dynamic": F.lit(False)}) for c in ("sources", "sanitizers", "sinks")]
+    every = checkpointed(matching.matched(read, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), patterns)))
+    every = checkpointed(every.join(place, "node_id"))
+    met = lambda c: every.where(F.col("catalogue") == c)
+    hits = met("sources").join(inside, "function_id", "left")
     fits = matching.within_functions(F.col("within_functions"), F.col("function_id"), F.col("fn_name"), F.col("class_name"))
     sources = matching.most_specific(hits.where(fits)).select("node_id", F.col("id").alias("source_id"), F.array_sort("kinds").alias("kinds"), "function_id", "range", "label")
-    cleared = matching.most_specific(met("sanitizers")).join(read.select("node_id", "is_call", "args"), "node_id").join(place, "node_id")
+    cleared = matching.most_specific(met("sanitizers"))
     valid, reason = matching.validated(F.col("validation"), F.col("is_call"), F.col("args"))
     sanitizers = cleared.select("node_id", F.col("id").alias("sanitizer_id"), "kinds", valid.alias("valid"), reason.alias("invalid_reason"), "function_id", "range")
-    sunk = matching.all_most_specific(met("sinks")).join(read.select("node_id", "args"), "node_id").join(place, "node_id")
+    sunk = matching.all_most_specific(met("sinks"))
     sinks = sunk.select("node_id", F.col("id").alias("sink_id"), "kinds", "severity", "message", "advice", "cwe", "function_id", "range", "label", matching.tainted_args(F.col("tainted_args"), F.col("args")).alias("tainted_args"))
     return Occurrences(sources, sanitizers, sinks)
 

@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.frontend.builder import build_bytes, build_file, problem
 from tidemark.functions.text import path_matches
-from tidemark.plans.model import SCHEMAS, Graph, scratch_folder
+from tidemark.plans.model import SCHEMAS, Graph, scratch_folder, shuffled
 
 #: What is scanned and what never is.
 EXTENSIONS = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs")
@@ -151,5 +151,5 @@ def graph_tables(files: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
     rows = _parsed(files, tuple(TABLES))
     folder = scratch_folder(spark, "graph")
     rows.write.partitionBy("kind").parquet(folder)
-    table = lambda n: spark.read.schema(rows.schema).parquet(folder).where(F.col("kind") == n).select(f"{n}.*")
+    table = lambda n: shuffled(spark.read.schema(rows.schema).parquet(folder).where(F.col("kind") == n).select(f"{n}.*"))
     return Graph(*[table(n) for n in ("functions", "nodes", "edges", "call_sites", "callback_links")]), table("aliases"), table("diagnostics")
