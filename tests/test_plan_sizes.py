@@ -2,11 +2,14 @@
 
 import pytest
 
+from tidemark.engine import analyse_files, scan_source
 from tidemark.operators import matching
 from tidemark.plans import fixpoint
+from tidemark.plans.findings import with_proofs
 from tidemark.plans.fixpoint import propagate
 from tidemark.plans.model import Graph, Occurrences, SolveOptions, empty
 from tidemark.plans.store import Store
+from tidemark.sources.config import Config
 from tidemark.sources.discovery import graph_tables
 
 
@@ -62,3 +65,12 @@ def test_groups_are_not_counted_again(spark, monkeypatch):
     solved = propagate(Graph(empty(spark, "functions"), nodes, edges, empty(spark, "call_sites"), empty(spark, "callback_links")), Occurrences(sources, empty(spark, "sanitizers"), empty(spark, "sinks")), SolveOptions(max_iterations=100))
     assert solved.total == 180 and solved.truncated.isEmpty() and solved.rounds == 6
     assert made[0].level == 3 and made[0].total == 120
+
+
+def test_proofs_are_made_within_their_rows(spark):
+    """A path's repeats and ends are found in its array, so that steps are put together by one grouping and no window."""
+    files = spark.createDataFrame([("a.ts", "app.get('/a', (req, res) => {\n  const v = wrap(req.query.id);\n  exec(v);\n});\nfunction wrap(x) { return 'cat ' + x; }\n")], "relative_path string, text string")
+    result, _ = analyse_files(spark, files, Config(), proofs=False)
+    proved = with_proofs(result.graph, result.states, result.findings)
+    assert "Window" not in proved._jdf.queryExecution().executedPlan().toString()
+    assert [[(s["role"], s["label"]) for s in r["proof"]] for r in proved.collect()] == [[(s["role"], s["label"]) for s in f["proof"]] for f in scan_source(files.first()["text"], "a.ts")["findings"]] != []

@@ -74,14 +74,13 @@ def deduped(findings: DataFrame) -> DataFrame:
 
 def with_proofs(graph: Graph, states: DataFrame, findings: DataFrame, notes: dict[str, str] | None = None) -> DataFrame:
     """findings with proof: array of node_id, file, range, label, role, note. Neighbouring repeats of a node fold into one step; a path of one node is both source and sink."""
-    found = checkpointed(paths(states, findings))
-    steps = found.select("id", "level", "seq", "source_id", F.posexplode("path").alias("pos", "step")).select("id", "level", "seq", "source_id", "pos", "step.node", "step.uses")
-    around = Window.partitionBy("id", "level", "seq").orderBy("pos")
-    folded = steps.withColumn("prior", F.lag("node").over(around)).where("prior is null or prior <> node")
-    every = Window.partitionBy("id", "level", "seq")
-    placed = folded.withColumn("first", F.col("pos") == F.min("pos").over(every)).withColumn("last", F.col("pos") == F.max("pos").over(every))
-    nodes = graph.nodes.select(F.col("id").alias("node"), "range", "label", "function_id").join(graph.functions.select(F.col("id").alias("function_id"), F.col("file").alias("fn_file")), "function_id", "left")
-    named = placed.join(nodes, "node").withColumn("file", F.coalesce("fn_file", relative_path(F.col("function_id"))))
+    # A path is one row's array: its repeats and ends are known before its steps are rows.
+    folded = F.filter("path", lambda s, i: (i == 0) | (s["node"] != F.get("path", i - 1)["node"]))
+    found = checkpointed(paths(states, findings).select("id", "level", "seq", "source_id", folded.alias("path")))
+    steps = found.select("id", "level", "seq", "source_id", (F.size("path") - 1).alias("end"), F.posexplode("path").alias("pos", "step"))
+    placed = steps.select("id", "level", "seq", "source_id", "pos", "step.node", "step.uses", (F.col("pos") == 0).alias("first"), (F.col("pos") == F.col("end")).alias("last"))
+    files = graph.functions.select(F.col("id").alias("function_id"), F.col("file").alias("fn_file"))
+    named = placed.join(graph.nodes.select(F.col("id").alias("node"), "range", "label", "function_id"), "node").join(files, "function_id", "left").withColumn("file", F.coalesce("fn_file", relative_path(F.col("function_id"))))
     cleared = F.concat(F.lit("sanitizer "), F.array_join(F.array_sort(F.array_distinct(F.transform("uses", lambda u: u["sanitizer_id"]))), ", "), F.lit(" clears "), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform("uses", lambda u: u["kinds"])))), ", "))
     note = F.when(F.size("uses") > 0, cleared)
     described = note
